@@ -10,15 +10,15 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.functions.tokens import tokens
 from newsloom.operators.search import (
     ID_COLUMN,
     TEXT_COLUMNS,
     Query,
-    Unit,
+    _with_words,
+    _word_test,
     mark_hits,
     scored_hits,
     shaped,
@@ -27,15 +27,10 @@ from newsloom.operators.search import (
 
 
 def _split(articles: DataFrame, index_id: bool) -> tuple[DataFrame, dict[str, str]]:
-    fields = {name: f"_words_{name}" for name in TEXT_COLUMNS}
-    split = articles.select(
-        ID_COLUMN, *[tokens(F.col(TEXT_COLUMNS[n])).alias(c) for n, c in fields.items()]
-    )
-    if index_id:
-        fields[ID_COLUMN] = "_words_id"
-        split = split.withColumn("_words_id", F.array(F.col(ID_COLUMN).cast("string")))
-    length = reduce(lambda a, b: a + b, [F.size(c) for c in fields.values()])
-    return split.withColumn("doc_len", length), fields
+    columns = articles.select(ID_COLUMN, *TEXT_COLUMNS.values())
+    split, fields = _with_words(columns, index_id)
+    length = reduce(lambda a, b: a + b, [F.size(array) for array in fields.values()])
+    return split.select(ID_COLUMN, *fields.values(), length.alias("doc_len")), fields
 
 
 def build_postings(articles: DataFrame, *, index_id: bool = False) -> DataFrame:
@@ -91,34 +86,21 @@ def refresh_lengths(
 def term_statistics(articles: DataFrame, *, index_id: bool = False) -> DataFrame:
     """Articles that hold each term and how often it occurs, in one shuffle.
 
-    Terms are sorted inside each article, so that the first copy can be told apart; counts of a
-    common term collapse in every task before they are sent.
+    The distinct terms of an article follow its tokens in one array, so a row's place tells which
+    of the two counts it belongs to; a common term collapses in every task before it is sent.
     """
     split, fields = _split(articles, index_id)
-    sorted_words = split.select(F.sort_array(F.concat(*fields.values())).alias("_words"))
-    flagged = sorted_words.select(
-        F.inline(
-            F.transform(
-                "_words",
-                lambda word, i: F.struct(
-                    word.alias("term"),
-                    ((i == 0) | (F.get("_words", i - 1) != word)).cast("int").alias("first"),
-                ),
-            )
-        )
+    words = split.select(F.concat(*fields.values()).alias("_words"))
+    both = words.select(
+        F.size("_words").alias("_size"),
+        F.posexplode(F.concat("_words", F.array_distinct("_words"))).alias("_at", "term"),
     )
-    return flagged.groupBy("term").agg(
-        F.sum("first").alias("articles"), F.count("*").alias("occurrences")
+    is_token = F.col("_at") < F.col("_size")
+    return both.groupBy("term").agg(
+        F.count_if(~is_token).alias("articles"), F.count_if(is_token).alias("occurrences")
     )
 
 
-def _word_test(term: Column, searched: Unit, offset: int) -> Column:
-    wanted = searched.words[offset]
-    if searched.prefix and offset == len(searched.words) - 1:
-        return F.startswith(term, F.lit(wanted))
-    return term == wanted
-
-
 def index_hits(postings: DataFrame, searched: Query) -> DataFrame:
     """Articles that hold any unit, with ``doc_len`` and occurrences ``n_0``, ``n_1``, ...
 

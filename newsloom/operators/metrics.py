@@ -78,11 +78,11 @@ def seconds_since_start(points: DataFrame, clock: str = METRIC_NAMES["users"]) -
     """Points with ``elapsed`` seconds since the first point of the clock metric in their run."""
     starts = points.filter(F.col("metric") == clock).groupBy("run").agg(F.min("ts").alias("_start"))
     joined = points.join(starts, "run")
-    return joined.withColumn("elapsed", _seconds("ts") - _seconds("_start")).drop("_start")
+    return joined.withColumn("elapsed", (_micros("ts") - _micros("_start")) / 1e6).drop("_start")
 
 
-def _seconds(column: str) -> Column:
-    return F.unix_micros(F.col(column).cast("timestamp")) / 1e6
+def _micros(column: str) -> Column:
+    return F.unix_micros(F.col(column).cast("timestamp"))
 
 
 def time_buckets(

@@ -87,28 +87,56 @@ def query(
     return made
 
 
-def occurrences(words: Column, searched: Unit) -> Column:
-    """How often a unit occurs in an array of tokens; overlapping phrases all count."""
+def _word_test(word: Column, searched: Unit, offset: int) -> Column:
+    """A token is the unit's word at ``offset``, or starts with it where the prefix stands."""
+    wanted = searched.words[offset]
+    if searched.prefix and offset == len(searched.words) - 1:
+        return F.startswith(word, F.lit(wanted))
+    return word == wanted
 
-    def at(offset: int, word: Column) -> Column:
-        wanted = searched.words[offset]
-        last = offset == len(searched.words) - 1
-        return F.startswith(word, F.lit(wanted)) if searched.prefix and last else word == wanted
 
+def occurrences(words: Column, searched: Unit) -> Column:
+    """How often a unit occurs in an array of tokens; overlapping phrases all count."""
     if len(searched.words) == 1:
         if not searched.prefix:
             return F.size(words) - F.size(F.array_remove(words, searched.words[0]))
-        return F.size(F.filter(words, lambda word: at(0, word)))
-    return F.size(
-        F.filter(
-            words,
-            lambda word, i: reduce(
-                and_,
-                [F.coalesce(at(n, F.get(words, i + n)), F.lit(False)) for n in range(1, len(searched.words))],
-                at(0, word),
-            ),
-        )
-    )
+        return F.size(F.filter(words, lambda word: _word_test(word, searched, 0)))
+
+    def starts_here(word: Column, i: Column) -> Column:
+        following = [
+            F.coalesce(_word_test(F.get(words, i + n), searched, n), F.lit(False))
+            for n in range(1, len(searched.words))
+        ]
+        return reduce(and_, following, _word_test(word, searched, 0))
+
+    # Positions are compared only where all whole words of the phrase are there at all.
+    whole = searched.words[:-1] if searched.prefix else searched.words
+    present = reduce(and_, [F.array_contains(words, word) for word in whole])
+    return F.when(present, F.size(F.filter(words, starts_here))).otherwise(0)
+
+
+def _holds(words: Column, searched: Unit) -> Column:
+    if len(searched.words) == 1 and not searched.prefix:
+        return F.array_contains(words, searched.words[0])
+    return occurrences(words, searched) > 0
+
+
+def _with_words(articles: DataFrame, index_id: bool) -> tuple[DataFrame, dict[str, str]]:
+    """Articles with a token array per searched column, and the names of those arrays."""
+    fields = {name: f"_words_{name}" for name in TEXT_COLUMNS}
+    arrays = [tokens(F.col(TEXT_COLUMNS[name])).alias(array) for name, array in fields.items()]
+    if index_id:
+        fields[ID_COLUMN] = "_words_id"
+        arrays.append(F.array(F.col(ID_COLUMN).cast("string")).alias("_words_id"))
+    return articles.select("*", *arrays), fields
+
+
+def _sum(counts: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, counts, F.lit(0))
+
+
+def _searched_in(searched: Unit, fields: dict[str, str]) -> list[Column]:
+    return [F.col(array) for name, array in fields.items() if searched.column in (None, name)]
 
 
 def scan_hits(articles: DataFrame, searched: Query, *, index_id: bool = False) -> DataFrame:
@@ -117,20 +145,29 @@ def scan_hits(articles: DataFrame, searched: Query, *, index_id: bool = False) -
     With ``index_id`` the article id counts as a word of the article, as in the stored index of
     the same option.
     """
-    fields = {name: f"_words_{name}" for name in TEXT_COLUMNS}
-    split = articles.select("*", *[tokens(F.col(TEXT_COLUMNS[n])).alias(c) for n, c in fields.items()])
-    if index_id:
-        fields[ID_COLUMN] = "_words_id"
-        split = split.withColumn("_words_id", F.array(F.col(ID_COLUMN).cast("string")))
+    split, fields = _with_words(articles, index_id)
+    columns = [_sum([F.size(array) for array in fields.values()]).alias("doc_len")]
+    for number, searched_unit in enumerate(searched.units):
+        counts = [occurrences(w, searched_unit) for w in _searched_in(searched_unit, fields)]
+        columns.append(_sum(counts).alias(f"n_{number}"))
+    # A generated row is computed once. As plain columns the counts would be copied into every
+    # later filter, and each copy would split the texts again.
+    return split.select("*", F.inline(F.array(F.struct(*columns)))).drop(*fields.values())
 
-    def total(counts: list[Column]) -> Column:
-        return reduce(lambda a, b: a + b, counts, F.lit(0))
 
-    columns = [total([F.size(c) for c in fields.values()]).alias("doc_len")]
-    for number, searched_unit in enumerate(searched.units):
-        where = [c for n, c in fields.items() if searched_unit.column in (None, n)]
-        columns.append(total([occurrences(F.col(c), searched_unit) for c in where]).alias(f"n_{number}"))
-    return split.select("*", *columns).drop(*fields.values())
+def scan_statistics(articles: DataFrame, searched: Query, *, index_id: bool = False) -> DataFrame:
+    """Number of articles, their mean length, and the articles that hold each scored unit."""
+    split, fields = _with_words(articles, index_id)
+    holding = [
+        F.count_if(reduce(or_, [_holds(w, u) for w in _searched_in(u, fields)], F.lit(False)))
+        for u in searched.scored
+    ]
+    length = _sum([F.size(array) for array in fields.values()])
+    return split.agg(
+        F.count("*").alias("docs"),
+        (F.sum(length) / F.count("*")).alias("mean_len"),
+        *[count.alias(f"df_{i}") for i, count in enumerate(holding)],
+    )
 
 
 def may_match(searched: Query) -> Column:
@@ -164,16 +201,6 @@ def matches(searched: Query) -> Column:
     return reduce(and_, conditions)
 
 
-def corpus_statistics(hits: DataFrame, searched: Query) -> DataFrame:
-    """Number of articles, their mean length, and the articles that hold each scored unit."""
-    holding = [F.count_if(F.col(f"n_{i}") > 0).alias(f"df_{i}") for i in range(len(searched.scored))]
-    return hits.agg(
-        F.count("*").alias("docs"),
-        (F.sum("doc_len") / F.count("*")).alias("mean_len"),
-        *holding,
-    )
-
-
 def bm25(searched: Query, statistics: Column) -> Column:
     """Score of a matching article, higher is better.
 
@@ -191,14 +218,8 @@ def bm25(searched: Query, statistics: Column) -> Column:
     return score
 
 
-def scored_hits(hits: DataFrame, searched: Query, statistics: DataFrame | None = None) -> DataFrame:
-    """Matching articles with ``bm25``.
-
-    ``statistics`` is one row as from ``corpus_statistics``; by default it is taken from ``hits``,
-    which must then hold every article.
-    """
-    if statistics is None:
-        statistics = corpus_statistics(hits, searched)
+def scored_hits(hits: DataFrame, searched: Query, statistics: DataFrame) -> DataFrame:
+    """Matching articles with ``bm25``; ``statistics`` is one row of the whole corpus."""
     row = statistics.select(F.struct("*")).scalar()
     return hits.filter(matches(searched)).withColumn("bm25", bm25(searched, row))
 
@@ -208,7 +229,7 @@ def scan_scores(articles: DataFrame, searched: Query, *, index_id: bool = False)
 
     One pass takes the corpus statistics; the other splits only texts that may match.
     """
-    statistics = corpus_statistics(scan_hits(articles, searched, index_id=index_id), searched)
+    statistics = scan_statistics(articles, searched, index_id=index_id)
     # An indexed id is a word of the article that its texts do not show.
     candidates = articles if index_id else articles.filter(may_match(searched))
     return scored_hits(scan_hits(candidates, searched, index_id=index_id), searched, statistics)

@@ -252,7 +252,7 @@ def microblog_feed(spark, folder):
 @_query
 def feed_keyword_filter(spark, folder):
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    feeds = tables.table(spark, folder, "pages").select("page_id", title.alias("title"), "url")
+    feeds = tables.pages(spark, folder).select("page_id", title.alias("title"), "url")
     return matching_keywords(feeds, ["TION", "Example.org", "que"])
 
 
@@ -267,7 +267,7 @@ def classify_source_url(spark, folder):
         .when(page % 5 == 3, F.concat(F.lit("https://bsky.app/profile/u"), text))
         .otherwise(F.col("url"))
     )
-    pages = tables.table(spark, folder, "pages").select("page_id", address.alias("address"))
+    pages = tables.pages(spark, folder).select("page_id", address.alias("address"))
     return pages.withColumn("class", address_class(F.col("address")))
 
 
@@ -424,7 +424,7 @@ def index_refresh(spark, folder):
 
 @_query
 def page_text(spark, folder):
-    return tables.table(spark, folder, "pages").select(
+    return tables.pages(spark, folder).select(
         "page_id", html_text(F.col("html")).alias("text")
     )
 
@@ -501,7 +501,7 @@ def summarize_batch(spark, folder):
 
 
 def _rounded(frame: DataFrame, *columns: str) -> DataFrame:
-    return frame.withColumns({c: F.round(c, 6) for c in columns})
+    return frame.withColumns({c: F.round(c, 9) for c in columns})
 
 
 @_query
@@ -525,7 +525,7 @@ def metric_buckets(spark, folder):
 @_query
 def metric_rate(spark, folder):
     rates = metrics.request_rate(tables.metric_points(spark, folder), clock=tables.ROLES["users"])
-    return _rounded(rates, "rate", "elapsed")
+    return _rounded(rates, "rate").withColumn("elapsed", F.round("elapsed", 6))
 
 
 @_query

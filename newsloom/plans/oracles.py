@@ -441,7 +441,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT article_id, source, summary, CAST(len(regexp_extract_all(summary, '[^\\s]+')) AS INTEGER) AS tokens
             FROM cleaned""",
         "metric_stats": f"""WITH {_POINTS}
-            SELECT metric, count(*) AS count, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max
+            SELECT metric, count(*) AS count, round(avg(value), 9) AS avg, min(value) AS min, max(value) AS max
             FROM points GROUP BY metric""",
         "metric_percentiles": f"""WITH {_POINTS}
             SELECT metric, {_at("0.5")} AS p50, {_at("0.75")} AS p75, {_at("0.9")} AS p90,
@@ -449,9 +449,9 @@ def oracle_sql() -> dict[str, str]:
             FROM points GROUP BY metric""",
         "metric_buckets": f"""WITH {_POINTS},
             starts AS (SELECT run, min(ts) AS start FROM points WHERE metric = 'view' GROUP BY run)
-            SELECT run, metric, CAST(floor(epoch_us(ts) / 21600e6 - epoch_us(start) / 21600e6) * 21600 AS BIGINT) AS time_bucket,
-                   round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50,
-                   round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99
+            SELECT run, metric, CAST(floor((epoch_us(ts) - epoch_us(start)) / 21600e6) * 21600 AS BIGINT) AS time_bucket,
+                   round(avg(value), 9) AS mean, round(quantile_cont(value, 0.5), 9) AS p50,
+                   round(quantile_cont(value, 0.95), 9) AS p95, round(quantile_cont(value, 0.99), 9) AS p99
             FROM points JOIN starts USING (run) GROUP BY ALL""",
         "metric_rate": f"""WITH {_POINTS}, placed AS (
               SELECT *, row_number() OVER (PARTITION BY run, metric ORDER BY ts, seq) AS position,
@@ -459,7 +459,7 @@ def oracle_sql() -> dict[str, str]:
               FROM points),
             clock AS (SELECT run, position, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY run)) / 1e6 AS elapsed, n
                       FROM placed WHERE metric = 'view')
-            SELECT a.run, a.metric, a.position, round(c.elapsed, 6) AS elapsed, round(a.value - b.value, 6) AS rate
+            SELECT a.run, a.metric, a.position, round(c.elapsed, 6) AS elapsed, round(a.value - b.value, 9) AS rate
             FROM placed a
             JOIN placed b ON a.run = b.run AND a.metric = b.metric AND b.position = a.position - least(10, a.n // 2)
             JOIN clock c ON c.run = a.run AND c.position = a.position
@@ -468,16 +468,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT run,
                    CASE WHEN count(*) FILTER (WHERE metric = 'click') > 1
                         THEN max_by(value, seq) FILTER (WHERE metric = 'click') ELSE 0 END AS last_requests,
-                   round(coalesce(sum(value) FILTER (WHERE metric = 'click'), 0), 6) AS requests,
+                   round(coalesce(sum(value) FILTER (WHERE metric = 'click'), 0), 9) AS requests,
                    coalesce(sum(value) FILTER (WHERE metric = 'error'), 0) AS failures,
-                   round(coalesce(avg(value) FILTER (WHERE metric = 'signup') * 100, 0), 6) AS success_rate,
+                   round(coalesce(avg(value) FILTER (WHERE metric = 'signup') * 100, 0), 9) AS success_rate,
                    max(value) FILTER (WHERE metric = 'view') AS max_users,
                    count(*) FILTER (WHERE metric = 'view') AS user_points
             FROM points GROUP BY run""",
         "metric_compare": f"""WITH {_POINTS}, {_REPORT}
-            SELECT metric, stat, round(base, 6) AS base, round(other, 6) AS other, round(other - base, 6) AS diff,
+            SELECT metric, stat, round(base, 9) AS base, round(other, 9) AS other, round(other - base, 9) AS diff,
                    CASE WHEN stat <> 'count' THEN
-                     round(CASE WHEN base <> 0 THEN (other - base) / base * 100 ELSE 0 END, 6) END AS pct_change,
+                     round(CASE WHEN base <> 0 THEN (other - base) / base * 100 ELSE 0 END, 9) END AS pct_change,
                    CASE WHEN stat = 'count' THEN NULL WHEN other < base THEN 'better'
                         WHEN other > base THEN 'worse' ELSE 'equal' END AS verdict
             FROM compared""",
@@ -499,11 +499,11 @@ def oracle_sql() -> dict[str, str]:
               UNION ALL SELECT run, 'p99', p99, 1000, p99 < 1000 FROM spread
               UNION ALL SELECT run, 'failure_rate', failed, 0.01, failed < 0.01 FROM rates
               UNION ALL SELECT run, 'check_rate', checks, 0.99, checks > 0.99 FROM rates)
-            SELECT run, goal, round(measured, 6) AS measured, "limit", met FROM goals""",
+            SELECT run, goal, round(measured, 9) AS measured, "limit", met FROM goals""",
         "metric_slo_scenarios": f"""WITH {_POINTS}, spread AS (
               SELECT scenario, quantile_cont(value, 0.95) AS p95 FROM points
               WHERE metric = 'purchase' AND scenario IN ('constant_load', 'spike') GROUP BY scenario)
-            SELECT scenario, round(p95, 6) AS p95,
+            SELECT scenario, round(p95, 9) AS p95,
                    CASE scenario WHEN 'spike' THEN 800.0 ELSE 300.0 END::DOUBLE AS "limit",
                    p95 < CASE scenario WHEN 'spike' THEN 800.0 ELSE 300.0 END AS met
             FROM spread""",

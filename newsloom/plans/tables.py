@@ -24,8 +24,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(frame: DataFrame, key: str) -> DataFrame:
+    """A table of long texts over all cores, when it is stored in fewer pieces than there are cores.
+
+    A table of any size has more pieces than that and is left as it is.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores, key) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def articles(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
+    documents = spread(table(spark, folder, "documents"), "doc_id")
     published = F.expr(
         "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id * 37 as int), 0)"
     )
@@ -77,6 +86,10 @@ def metric_points(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def pages(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "pages"), "page_id")
+
+
 def forum_posts(spark: SparkSession, folder: str) -> DataFrame:
     """A conversation as a forum post: turn 0 is the post, the next turns are comments.
 
@@ -111,7 +124,7 @@ def forum_posts(spark: SparkSession, folder: str) -> DataFrame:
 
 def microblog_posts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as microblog posts with every kind of embed, handle and uri."""
-    documents = table(spark, folder, "documents")
+    documents = spread(table(spark, folder, "documents"), "doc_id")
     doc = F.col("doc_id")
     key = doc.cast("string")
     published = F.expr(
@@ -150,13 +163,12 @@ def microblog_posts(spark: SparkSession, folder: str) -> DataFrame:
 
 def feed_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Pages as feed entries: some without title, some with another date field or a bad date."""
-    pages = table(spark, folder, "pages")
     page = F.col("page_id")
     published = F.expr(
         "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(page_id * 37 as int), 0)"
     )
     mail = F.date_format(published, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
-    return pages.select(
+    return pages(spark, folder).select(
         page.alias("page_id"),
         F.when(page % 7 != 0, F.concat(F.lit("Page "), page.cast("string"))).alias("title"),
         F.when(page % 6 != 0, F.col("url")).alias("link"),
