@@ -1,8 +1,10 @@
 """A stored word index of the articles, and hits read from it.
 
-The index has two tables. ``postings`` has a row per token: term, article, column, position and the
-article's length. ``lengths`` has a row per article. Postings are range-sorted by term and article:
-a query reads only the row groups of its terms, and a very common term is spread over many files.
+The index is one table with a row per token: ``term``, ``article_id``, ``col``, ``pos`` and the
+article's length ``doc_len``. The empty term stands once for every article, also for one without any
+token, so that the size and mean length of the corpus are read like any term. Rows are range-sorted
+by term and article: a query reads only the row groups of its terms, and a very common term is spread
+over many files.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ from newsloom.operators.search import (
     top_ranked,
 )
 
+# The term that stands for the article itself.
+WHOLE = ""
+
 
 def _split(articles: DataFrame, index_id: bool) -> tuple[DataFrame, dict[str, str]]:
     columns = articles.select(ID_COLUMN, *TEXT_COLUMNS.values())
@@ -33,54 +38,37 @@ def _split(articles: DataFrame, index_id: bool) -> tuple[DataFrame, dict[str, st
     return split.select(ID_COLUMN, *fields.values(), length.alias("doc_len")), fields
 
 
-def build_postings(articles: DataFrame, *, index_id: bool = False) -> DataFrame:
-    """One row per token of each article; a narrow explode without a shuffle."""
+def build_index(articles: DataFrame, *, index_id: bool = False) -> DataFrame:
+    """Index rows of the articles; a narrow explode without a shuffle.
+
+    With ``index_id`` the article id is a word of the article.
+    """
     split, fields = _split(articles, index_id)
-    per_field = F.array(
-        *[F.struct(F.lit(name).alias("col"), F.col(c).alias("words")) for name, c in fields.items()]
-    )
-    by_field = split.select(ID_COLUMN, "doc_len", F.inline(per_field))
+    per_field = [F.struct(F.lit(name).alias("col"), F.col(c).alias("words")) for name, c in fields.items()]
+    itself = F.struct(F.lit("").alias("col"), F.array(F.lit(WHOLE)).alias("words"))
+    by_field = split.select(ID_COLUMN, "doc_len", F.inline(F.array(itself, *per_field)))
     return by_field.select(
         F.posexplode("words").alias("pos", "term"), ID_COLUMN, "col", "doc_len"
     ).select("term", ID_COLUMN, "col", "pos", "doc_len")
 
 
-def build_lengths(articles: DataFrame, *, index_id: bool = False) -> DataFrame:
-    """Length in tokens of every article, also of those without any token."""
-    split, _ = _split(articles, index_id)
-    return split.select(ID_COLUMN, "doc_len")
-
-
 def write_index(articles: DataFrame, path: str, *, index_id: bool = False, mode: str = "overwrite") -> None:
-    """Write both index tables; ``mode='append'`` adds the rows of new articles."""
-    postings = build_postings(articles, index_id=index_id)
-    (
-        postings.repartitionByRange("term", ID_COLUMN, "col", "pos")
-        .sortWithinPartitions("term", ID_COLUMN, "col", "pos")
-        .write.mode(mode)
-        .parquet(f"{path}/postings")
-    )
-    build_lengths(articles, index_id=index_id).write.mode(mode).parquet(f"{path}/lengths")
+    """Write the index; ``mode='append'`` adds the rows of new articles."""
+    order = ["term", ID_COLUMN, "col", "pos"]
+    rows = build_index(articles, index_id=index_id)
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).parquet(path)
 
 
-def refresh_postings(
-    postings: DataFrame, changed: DataFrame, upserts: DataFrame, *, index_id: bool = False
+def refresh_index(
+    index: DataFrame, changed: DataFrame, upserts: DataFrame, *, index_id: bool = False
 ) -> DataFrame:
-    """Postings after a change set.
+    """Index after a change set.
 
     ``changed`` holds the ids of inserted, updated and deleted articles; ``upserts`` the new state
-    of those that still exist.
+    of those that still exist. Articles that are only added need no refresh: append their rows.
     """
-    kept = postings.join(changed.select(ID_COLUMN).distinct(), ID_COLUMN, "left_anti")
-    return kept.unionByName(build_postings(upserts, index_id=index_id))
-
-
-def refresh_lengths(
-    lengths: DataFrame, changed: DataFrame, upserts: DataFrame, *, index_id: bool = False
-) -> DataFrame:
-    """Lengths after the same change set."""
-    kept = lengths.join(changed.select(ID_COLUMN).distinct(), ID_COLUMN, "left_anti")
-    return kept.unionByName(build_lengths(upserts, index_id=index_id))
+    kept = index.join(changed.select(ID_COLUMN).distinct(), ID_COLUMN, "left_anti")
+    return kept.unionByName(build_index(upserts, index_id=index_id))
 
 
 def term_statistics(articles: DataFrame, *, index_id: bool = False) -> DataFrame:
@@ -101,15 +89,15 @@ def term_statistics(articles: DataFrame, *, index_id: bool = False) -> DataFrame
     )
 
 
-def index_hits(postings: DataFrame, searched: Query) -> DataFrame:
+def index_hits(index: DataFrame, searched: Query) -> DataFrame:
     """Articles that hold any unit, with ``doc_len`` and occurrences ``n_0``, ``n_1``, ...
 
     The terms are pushed to the scan. Without a phrase the counts combine in each task before the
-    shuffle; a phrase brings the query's postings of an article together once.
+    shuffle; a phrase brings the query's tokens of an article together once.
     """
     term = F.col("term")
     tests = [_word_test(term, u, o) for u in searched.units for o in range(len(u.words))]
-    read = postings.filter(reduce(or_, tests))
+    read = index.filter((term != WHOLE) & reduce(or_, tests))
     phrases = any(len(u.words) > 1 for u in searched.units)
     if phrases:
         read = read.repartition(ID_COLUMN)
@@ -130,22 +118,22 @@ def index_hits(postings: DataFrame, searched: Query) -> DataFrame:
     )
 
 
-def index_statistics(hits: DataFrame, lengths: DataFrame, searched: Query) -> DataFrame:
-    """Corpus statistics of a query: counts from the hits, size and mean length from lengths."""
-    size = lengths.agg(
+def index_statistics(index: DataFrame, hits: DataFrame, searched: Query) -> DataFrame:
+    """Corpus statistics of a query: articles per unit from the hits, the rest from the index."""
+    size = index.filter(F.col("term") == WHOLE).agg(
         F.count("*").alias("docs"), (F.sum("doc_len") / F.count("*")).alias("mean_len")
     )
-    row = size.select(F.struct("docs", "mean_len")).scalar()
     held = hits.agg(
         *[F.count_if(F.col(f"n_{i}") > 0).alias(f"df_{i}") for i in range(len(searched.scored))]
     )
-    return held.select(row["docs"].alias("docs"), row["mean_len"].alias("mean_len"), "*")
+    return held.withColumn("_size", size.select(F.struct("docs", "mean_len")).scalar()).select(
+        "_size.docs", "_size.mean_len", *held.columns
+    )
 
 
 def search_index(
     articles: DataFrame,
-    postings: DataFrame,
-    lengths: DataFrame,
+    index: DataFrame,
     searched: Query,
     *,
     date_min: str | None = None,
@@ -158,8 +146,8 @@ def search_index(
 
     Article texts are read only for the ids that survive the limit.
     """
-    hits = index_hits(postings, searched)
-    scored = scored_hits(hits, searched, index_statistics(hits, lengths, searched))
+    hits = index_hits(index, searched)
+    scored = scored_hits(hits, searched, index_statistics(index, hits, searched))
     if date_min is not None or date_max is not None:
         scored = scored.join(articles.select(ID_COLUMN, "published"), ID_COLUMN)
     found = top_ranked(scored, limit, date_min, date_max, inclusive_end=inclusive_end)

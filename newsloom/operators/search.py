@@ -221,7 +221,8 @@ def bm25(searched: Query, statistics: Column) -> Column:
 def scored_hits(hits: DataFrame, searched: Query, statistics: DataFrame) -> DataFrame:
     """Matching articles with ``bm25``; ``statistics`` is one row of the whole corpus."""
     row = statistics.select(F.struct("*")).scalar()
-    return hits.filter(matches(searched)).withColumn("bm25", bm25(searched, row))
+    found = hits.filter(matches(searched)).withColumn("_corpus", row)
+    return found.withColumn("bm25", bm25(searched, F.col("_corpus"))).drop("_corpus")
 
 
 def scan_scores(articles: DataFrame, searched: Query, *, index_id: bool = False) -> DataFrame:

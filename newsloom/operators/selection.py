@@ -64,27 +64,22 @@ def source_quotas(candidates: DataFrame, balance: Balance) -> DataFrame:
     )
 
 
-def _quota_row(candidates: DataFrame, balance: Balance) -> Column:
-    quotas = source_quotas(candidates, balance)
-    return quotas.select(F.struct("rss_min", "reddit_min", "bluesky_min", "flexible")).scalar()
-
-
 def guaranteed(candidates: DataFrame, balance: Balance, order: str = "seq") -> DataFrame:
     """First articles of each kind up to its quota, in input order, with their ``place``.
 
     Input order counts, not score. The literal bound prunes inside each task before the
     shuffle; the exact quota, which depends on the boost, is applied to what is left.
     """
-    quotas = _quota_row(candidates, balance)
-    kind = F.col("source")
-    quota = F.when(kind == "rss", quotas["rss_min"])
-    quota = quota.when(kind == "reddit", quotas["reddit_min"])
-    quota = quota.when(kind == "bluesky", quotas["bluesky_min"])
+    kinds = [F.lit(kind) for kind in SOURCE_KINDS]
+    quotas = source_quotas(candidates, balance).select(
+        F.map_from_arrays(F.array(*kinds), F.array("rss_min", "reddit_min", "bluesky_min"))
+    )
     in_kind = Window.partitionBy("source").orderBy(order)
-    placed = candidates.filter(kind.isin(*SOURCE_KINDS)).withColumn(
+    placed = candidates.filter(F.col("source").isin(*SOURCE_KINDS)).withColumn(
         "place", F.row_number().over(in_kind)
     )
     largest = max(balance.quotas.values())
+    quota = F.element_at(quotas.scalar(), F.col("source"))
     return placed.filter((F.col("place") <= largest) & (F.col("place") <= quota))
 
 
@@ -121,7 +116,7 @@ def flexible(
         .limit(most_free + most_guaranteed)
     )
     taken = guaranteed(candidates, balance, order).select(article_id)
-    slots = _quota_row(candidates, balance)["flexible"]
+    slots = source_quotas(candidates, balance).select("flexible").scalar()
     # At most ``most_free + most_guaranteed`` rows reach this window.
     placed = pool.join(F.broadcast(taken), article_id, "left_anti").withColumn(
         "place", F.row_number().over(Window.orderBy(*best_first))

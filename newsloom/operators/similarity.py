@@ -69,6 +69,14 @@ def _at_least(block: np.ndarray, names: list[str], threshold: float) -> Callable
     return reached
 
 
+def _scored_once(function):
+    """Keep a later filter on the result from calling the function a second time.
+
+    The optimiser copies a deterministic function into a filter that it moves below it.
+    """
+    return function.asNondeterministic()
+
+
 def _keyword_blocks(
     keywords: DataFrame, name: str, vector: str
 ) -> Iterator[tuple[list[str], np.ndarray]]:
@@ -98,7 +106,8 @@ def score_vectors(
     keyword_vector: str = "embedding",
 ) -> DataFrame:
     """``vectors`` with ``similarity``, the best cosine similarity to any keyword."""
-    best = [_best_of(block)(F.col(vector)) for _, block in _keyword_blocks(keywords, keyword, keyword_vector)]
+    blocks = _keyword_blocks(keywords, keyword, keyword_vector)
+    best = [_scored_once(_best_of(block))(F.col(vector)) for _, block in blocks]
     similarity = best[0] if len(best) == 1 else F.greatest(*best)
     return vectors.withColumn("similarity", similarity)
 
@@ -117,7 +126,7 @@ def match_keywords(
     Equal similarities are ordered by keyword.
     """
     found = [
-        _at_least(block, names, threshold)(F.col(vector))
+        _scored_once(_at_least(block, names, threshold))(F.col(vector))
         for names, block in _keyword_blocks(keywords, keyword, keyword_vector)
     ]
     pairs = found[0] if len(found) == 1 else F.concat(*found)

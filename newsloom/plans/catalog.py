@@ -19,17 +19,11 @@ from newsloom.functions.text import (
     whole_percent,
 )
 from newsloom.operators import digest, metrics, recency, search, selection, similarity, store
-from newsloom.operators.index import (
-    build_lengths,
-    build_postings,
-    refresh_lengths,
-    refresh_postings,
-    search_index,
-    term_statistics,
-)
+from newsloom.operators.index import WHOLE, build_index, refresh_index, search_index, term_statistics
 from newsloom.operators.summaries import prompt, summarise, token_rate
 from newsloom.plans import tables
 from newsloom.plans.review import recent_of_both, review
+from newsloom.plans.staging import checkpointed
 from newsloom.sources.landing import feed_articles, forum_articles, microblog_articles
 from newsloom.sources.subscriptions import address_class, matching_keywords, only_active
 
@@ -322,8 +316,8 @@ def postings_stats(spark, folder):
 @_query
 def index_sizes(spark, folder):
     articles = tables.articles(spark, folder)
-    postings = build_postings(articles, index_id=True)
-    return postings.groupBy("article_id", "col").agg(
+    index = build_index(articles, index_id=True).filter(F.col("term") != WHOLE)
+    return index.groupBy("article_id", "col").agg(
         F.count("*").alias("tokens"), F.max("doc_len").alias("doc_len")
     )
 
@@ -398,10 +392,9 @@ def search_result_count(spark, folder):
 @_query
 def search_from_index(spark, folder):
     articles = tables.articles(spark, folder)
+    index = checkpointed(build_index(articles))
     searched = search.query("avec", any_of=["en la", search.unit("ment", prefix=True)])
-    found = search_index(
-        articles, build_postings(articles), build_lengths(articles), searched, limit=None, mark=None
-    )
+    found = search_index(articles, index, searched, limit=None, mark=None)
     return found.select("article_id", "title", "score")
 
 
@@ -413,10 +406,10 @@ def index_refresh(spark, folder):
     upserts = articles.filter(key % 10 == 1).withColumn(
         "summary", F.concat("summary", F.lit(" Nouvelle édition"))
     )
-    postings = refresh_postings(build_postings(articles), changed, upserts)
-    lengths = refresh_lengths(build_lengths(articles), changed, upserts)
-    per_article = postings.groupBy("article_id").agg(F.count("*").alias("tokens"))
-    return lengths.join(per_article, "article_id", "left").select("article_id", "doc_len", "tokens")
+    index = refresh_index(build_index(articles), changed, upserts)
+    return index.groupBy("article_id").agg(
+        F.max("doc_len").alias("doc_len"), F.count_if(F.col("term") != WHOLE).alias("tokens")
+    )
 
 
 # --- texts ------------------------------------------------------------------------------------

@@ -393,7 +393,7 @@ def oracle_sql() -> dict[str, str]:
         "index_refresh": f"""WITH {ARTICLES}, {_WORDS}, {_POSTINGS}
             SELECT article_id,
                    CAST(doc_len + CASE WHEN article_id % 10 = 1 THEN 2 ELSE 0 END AS INTEGER) AS doc_len,
-                   CAST(nullif(doc_len + CASE WHEN article_id % 10 = 1 THEN 2 ELSE 0 END, 0) AS BIGINT) AS tokens
+                   CAST(doc_len + CASE WHEN article_id % 10 = 1 THEN 2 ELSE 0 END AS BIGINT) AS tokens
             FROM lens WHERE article_id % 10 <> 0""",
         "page_text": f"SELECT page_id, {_page_text('html')} AS text FROM pages",
         "prompt_column": f"""WITH {ARTICLES}
