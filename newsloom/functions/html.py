@@ -7,6 +7,7 @@ import html
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Each quantifier is possessive or runs over single characters, so that a long fragment
 # cannot exhaust the matcher's stack.
@@ -17,7 +18,7 @@ _DECLARATION = r"(?s)<[!?][^>]*+>"
 _TAG = r"""(?s)</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _unescape(text: pa.Array) -> pa.Array:
     return pa.array([None if t is None else html.unescape(t) for t in text.to_pylist()], pa.string())
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.highlight import highlighted
-from newsloom.functions.tokens import folded, split_words, tokens
+from newsloom.functions.tokens import split_words, tokens
 
 # BM25 saturation and length weight, and the floor of the rarity factor.
 K1, B, RARITY_FLOOR = 1.2, 0.75, 1e-6
@@ -45,9 +45,13 @@ def unit(text: str, *, prefix: bool = False, column: str | None = None) -> Unit:
     words = tuple(split_words(text))
     if not words:
         raise ValueError("the search term is empty")
+    return Unit(words, prefix, _known_column(column))
+
+
+def _known_column(column: str | None) -> str | None:
     if column not in (None, ID_COLUMN, *TEXT_COLUMNS):
         raise ValueError(f"unknown search column: {column}")
-    return Unit(words, prefix, column)
+    return column
 
 
 @dataclass(frozen=True)
@@ -71,7 +75,7 @@ def _units(items: str | Unit | Sequence[str | Unit], column: str | None) -> tupl
     if isinstance(items, (str, Unit)):
         items = [items]
     made = (item if isinstance(item, Unit) else unit(item) for item in items)
-    return tuple(replace(u, column=u.column or column) for u in made)
+    return tuple(replace(u, column=u.column or _known_column(column)) for u in made)
 
 
 def query(
@@ -170,27 +174,6 @@ def scan_statistics(articles: DataFrame, searched: Query, *, index_id: bool = Fa
     )
 
 
-def may_match(searched: Query) -> Column:
-    """Cheap necessary condition on the texts: the letters of enough units occur somewhere.
-
-    Texts that fail it are not split into words.
-    """
-    texts = {name: folded(F.col(column)) for name, column in TEXT_COLUMNS.items()}
-
-    def holds(searched_unit: Unit) -> Column:
-        where = [t for n, t in texts.items() if searched_unit.column in (None, n)]
-        letters = [
-            reduce(or_, [F.coalesce(F.contains(t, F.lit(word)), F.lit(False)) for t in where], F.lit(False))
-            for word in searched_unit.words
-        ]
-        return reduce(and_, letters)
-
-    condition = reduce(and_, [holds(u) for u in searched.must], F.lit(True))
-    if searched.any_of:
-        condition &= reduce(or_, [holds(u) for u in searched.any_of])
-    return condition
-
-
 def matches(searched: Query) -> Column:
     """Condition on the occurrence columns: the article satisfies the query."""
     must, scored = len(searched.must), len(searched.scored)
@@ -228,12 +211,14 @@ def scored_hits(hits: DataFrame, searched: Query, statistics: DataFrame) -> Data
 def scan_scores(articles: DataFrame, searched: Query, *, index_id: bool = False) -> DataFrame:
     """Matching articles with ``bm25``, straight from the texts.
 
-    One pass takes the corpus statistics; the other splits only texts that may match.
+    The corpus statistics need every text split into words, so this reads the texts twice; for
+    repeated searches write an index.
     """
-    statistics = scan_statistics(articles, searched, index_id=index_id)
-    # An indexed id is a word of the article that its texts do not show.
-    candidates = articles if index_id else articles.filter(may_match(searched))
-    return scored_hits(scan_hits(candidates, searched, index_id=index_id), searched, statistics)
+    return scored_hits(
+        scan_hits(articles, searched, index_id=index_id),
+        searched,
+        scan_statistics(articles, searched, index_id=index_id),
+    )
 
 
 def _day(text: str | dt.date | None) -> dt.date | None:

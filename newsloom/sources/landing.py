@@ -1,7 +1,7 @@
 """Landed feed, forum and microblog files as articles.
 
 ``read_*`` functions open files; ``*_articles`` functions normalise rows of the same shape and also
-serve streams. A broken record stays in the frame with its text, see ``split_broken``.
+serve streams. A broken record stays in the frame with its text, see ``readable`` and ``broken_counts``.
 """
 
 from __future__ import annotations
@@ -140,12 +140,20 @@ def microblog_articles(posts: DataFrame) -> DataFrame:
     return with_body.withColumn("title", shorten(F.col("summary"), 100))
 
 
-def split_broken(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Readable records, and the number of broken ones per file."""
-    good = records.filter(F.col(BROKEN).isNull())
-    broken = records.select("*", F.col("_metadata.file_path").alias("file"))
-    counts = broken.groupBy("file").agg(F.count(BROKEN).alias("broken"), F.count("*").alias("records"))
-    return good, counts.filter(F.col("broken") > 0)
+def readable(records: DataFrame) -> DataFrame:
+    return records.filter(F.col(BROKEN).isNull())
+
+
+def broken_counts(records: DataFrame) -> DataFrame:
+    """Broken records per file, and how many of them still gave some field."""
+    fields = [c for c in records.columns if c != BROKEN]
+    broken = F.col(BROKEN).isNotNull()
+    filed = records.select("*", F.col("_metadata.file_path").alias("file"))
+    counts = filed.groupBy("file").agg(
+        F.count_if(broken).alias("broken"),
+        F.count_if(broken & F.coalesce(*[F.col(f"`{f}`").cast("string") for f in fields]).isNotNull()).alias("partly_read"),
+    )
+    return counts.filter(F.col("broken") > 0)
 
 
 def _xml(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
@@ -174,6 +182,8 @@ def read_microblog_posts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MICROBLOG_POST).json(path, columnNameOfCorruptRecord=BROKEN)
 
 
-register_reader("rss", lambda spark, path: feed_articles(read_feed_entries(spark, path)))
-register_reader("reddit", lambda spark, path: forum_articles(read_forum_posts(spark, path)))
-register_reader("bluesky", lambda spark, path: microblog_articles(read_microblog_posts(spark, path)))
+register_reader("rss", lambda spark, path: feed_articles(readable(read_feed_entries(spark, path))))
+register_reader("reddit", lambda spark, path: forum_articles(readable(read_forum_posts(spark, path))))
+register_reader(
+    "bluesky", lambda spark, path: microblog_articles(readable(read_microblog_posts(spark, path)))
+)

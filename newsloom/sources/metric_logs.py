@@ -16,15 +16,19 @@ def read_metric_log(spark: SparkSession, path: str, run: str, *, strict: bool =
     lines = spark.read.schema(METRIC_LOG_SCHEMA).json(
         path, mode="FAILFAST" if strict else "DROPMALFORMED"
     )
-    return points(lines, run)
+    return points(lines, run, strict=strict)
 
 
-def points(lines: DataFrame, run: str) -> DataFrame:
-    """Metric points of parsed log lines; other line types are left out."""
+def points(lines: DataFrame, run: str, *, strict: bool = False) -> DataFrame:
+    """Metric points of parsed log lines; other line types are left out.
+
+    A time that cannot be read is null, or an error when ``strict``.
+    """
+    moment = F.to_timestamp if strict else F.try_to_timestamp
     return lines.filter(F.col("type") == "Point").select(
         F.lit(run).alias("run"),
         "metric",
-        F.to_timestamp("data.time").alias("ts"),
+        moment(F.col("data.time")).alias("ts"),
         F.col("data.value").alias("value"),
         F.col("data.tags.scenario").alias("scenario"),
         F.col("data.value").alias("seq"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from newsloom.operators.store import append_articles
@@ -13,6 +12,7 @@ from newsloom.sources.landing import (
     MICROBLOG_POST,
     forum_articles,
     microblog_articles,
+    readable,
 )
 
 _JSON_KINDS = {
@@ -30,7 +30,7 @@ def landed_articles(spark: SparkSession, kind: str, folder: str, files_per_batch
         .option("maxFilesPerTrigger", files_per_batch)
         .json(folder)
     )
-    return normalise(posts.filter(F.col(BROKEN).isNull()))
+    return normalise(readable(posts))
 
 
 def append_stream(articles: DataFrame, store: str, checkpoint: str) -> StreamingQuery:

@@ -1,0 +1,126 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from newsloom.operators.selection import (
+    FREE_SLOT_WEIGHTS,
+    Balance,
+    flexible,
+    guaranteed,
+    select_articles,
+    source_quotas,
+)
+
+SCHEMA = "article_id long, title string, source string, score string, seq long"
+FIVE = Balance(total=5)
+
+
+def frame(spark, rows):
+    data = [(i, title, source, str(score), i) for i, (title, source, score) in enumerate(rows)]
+    return spark.createDataFrame(data, SCHEMA)
+
+
+SIX = [
+    ("Article RSS 1", "rss", 0.9),
+    ("Article RSS 2", "rss", 0.8),
+    ("Article Reddit 1", "reddit", 0.7),
+    ("Article Bluesky 1", "bluesky", 0.6),
+    ("Article RSS 3", "rss", 0.5),
+    ("Article Reddit 2", "reddit", 0.4),
+]
+
+
+def counts(selected):
+    return {r["source"]: r["count"] for r in selected.groupBy("source").count().collect()}
+
+
+def expected(rows, balance):
+    """Plain-Python choice over (source, score) rows in input order."""
+    quotas, free = balance.quotas, balance.free_slots
+    feeds = sum(source == "rss" for source, _ in rows)
+    if feeds / max(1, len(rows)) < balance.boost_below:
+        quotas["rss"] -= balance.boost_slots
+        free += balance.boost_slots
+    chosen, rest = [], []
+    for kind in ("rss", "reddit", "bluesky"):
+        own = [i for i, (source, _) in enumerate(rows) if source == kind]
+        chosen += own[: quotas[kind]]
+        rest += own[quotas[kind] :]
+    rest.sort(key=lambda i: rows[i][1] * FREE_SLOT_WEIGHTS[rows[i][0]], reverse=True)
+    return (chosen + rest[:free])[: balance.total]
+
+
+def test_quotas_round_up_and_the_cut_drops_the_last_kind(spark):
+    selected = select_articles(frame(spark, SIX), FIVE)
+    assert counts(selected) == {"rss": 3, "reddit": 2}
+
+
+def test_few_feeds_leave_room_for_others(spark):
+    rows = [("Old RSS", "rss", 0.1)] * 2 + [r for r in SIX if r[1] != "rss"]
+    found = counts(select_articles(frame(spark, rows), FIVE))
+    assert found["reddit"] + found["bluesky"] >= 2
+
+
+def test_only_one_kind_fills_quota_and_boosted_slots(spark):
+    selected = select_articles(frame(spark, [("Only Reddit", "reddit", 0.7)] * 3), FIVE)
+    assert counts(selected) == {"reddit": 3}
+
+
+def test_never_more_than_the_total(spark):
+    assert select_articles(frame(spark, SIX * 5), FIVE).count() == 5
+
+
+@pytest.mark.parametrize("total", [0, -1])
+def test_no_total_selects_nothing(spark, total):
+    assert select_articles(frame(spark, SIX), Balance(total=total)).count() == 0
+
+
+def test_empty_candidates(spark):
+    empty = frame(spark, SIX).filter("false")
+    assert select_articles(empty, FIVE).count() == 0
+    row = source_quotas(empty, FIVE).first()
+    assert (row.feed_share, row.rss_min, row.flexible) == (0.0, 2, 1)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_matches_plain_choice(spark, seed):
+    rng = random.Random(seed)
+    kinds = rng.choices(("rss", "reddit", "bluesky"), weights=rng.choice([(1, 5, 5), (5, 1, 1), (1, 0, 6)]), k=60)
+    rows = [(kind, round(rng.random() * 100, 1)) for kind in kinds]
+    balance = Balance(total=rng.choice([4, 11, 20, 100]), boost_below=rng.choice([0.3, 0.9]))
+    frame_ = frame(spark, [("t", kind, score) for kind, score in rows])
+    got = [r.article_id for r in select_articles(frame_, balance).orderBy("position").collect()]
+    assert got == expected(rows, balance)
+
+
+def test_shares_below_a_hundred_leave_free_slots(spark):
+    balance = Balance(total=20, shares={"rss": 10, "reddit": 10, "bluesky": 10})
+    assert balance.free_slots == 14
+    rows = [("t", "rss", i) for i in range(30)] + [("t", "reddit", 100)] * 3
+    got = [r.article_id for r in select_articles(frame(spark, rows), balance).orderBy("position").collect()]
+    assert got == expected([(s, float(x)) for _, s, x in rows], balance)
+
+
+def test_unknown_kind_is_never_chosen(spark):
+    rows = [("t", "other", 99.0)] * 3 + SIX
+    chosen = select_articles(frame(spark, rows), FIVE)
+    assert chosen.filter("source = 'other'").count() == 0
+
+
+def test_hot_kind_is_pruned_before_the_shuffle(spark):
+    rows = spark.range(0, 3000, 1, 6).select(
+        F.col("id").alias("article_id"),
+        F.when(F.col("id") % 100 == 0, "reddit").otherwise("rss").alias("source"),
+        (F.col("id") % 997).cast("string").alias("score"),
+        F.col("id").alias("seq"),
+    )
+    picks = guaranteed(rows, FIVE)
+    plan = picks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+    assert counts(picks) == {"rss": 3, "reddit": 2}
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    boosted = Balance(total=6, boost_below=1.1)
+    free = [r.article_id for r in flexible(rows, boosted).orderBy("place").collect()]
+    best = sorted(range(3000), key=lambda i: (-(i % 997) * (1.0 if i % 100 == 0 else 1.5), i % 100 == 0, i))
+    assert free == best[:1]
