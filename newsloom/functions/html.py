@@ -41,9 +41,11 @@ def html_text(markup: Column) -> Column:
     character keeps the pieces apart while references are decoded, so that the end of one piece and
     the start of the next never form a reference together.
     """
-    coded = F.when(F.contains(markup, F.lit("&")), without_tags(markup, "\0"))
-    decoded = F.replace(_unescape(coded), F.lit("\0"), F.lit(""))
-    return F.when(coded.isNotNull(), decoded).otherwise(without_tags(markup))
+    has_reference = F.contains(markup, F.lit("&"))
+    decoded = _unescape(F.when(has_reference, without_tags(markup, "\0")))
+    return F.when(has_reference, F.replace(decoded, F.lit("\0"), F.lit(""))).otherwise(
+        without_tags(markup)
+    )
 
 
 def escaped(text: Column) -> Column:

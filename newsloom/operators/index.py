@@ -68,7 +68,7 @@ def refresh_index(
     of those that still exist. Articles that are only added need no refresh: append their rows.
     """
     kept = index.join(changed.select(ID_COLUMN).distinct(), ID_COLUMN, "left_anti")
-    return kept.unionByName(build_index(upserts, index_id=index_id))
+    return kept.select(*index.columns).unionByName(build_index(upserts, index_id=index_id))
 
 
 def term_statistics(articles: DataFrame, *, index_id: bool = False) -> DataFrame:

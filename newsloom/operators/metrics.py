@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.operators.positions import interpolated, lagged, number_rows, value_at, value_ranks
+from newsloom.plans.staging import join_small
 
 # Percentiles of a report, the metrics that decide a verdict, and metric names.
 REPORT_SHARES = (0.50, 0.75, 0.90, 0.95, 0.99)
@@ -77,7 +78,7 @@ def run_report(points: DataFrame, by: Sequence[str] = ("run", "metric")) -> Data
 def seconds_since_start(points: DataFrame, clock: str = METRIC_NAMES["users"]) -> DataFrame:
     """Points with ``elapsed`` seconds since the first point of the clock metric in their run."""
     starts = points.filter(F.col("metric") == clock).groupBy("run").agg(F.min("ts").alias("_start"))
-    joined = points.join(starts, "run")
+    joined = join_small(points, starts, ["run"])
     return joined.withColumn("elapsed", (_micros("ts") - _micros("_start")) / 1e6).drop("_start")
 
 
@@ -117,7 +118,7 @@ def request_rate(points: DataFrame, *, clock: str = METRIC_NAMES["users"], block
     sizes = numbered.groupBy(*series).agg(
         F.min("_number").alias("_first"), F.count("*").alias("_points")
     )
-    placed = numbered.join(sizes, series).withColumn("position", F.col("_number") - F.col("_first") + 1)
+    placed = join_small(numbered, sizes, series).withColumn("position", F.col("_number") - F.col("_first") + 1)
     step = F.least(F.lit(WIDEST_STEP), F.floor(F.col("_points") / 2))
     earlier = lagged(placed, series, "position", "value", step, WIDEST_STEP, "_earlier", block)
     is_clock = F.col("metric") == clock

@@ -8,7 +8,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.plans.staging import checkpointed
+from newsloom.plans.staging import staged
 
 ROWS_PER_CELL = 1_000_000
 MOST_CELLS = 5_000
@@ -19,20 +19,20 @@ _PARTITION_BITS = 33
 def number_rows(frame: DataFrame, order: Sequence[Column | str], out: str = "position") -> DataFrame:
     """Rows numbered from 1 in a total order, without a single-task window.
 
-    A range sort spreads the rows; each row then knows its partition and its place in it. The
-    sorted rows are checkpointed so that the per-partition counts, which give every partition its
-    start, see the same layout. Only those counts (one row per partition) are gathered.
+    A range sort spreads the rows, so the order should be free of long ties. Each row is tagged with
+    its partition and its place there; the tagged rows are staged, so that the counts which give
+    every partition its start belong to the same sort. Only those counts are gathered, one row per
+    partition.
     """
-    tagged = frame.orderBy(*order).withColumn("_tag", F.monotonically_increasing_id())
-    staged = checkpointed(tagged)
+    tagged = staged(frame.orderBy(*order).withColumn("_tag", F.monotonically_increasing_id()))
     part = F.shiftright("_tag", _PARTITION_BITS)
-    counts = staged.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    counts = tagged.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
     starts = counts.select(
         "_part",
         (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_start"),
     )
     place = F.col("_tag").bitwiseAND((1 << _PARTITION_BITS) - 1)
-    numbered = staged.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    numbered = tagged.withColumn("_part", part).join(F.broadcast(starts), "_part")
     return numbered.withColumn(out, F.col("_start") + place + 1).drop("_tag", "_part", "_start")
 
 
@@ -130,6 +130,8 @@ def lagged(
     Positions are cut into blocks; the last ``most_steps`` rows of a block are also sent to the
     next one, so each block is complete on its own and a long series is spread over many tasks.
     """
+    if block < most_steps:
+        raise ValueError(f"a block must hold at least {most_steps} rows")
     place = F.col(position) - 1
     home = F.floor(place / block)
     spills = place % block >= block - most_steps

@@ -9,7 +9,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.plans.staging import checkpointed
+from newsloom.plans.staging import staged
 from newsloom.schemas import SOURCE_KINDS, source_ordinal
 
 # Default shares of the kinds in percent, and their weights for free slots.
@@ -130,19 +130,21 @@ def select_articles(
     order: str = "seq",
     score: str = "score",
     article_id: str = "article_id",
+    *,
+    stage: bool = True,
 ) -> DataFrame:
     """Guaranteed picks in kind order, then free picks, cut at the total; adds ``position``.
 
-    The cut may drop the picks of a later kind. Only the narrow choosing columns are staged, once,
-    so that candidates are computed a single time; full rows are fetched for the chosen ids.
+    The cut may drop the picks of a later kind. Several branches read the candidates, so they are
+    staged first; pass ``stage=False`` for a table that is stored already.
     """
     balance = balance or Balance()
     if balance.total <= 0:
         return candidates.withColumn("position", F.lit(0)).limit(0)
-    keys = checkpointed(
-        candidates.select(
-            article_id, "source", F.col(order).alias("_order"), F.col(score).alias("_score")
-        )
+    if stage:
+        candidates = staged(candidates)
+    keys = candidates.select(
+        article_id, "source", F.col(order).alias("_order"), F.col(score).alias("_score")
     )
     picks = guaranteed(keys, balance, "_order").withColumn("phase", F.lit(0))
     if balance.free_slots + balance.boost_slots > 0:

@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import iso_to_day
 from newsloom.operators.positions import number_rows
+from newsloom.plans.staging import staged
 from newsloom.schemas import REQUIRED_FIELDS, SOURCE_KINDS, STORED_ARTICLE_SCHEMA
 
 KEY = ["title", "published"]
 DAY = "published_day"
 
+# Parts into which the rows of one key are split when a batch meets the stored keys.
+KEY_COPIES = 16
+
 
 def with_default_source(articles: DataFrame, default: str = "rss") -> DataFrame:
     return articles.withColumn("source", F.coalesce("source", F.lit(default)))
@@ -41,8 +45,9 @@ def unseen(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """Articles of a batch whose title and publication are not stored yet.
 
     Repeats inside the batch are all kept. Only stored keys in the batch's publication range can
-    match; the range is a subquery that reaches the scan of the stored table. Stored repeats
-    collapse before the shuffle, on the same keys the join needs.
+    match; the range is a subquery that reaches the scan of the stored table. Keys of both sides
+    collapse in every task before they meet. The rows of the batch then meet only the keys that were
+    found, spread over a few copies of them, so that a key with many rows is not gathered.
     """
     span = batch.agg(F.min("published").alias("low"), F.max("published").alias("high"))
     published = F.col("published")
@@ -55,7 +60,10 @@ def unseen(batch: DataFrame, stored: DataFrame) -> DataFrame:
             (day >= span.select(_day_of(F.col("low"))).scalar())
             & (day <= span.select(_day_of(F.col("high"))).scalar())
         )
-    return batch.join(near.select(*KEY).distinct(), KEY, "left_anti")
+    found = batch.select(*KEY).distinct().join(near.select(*KEY).distinct(), KEY, "left_semi")
+    copies = found.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(KEY_COPIES - 1))))
+    spread = batch.withColumn("_copy", F.pmod(F.xxhash64(*batch.columns), F.lit(KEY_COPIES)).cast("int"))
+    return spread.join(copies, [*KEY, "_copy"], "left_anti").select(*batch.columns)
 
 
 def _day_of(published: Column) -> Column:
@@ -104,16 +112,17 @@ def append_articles(
     invalid ones are left out. New ids continue the stored ones in batch order. The write is a
     single job, so the commit protocol makes it all or nothing.
     """
-    spark = batch.sparkSession
-    stored = read_store(spark, path)
-    new = unseen(batch, stored)
-    good, rejected = split_valid(new)
+    stored = read_store(batch.sparkSession, path)
+    new = staged(
+        validated(unseen(batch, stored)).select(*REQUIRED_FIELDS, F.col(order).alias("_order"), "reject_reason")
+    )
+    is_valid = F.col("reject_reason").isNull()
     if strict:
-        faults = rejected.groupBy("reject_reason").count().collect()
+        faults = new.filter(~is_valid).groupBy("reject_reason").count().collect()
         if faults:
             raise ValueError(f"invalid articles: {({r.reject_reason: r['count'] for r in faults})}")
     last = stored.agg(F.coalesce(F.max("article_id"), F.lit(0)).alias("last")).first().last
-    numbered = number_rows(good.select(*REQUIRED_FIELDS, F.col(order).alias("_order")), ["_order"])
+    numbered = number_rows(new.filter(is_valid), ["_order", "published", "title", "link"])
     rows = stamp_new(numbered, at).select(
         (F.lit(last) + F.col("position")).cast("bigint").alias("article_id"),
         "dt_created",
@@ -123,7 +132,7 @@ def append_articles(
     )
     # Few files per day, and several for a day that holds much of the batch.
     rows.hint("rebalance", DAY).write.mode("append").partitionBy(DAY).parquet(path)
-    return numbered.count()
+    return new.filter(is_valid).count()
 
 
 def newest_first(articles: DataFrame, limit: int | None = None) -> DataFrame:

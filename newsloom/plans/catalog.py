@@ -23,7 +23,7 @@ from newsloom.operators.index import WHOLE, build_index, refresh_index, search_i
 from newsloom.operators.summaries import prompt, summarise, token_rate
 from newsloom.plans import tables
 from newsloom.plans.review import recent_of_both, review
-from newsloom.plans.staging import checkpointed
+from newsloom.plans.staging import staged
 from newsloom.sources.landing import feed_articles, forum_articles, microblog_articles
 from newsloom.sources.subscriptions import address_class, matching_keywords, only_active
 
@@ -197,15 +197,15 @@ def source_counts(spark, folder):
 @_query
 def stage_funnel(spark, folder):
     articles = tables.articles(spark, folder)
-    kept = _kept(spark, folder)
-    chosen = selection.select_articles(kept, BALANCED)
+    kept = staged(_kept(spark, folder).drop("title", "summary"))
+    chosen = selection.select_articles(kept, BALANCED, stage=False)
     return recency.stage_counts(
         {
             "found": articles,
             "recent": recent_of_both(articles, _latest(articles)),
             "kept": kept,
             "chosen": chosen,
-            "summarised": summarise(chosen, limit=10),
+            "summarised": chosen.orderBy("position").limit(10),
         }
     )
 
@@ -392,7 +392,7 @@ def search_result_count(spark, folder):
 @_query
 def search_from_index(spark, folder):
     articles = tables.articles(spark, folder)
-    index = checkpointed(build_index(articles))
+    index = staged(build_index(articles))
     searched = search.query("avec", any_of=["en la", search.unit("ment", prefix=True)])
     found = search_index(articles, index, searched, limit=None, mark=None)
     return found.select("article_id", "title", "score")

@@ -1,30 +1,49 @@
-"""Cutting lineage through the cluster's shared checkpoint folder."""
+"""Results written once to the cluster's shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+# Rows of a side that may be broadcast; beyond it the join is left to shuffle.
+MOST_BROADCAST_ROWS = 100_000
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+
+def _shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
+    if not context.getCheckpointDir():
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            configured = tempfile.mkdtemp(prefix="newsloom-")
         context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="newsloom-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return context.getCheckpointDir()
+
+
+def staged(frame: DataFrame) -> DataFrame:
+    """``frame`` written as a table to the shared checkpoint folder and read back.
+
+    Used where several branches must see the very same rows, or where a costly step would otherwise
+    run once per branch. The table survives lost executors, and each branch reads only its columns.
+    """
+    spark = frame.sparkSession
+    path = f"{_shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """``frame`` written once to the checkpoint folder, so that later readers share one result.
+def join_small(frame: DataFrame, side: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join with a side that is expected to be small, such as a row per run.
 
-    Used where several branches must see the very same rows, or where a costly step would
-    otherwise run once per branch.
+    The side is staged and counted: within the bound it is broadcast, so that a key with most of the
+    rows is never gathered; beyond it both sides are shuffled and skew is left to adaptive execution.
     """
-    _ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    side = staged(side)
+    if side.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS:
+        side = F.broadcast(side)
+    return frame.join(side, list(on))

@@ -1,0 +1,133 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from newsloom.operators import store
+from newsloom.operators.store import (
+    append_articles,
+    newest_first,
+    on_date,
+    read_store,
+    split_valid,
+    stamp_changed,
+    stamp_new,
+    table_of_contents,
+    unseen,
+    with_default_source,
+)
+from newsloom.streaming.ingest import append_stream, landed_articles
+
+SCHEMA = "title string, link string, summary string, score string, published string, source string, seq long"
+AT = dt.datetime(2025, 2, 1, 8)
+
+
+def batch(spark, rows):
+    data = [(t, f"l{i}", "s", "50.0", p, src, i) for i, (t, p, src) in enumerate(rows)]
+    return spark.createDataFrame(data, SCHEMA)
+
+
+FIRST = [
+    ("A", "2025-01-02T10:00:00", "rss"),
+    ("B", "2025-01-01T10:00:00", "reddit"),
+    ("A", "2025-01-03T10:00:00", "bluesky"),
+]
+
+
+def test_append_is_idempotent_and_numbers_on(spark, tmp_path):
+    path = str(tmp_path / "articles")
+    assert append_articles(batch(spark, FIRST), path, at=AT) == 3
+    assert append_articles(batch(spark, FIRST), path, at=AT) == 0
+    more = FIRST[:1] + [("C", "2025-01-02T11:00:00", "rss"), ("A", "2025-01-02T11:00:00", "rss")]
+    assert append_articles(batch(spark, more), path, at=AT) == 2
+    rows = read_store(spark, path).orderBy("article_id").collect()
+    assert [(r.article_id, r.title, r.published) for r in rows] == [
+        (1, "A", "2025-01-02T10:00:00"),
+        (2, "B", "2025-01-01T10:00:00"),
+        (3, "A", "2025-01-03T10:00:00"),
+        (4, "C", "2025-01-02T11:00:00"),
+        (5, "A", "2025-01-02T11:00:00"),
+    ]
+    assert {r.dt_created for r in rows} == {r.dt_updated for r in rows} == {AT}
+    assert {r.published_day for r in rows} == {"2025-01-01", "2025-01-02", "2025-01-03"}
+
+
+def test_repeats_inside_a_batch_are_kept(spark, tmp_path):
+    twice = batch(spark, [FIRST[0], FIRST[0]])
+    assert append_articles(twice, str(tmp_path / "a")) == 2
+    assert unseen(twice, read_store(spark, str(tmp_path / "a"))).count() == 0
+
+
+def test_one_invalid_article_fails_the_batch(spark, tmp_path):
+    path = str(tmp_path / "articles")
+    mixed = batch(spark, [*FIRST, (None, "2025-01-05", "rss"), ("D", "2025-01-05", "unknown")])
+    with pytest.raises(ValueError, match="missing title"):
+        append_articles(mixed, path)
+    assert read_store(spark, path).count() == 0
+    assert append_articles(mixed, path, strict=False) == 3
+    good, rejected = split_valid(mixed)
+    assert good.count() == 3
+    assert {r.reject_reason for r in rejected.collect()} == {"missing title", "unknown source"}
+
+
+def test_hot_keys_and_stored_rows_outside_the_range(spark):
+    hot = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("title"),
+        F.lit("2025-01-02").alias("published"),
+    )
+    stored = spark.createDataFrame(
+        [("hot", "2025-01-02")] * 500 + [("1", "2025-01-02"), ("2", "2024-01-01")],
+        "title string, published string",
+    )
+    assert unseen(hot, stored).count() == 2000 - 1
+    assert unseen(hot.filter("title <> 'hot'"), stored.filter("false")).count() == 2000
+
+
+def test_range_of_the_batch_prunes_stored_days(spark, tmp_path):
+    path = str(tmp_path / "articles")
+    append_articles(batch(spark, FIRST), path)
+    plan = unseen(batch(spark, FIRST[:1]), read_store(spark, path))._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("FileScan") :]
+    assert "published_day" in scan[scan.index("PartitionFilters: [") : scan.index("PushedFilters")]
+
+
+def test_stamps_and_defaults(spark):
+    rows = stamp_new(spark.range(1), AT)
+    changed = stamp_changed(rows, AT + dt.timedelta(days=1)).first()
+    assert changed.dt_created == AT and changed.dt_updated == AT + dt.timedelta(days=1)
+    assert stamp_new(spark.range(1)).first().dt_created is not None
+    sources = spark.createDataFrame([("reddit",), (None,)], "source string")
+    assert [r.source for r in with_default_source(sources).collect()] == ["reddit", "rss"]
+
+
+def test_listing(spark):
+    listed = batch(spark, FIRST + [("Z", "2025-01-03T10:00:00", "rss")]).withColumnRenamed("seq", "article_id")
+    assert [r.article_id for r in newest_first(listed).collect()] == [2, 3, 0, 1]
+    assert [r.article_id for r in newest_first(listed, 1).collect()] == [2]
+    assert {r.article_id for r in on_date(listed, "2025-01-03").collect()} == {2, 3}
+    toc = table_of_contents(listed).orderBy("number").collect()
+    assert [(r.number, r.entry) for r in toc][:2] == [(1, "A (03/01/2025)"), (2, "Z (03/01/2025)")]
+
+
+def test_missing_store_is_empty(spark, tmp_path):
+    assert read_store(spark, str(tmp_path / "none")).count() == 0
+    assert store.DAY in read_store(spark, str(tmp_path / "none")).columns
+
+
+def test_stream_appends_each_article_once(spark, fixtures, tmp_path):
+    landing, table = tmp_path / "landing", str(tmp_path / "articles")
+    landing.mkdir()
+
+    def run(checkpoint):
+        articles = landed_articles(spark, "bluesky", str(landing))
+        append_stream(articles, table, str(tmp_path / checkpoint)).awaitTermination()
+        return read_store(spark, table).count()
+
+    lines = (fixtures / "microblog" / "posts.json").read_text().splitlines()
+    (landing / "one.json").write_text("\n".join(lines[:5]) + "\n")
+    assert run("cp") == 5
+    (landing / "two.json").write_text("\n".join(lines[3:] + ["{broken"]) + "\n")
+    assert run("cp") == 8
+    assert run("fresh-checkpoint") == 8
+    ids = [r.article_id for r in read_store(spark, table).orderBy("article_id").collect()]
+    assert ids == list(range(1, 9))
