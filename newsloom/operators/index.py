@@ -26,6 +26,7 @@ from newsloom.operators.search import (
     shaped,
     top_ranked,
 )
+from newsloom.plans.staging import MOST_BROADCAST_ROWS
 
 # The term that stands for the article itself.
 WHOLE = ""
@@ -152,7 +153,8 @@ def search_index(
         scored = scored.join(articles.select(ID_COLUMN, "published"), ID_COLUMN)
     found = top_ranked(scored, limit, date_min, date_max, inclusive_end=inclusive_end)
     ranks = found.select(ID_COLUMN, "rank", "bm25")
-    found = articles.join(ranks if limit is None else F.broadcast(ranks), ID_COLUMN)
+    few = limit is not None and limit <= MOST_BROADCAST_ROWS
+    found = articles.join(F.broadcast(ranks) if few else ranks, ID_COLUMN)
     found = found.orderBy(F.desc("bm25"), F.asc(ID_COLUMN))
     if mark:
         found = mark_hits(found, searched, *mark)

@@ -159,12 +159,14 @@ def compare_runs(report: DataFrame, base: str, other: str) -> DataFrame:
     """
     stats = [c for c in report.columns if c not in ("run", "metric")]
     doubles = report.select("run", "metric", *[F.col(c).cast("double").alias(c) for c in stats])
-    long = doubles.unpivot(["run", "metric"], stats, "stat", "value").filter("value IS NOT NULL")
+    compared = doubles.filter(F.col("run").isin(base, other))
+    long = compared.unpivot(["run", "metric"], stats, "stat", "value")
 
-    def of(run: str, name: str) -> DataFrame:
-        return long.filter(F.col("run") == run).select("metric", "stat", F.col("value").alias(name))
+    def of(run: str) -> Column:
+        return F.max(F.when(F.col("run") == run, F.col("value")))
 
-    pairs = of(base, "base").join(of(other, "other"), ["metric", "stat"])
+    pairs = long.groupBy("metric", "stat").agg(of(base).alias("base"), of(other).alias("other"))
+    pairs = pairs.filter(F.col("base").isNotNull() & F.col("other").isNotNull())
     change = F.when(F.col("base") != 0, (F.col("other") - F.col("base")) / F.col("base") * 100)
     sign = F.when(F.col("other") < F.col("base"), "better").when(F.col("other") > F.col("base"), "worse")
     is_count = F.col("stat") == "count"
@@ -200,37 +202,40 @@ def service_goals(
 
     Percentiles are interpolated; a rate is the mean of its points. A goal without points is absent.
     """
-    spans = [(n, r, m, op, limit) for n, r, m, op, limit in goals if m != "rate"]
-    rates = [(n, r, m, op, limit) for n, r, m, op, limit in goals if m == "rate"]
-    used = points.filter(F.col("metric").isin(*{names[g[1]] for g in goals}))
-    frames = []
+    used = points.filter(F.col("metric").isin(*{names[goal[1]] for goal in goals}))
+    groups = [*by, "metric"]
+    parts = []
+    spans = [goal for goal in goals if goal[2] != "rate"]
     if spans:
-        spread = used.filter(F.col("metric").isin(*{names[g[1]] for g in spans}))
-        ranks = value_ranks(spread, [*by, "metric"], "value").groupBy(*by, "metric").agg(
-            *[interpolated("value", m).alias(n) for n, _, m, _, _ in spans]
-        )
-        frames += [_goal(ranks, by, names, g, F.col(g[0])) for g in spans]
+        timed = used.filter(F.col("metric").isin(*{names[goal[1]] for goal in spans}))
+        measures = [interpolated("value", goal[2]).alias(goal[0]) for goal in spans]
+        measured = value_ranks(timed, groups, "value").groupBy(*groups).agg(*measures)
+        parts.append(_goal_rows(measured, by, names, [(g, F.col(g[0])) for g in spans]))
+    rates = [goal for goal in goals if goal[2] == "rate"]
     if rates:
-        means = used.groupBy(*by, "metric").agg(F.avg("value").alias("_mean"))
-        frames += [_goal(means, by, names, g, F.col("_mean")) for g in rates]
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionByName(frame)
-    return result
+        means = used.groupBy(*groups).agg(F.avg("value").alias("_mean"))
+        parts.append(_goal_rows(means, by, names, [(g, F.col("_mean")) for g in rates]))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def _goal(
-    frame: DataFrame, by: Sequence[str], names: Mapping[str, str], goal: tuple, measured: Column
+def _goal_rows(
+    measured: DataFrame, by: Sequence[str], names: Mapping[str, str], goals: Sequence[tuple]
 ) -> DataFrame:
-    name, role, _, comparison, limit = goal
-    met = measured < limit if comparison == "<" else measured > limit
-    return frame.filter(F.col("metric") == names[role]).select(
-        *by,
-        F.lit(name).alias("goal"),
-        measured.alias("measured"),
-        F.lit(float(limit)).alias("limit"),
-        met.alias("met"),
-    )
+    """One row per goal of the metric that a measured row belongs to."""
+    rows = []
+    for (name, role, _, comparison, limit), value in goals:
+        met = value < limit if comparison == "<" else value > limit
+        rows.append(
+            F.struct(
+                F.lit(names[role]).alias("_of"),
+                F.lit(name).alias("goal"),
+                value.alias("measured"),
+                F.lit(float(limit)).alias("limit"),
+                met.alias("met"),
+            )
+        )
+    each = measured.select(*by, "metric", F.inline(F.array(*rows)))
+    return each.filter(F.col("metric") == F.col("_of")).drop("metric", "_of")
 
 
 def scenario_goals(

@@ -16,17 +16,20 @@ def recent(
     as_of: dt.datetime | Column,
     max_days: int = 10,
     *,
-    include_cutoff: bool,
+    include_cutoff: bool | Column,
     published: str = "published_ts",
 ) -> DataFrame:
     """Articles of the last ``max_days`` before ``as_of``; unknown dates are dropped.
 
-    Feeds count the cutoff itself as recent, posts do not.
+    Feeds count the cutoff itself as recent, posts do not; a condition column tells them apart in a
+    mixed table, in one scan.
     """
     moment = as_of if isinstance(as_of, Column) else F.lit(as_of)
     cutoff = moment - F.make_interval(days=F.lit(max_days))
     column = F.col(published)
-    return articles.filter(column >= cutoff if include_cutoff else column > cutoff)
+    if isinstance(include_cutoff, bool):
+        return articles.filter(column >= cutoff if include_cutoff else column > cutoff)
+    return articles.filter((column > cutoff) | ((column == cutoff) & include_cutoff))
 
 
 def newest_per_source(

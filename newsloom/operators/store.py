@@ -60,9 +60,11 @@ def unseen(batch: DataFrame, stored: DataFrame) -> DataFrame:
             (day >= span.select(_day_of(F.col("low"))).scalar())
             & (day <= span.select(_day_of(F.col("high"))).scalar())
         )
-    found = batch.select(*KEY).distinct().join(near.select(*KEY).distinct(), KEY, "left_semi")
+    # An inner join: a semi join would be moved below the first distinct.
+    found = batch.select(*KEY).distinct().join(near.select(*KEY).distinct(), KEY)
     copies = found.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(KEY_COPIES - 1))))
-    spread = batch.withColumn("_copy", F.pmod(F.xxhash64(*batch.columns), F.lit(KEY_COPIES)).cast("int"))
+    row = F.xxhash64(*[c for c in batch.columns if c != "summary"])
+    spread = batch.withColumn("_copy", F.pmod(row, F.lit(KEY_COPIES)).cast("int"))
     return spread.join(copies, [*KEY, "_copy"], "left_anti").select(*batch.columns)
 
 
@@ -116,13 +118,15 @@ def append_articles(
     new = staged(
         validated(unseen(batch, stored)).select(*REQUIRED_FIELDS, F.col(order).alias("_order"), "reject_reason")
     )
-    is_valid = F.col("reject_reason").isNull()
-    if strict:
-        faults = new.filter(~is_valid).groupBy("reject_reason").count().collect()
-        if faults:
-            raise ValueError(f"invalid articles: {({r.reject_reason: r['count'] for r in faults})}")
+    outcomes = {r.reject_reason: r["count"] for r in new.groupBy("reject_reason").count().collect()}
+    appended = outcomes.pop(None, 0)
+    if outcomes and strict:
+        raise ValueError(f"invalid articles: {outcomes}")
+    if not appended:
+        return 0
     last = stored.agg(F.coalesce(F.max("article_id"), F.lit(0)).alias("last")).first().last
-    numbered = number_rows(new.filter(is_valid), ["_order", "published", "title", "link"])
+    valid = new.filter(F.col("reject_reason").isNull())
+    numbered = number_rows(valid, ["_order", "published", "title", "link"])
     rows = stamp_new(numbered, at).select(
         (F.lit(last) + F.col("position")).cast("bigint").alias("article_id"),
         "dt_created",
@@ -132,7 +136,7 @@ def append_articles(
     )
     # Few files per day, and several for a day that holds much of the batch.
     rows.hint("rebalance", DAY).write.mode("append").partitionBy(DAY).parquet(path)
-    return new.filter(is_valid).count()
+    return appended
 
 
 def newest_first(articles: DataFrame, limit: int | None = None) -> DataFrame:

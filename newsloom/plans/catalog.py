@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +21,14 @@ from newsloom.functions.text import (
     whole_percent,
 )
 from newsloom.operators import digest, metrics, recency, search, selection, similarity, store
-from newsloom.operators.index import WHOLE, build_index, refresh_index, search_index, term_statistics
+from newsloom.operators.index import WHOLE, build_index, refresh_index, search_index, term_statistics, write_index
 from newsloom.operators.summaries import prompt, summarise, token_rate
 from newsloom.plans import tables
-from newsloom.plans.review import recent_of_both, review
-from newsloom.plans.staging import staged
-from newsloom.sources.landing import feed_articles, forum_articles, microblog_articles
-from newsloom.sources.subscriptions import address_class, matching_keywords, only_active
+from newsloom.plans.review import recent_of_all, review
+from newsloom.plans.staging import shared_path, staged
+from newsloom.sources.landing import BROKEN, feed_articles, forum_articles, microblog_articles
+from newsloom.sources.metric_logs import read_metric_log
+from newsloom.sources.subscriptions import address_class, matching_keywords, only_active, reader_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,8 +41,14 @@ _QUERIES: dict[str, Query] = {}
 
 
 def _query(function: Query) -> Query:
-    _QUERIES[function.__name__] = function
-    return function
+    @wraps(function)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        # Publication texts are in UTC and are read and written so.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return function(spark, folder)
+
+    _QUERIES[function.__name__] = run
+    return run
 
 
 def queries() -> dict[str, Query]:
@@ -103,6 +112,16 @@ def unit_vectors(spark, folder):
     )
 
 
+@_query
+def embedded_articles(spark, folder):
+    def embed(texts: list[str]) -> np.ndarray:
+        return np.array([[text.count(letter) for letter in "aen"] for text in texts])
+
+    embedded = similarity.embed_articles(tables.articles(spark, folder), embed)
+    parts = [F.get("embedding", F.lit(i)).cast("double").alias(f"n_{x}") for i, x in enumerate("aen")]
+    return embedded.select("article_id", *parts)
+
+
 # --- selection --------------------------------------------------------------------------------
 
 
@@ -147,7 +166,7 @@ def daily_review(spark, folder):
     vectors = tables.article_vectors(spark, folder)
     as_of = _latest(articles.join(vectors, "article_id", "left_semi"))
     reviewed = review(
-        recent_of_both(articles, as_of),
+        recent_of_all(articles, as_of),
         vectors,
         tables.keyword_vectors(spark, folder),
         threshold=0.1,
@@ -162,7 +181,7 @@ def daily_review(spark, folder):
 @_query
 def recent_articles(spark, folder):
     articles = tables.articles(spark, folder)
-    return recent_of_both(articles, _latest(articles)).select("article_id", "source", "published")
+    return recent_of_all(articles, _latest(articles)).select("article_id", "source", "published")
 
 
 @_query
@@ -202,7 +221,7 @@ def stage_funnel(spark, folder):
     return recency.stage_counts(
         {
             "found": articles,
-            "recent": recent_of_both(articles, _latest(articles)),
+            "recent": recent_of_all(articles, _latest(articles)),
             "kept": kept,
             "chosen": chosen,
             "summarised": chosen.orderBy("position").limit(10),
@@ -243,9 +262,34 @@ def microblog_feed(spark, folder):
     return microblog_articles(tables.microblog_posts(spark, folder)).drop("published_ts")
 
 
+@_query
+def landed_feeds(spark, folder):
+    """Feed entries written as XML files and read back by the reader of feeds."""
+    rows = tables.feed_rows(spark, folder)
+    path = shared_path(spark, "feeds")
+    items = rows.select("title", "link", F.col("published").alias("pubDate"), F.col("summary").alias("description"))
+    items.write.format("xml").option("rowTag", "item").option("rootTag", "channel").save(path)
+    articles = reader_of("rss")(spark, path)
+    return articles.filter(F.col("published_ts").isNotNull()).select("title", "link", "published", "source")
+
+
+@_query
+def landed_posts(spark, folder):
+    """Posts written as JSON lines, some of them cut off, and read back without those."""
+    posts = tables.microblog_posts(spark, folder)
+    line = F.to_json(F.struct(*[c for c in posts.columns if c not in ("article_id", BROKEN)]))
+    path = shared_path(spark, "posts")
+    cut = F.when(F.col("article_id") % 50 == 0, F.substring(line, 1, 20)).otherwise(line)
+    posts.select(cut.alias("value")).write.text(path)
+    articles = reader_of("bluesky")(spark, path)
+    return articles.groupBy("source_name").agg(
+        F.count("*").alias("articles"), F.sum(F.length("summary")).alias("summary_chars")
+    )
+
+
 @_query
 def feed_keyword_filter(spark, folder):
-    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    title = F.substring_index(F.substring_index("html", "</title>", 1), "<title>", -1)
     feeds = tables.pages(spark, folder).select("page_id", title.alias("title"), "url")
     return matching_keywords(feeds, ["TION", "Example.org", "que"])
 
@@ -276,6 +320,16 @@ def append_new_articles(spark, folder):
     return good.select("article_id", "title", "published", "source")
 
 
+@_query
+def stored_articles(spark, folder):
+    """Half of the articles appended to a new store, then all of them; ids continue."""
+    path = shared_path(spark, "articles")
+    articles = tables.articles(spark, folder)
+    store.append_articles(articles.filter(F.col("article_id") % 2 == 0), path)
+    store.append_articles(articles, path)
+    return store.read_store(spark, path).select("article_id", "title", "published", store.DAY)
+
+
 @_query
 def validate_articles(spark, folder):
     key = F.col("article_id")
@@ -392,7 +446,9 @@ def search_result_count(spark, folder):
 @_query
 def search_from_index(spark, folder):
     articles = tables.articles(spark, folder)
-    index = staged(build_index(articles))
+    path = shared_path(spark, "index")
+    write_index(articles, path)
+    index = spark.read.parquet(path)
     searched = search.query("avec", any_of=["en la", search.unit("ment", prefix=True)])
     found = search_index(articles, index, searched, limit=None, mark=None)
     return found.select("article_id", "title", "score")
@@ -502,6 +558,24 @@ def metric_stats(spark, folder):
     return _rounded(metrics.metric_stats(tables.metric_points(spark, folder)), "avg")
 
 
+@_query
+def metric_log(spark, folder):
+    """Points written as a log with other and broken lines among them, and read back."""
+    points = tables.metric_points(spark, folder)
+    data = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("time"), "value")
+    kind = F.when(F.col("seq") % 10 == 0, "Metric").otherwise("Point")
+    line = F.to_json(F.struct(kind.alias("type"), "metric", data.alias("data")))
+    path = shared_path(spark, "log")
+    cut = F.when(F.col("seq") % 97 == 0, F.substring(line, 1, 15)).otherwise(line)
+    points.select(cut.alias("value")).write.text(path)
+    read = read_metric_log(spark, path, "landed")
+    return read.groupBy("metric").agg(
+        F.count("*").alias("points"),
+        F.round(F.sum("value"), 6).alias("total"),
+        F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last"),
+    )
+
+
 @_query
 def metric_percentiles(spark, folder):
     return metrics.metric_percentiles(tables.metric_points(spark, folder))

@@ -262,6 +262,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT article_id,
                    round(CASE WHEN factor = 0 THEN 0 ELSE v[1] / sqrt(list_inner_product(v, v)) END, 6) AS first,
                    CASE WHEN factor = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS squared_length FROM scaled""",
+        "embedded_articles": f"""WITH {ARTICLES}, texts AS (SELECT article_id, title || ' ' || summary AS t FROM articles)
+            SELECT article_id, (length(t) - length(replace(t, 'a', '')))::DOUBLE AS n_a,
+                   (length(t) - length(replace(t, 'e', '')))::DOUBLE AS n_e,
+                   (length(t) - length(replace(t, 'n', '')))::DOUBLE AS n_n
+            FROM texts WHERE trim(t) <> ''""",
         "source_quotas": f"""WITH {KEPT}, {_selection(20, "0.4")}
             SELECT round(feed_share, 6) AS feed_share, rss_min, reddit_min, bluesky_min, flexible FROM quota""",
         "select_guaranteed": f"""WITH {KEPT}, {_selection(15, "0.3")}
@@ -330,6 +335,13 @@ def oracle_sql() -> dict[str, str]:
                         ELSE 'Unknown' END AS author,
                    CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE 0 END AS likes, 0::BIGINT AS reposts, doc_id % 7 AS replies
             FROM bodies""",
+        "landed_feeds": f"""SELECT CASE WHEN page_id % 7 <> 0 THEN 'Page ' || page_id ELSE 'Sans titre' END AS title,
+                   CASE WHEN page_id % 6 <> 0 THEN url ELSE '#' END AS link,
+                   {_PUBLISHED.format(id="page_id")} AS published, 'rss' AS source
+            FROM pages WHERE page_id % 11 <> 0 AND page_id % 5 <> 0""",
+        "landed_posts": f"""SELECT '@' || CASE WHEN doc_id % 4 <> 0 THEN source || '.example' ELSE 'unknown' END AS source_name,
+                   count(*) AS articles, CAST(sum(length({_MICROBLOG_BODY})) AS BIGINT) AS summary_chars
+            FROM documents WHERE doc_id % 50 <> 0 GROUP BY ALL""",
         "feed_keyword_filter": """WITH feeds AS (
               SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, url FROM pages)
             SELECT * FROM feeds
@@ -346,6 +358,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT article_id, title, published, source FROM articles a
             WHERE NOT EXISTS (SELECT 1 FROM articles s WHERE s.article_id % 2 = 0
                               AND s.title = a.title AND s.published = a.published)""",
+        "stored_articles": f"""WITH {ARTICLES}
+            SELECT CASE WHEN article_id % 2 = 0 THEN article_id // 2 + 1
+                        ELSE (SELECT count(*) FROM articles WHERE article_id % 2 = 0) + article_id // 2 + 1 END AS article_id,
+                   title, published, substr(published, 1, 10) AS published_day
+            FROM articles""",
         "validate_articles": f"""WITH {ARTICLES}
             SELECT article_id,
                    CASE WHEN article_id % 7 = 0 THEN 'missing title'
@@ -443,6 +460,10 @@ def oracle_sql() -> dict[str, str]:
         "metric_stats": f"""WITH {_POINTS}
             SELECT metric, count(*) AS count, round(avg(value), 9) AS avg, min(value) AS min, max(value) AS max
             FROM points GROUP BY metric""",
+        "metric_log": f"""WITH {_POINTS}
+            SELECT metric, count(*) AS points, round(sum(value), 6) AS total,
+                   strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last
+            FROM points WHERE seq % 10 <> 0 AND seq % 97 <> 0 GROUP BY metric""",
         "metric_percentiles": f"""WITH {_POINTS}
             SELECT metric, {_at("0.5")} AS p50, {_at("0.75")} AS p75, {_at("0.9")} AS p90,
                    {_at("0.95")} AS p95, {_at("0.99")} AS p99

@@ -50,18 +50,19 @@ def review(
     limit: int = -1,
     columns: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Chosen and summarised articles of a candidate set, by ``position``."""
+    """Chosen and summarised articles of a candidate set, by ``position``.
+
+    Only vectors of candidates are scored: their ids alone meet the vectors first.
+    """
+    vectors = vectors.join(articles.select("article_id"), "article_id", "left_semi")
     kept = semantic_filter(articles, vectors, keywords, threshold, **(columns or {}))
     chosen = select_articles(kept, balance)
     return summarise(chosen, answer, limit=limit)
 
 
-def recent_of_both(articles: DataFrame, as_of: dt.datetime | Column, max_days: int = 10) -> DataFrame:
+def recent_of_all(articles: DataFrame, as_of: dt.datetime | Column, max_days: int = 10) -> DataFrame:
     """Recency cut of a mixed table: feeds keep the cutoff itself, posts do not."""
-    is_feed = F.col("source") == "rss"
-    feeds = recent(articles.filter(is_feed), as_of, max_days, include_cutoff=True)
-    posts = recent(articles.filter(~is_feed), as_of, max_days, include_cutoff=False)
-    return feeds.unionByName(posts)
+    return recent(articles, as_of, max_days, include_cutoff=F.col("source") == "rss")
 
 
 def keyword_list(text: str, default: Sequence[str] = ()) -> list[str]:

@@ -25,6 +25,11 @@ def _shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(frame: DataFrame) -> DataFrame:
     """``frame`` written as a table to the shared checkpoint folder and read back.
 
@@ -32,7 +37,7 @@ def staged(frame: DataFrame) -> DataFrame:
     run once per branch. The table survives lost executors, and each branch reads only its columns.
     """
     spark = frame.sparkSession
-    path = f"{_shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    path = shared_path(spark, "staged")
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
