@@ -62,8 +62,11 @@ def line_breaks(text: Column) -> Column:
 
 
 def percent_text(similarity: Column) -> Column:
-    """Similarity as one-decimal percent text. Pass the raw double, never a rounded one."""
-    return F.format_string("%.1f", similarity * 100)
+    """Similarity as one-decimal percent text, rounded from the exact binary value.
+
+    Pass the raw double: a value that was rounded before gives another text now and then.
+    """
+    return F.replace(F.format_number(similarity * 100, 1), F.lit(","), F.lit(""))
 
 
 def whole_percent(ratio: Column) -> Column:

@@ -40,6 +40,7 @@ def _entry() -> Column:
         F.lit("Titre: "), field("title"),
         F.lit("\nLien: "), field("link"),
         F.lit("\n"), field("summary"),
+        F.lit("\n---"),
     )
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.operators.positions import interpolated, lagged, number_rows, value_at, value_ranks
@@ -119,10 +119,21 @@ def request_rate(points: DataFrame, *, clock: str = METRIC_NAMES["users"], block
         F.min("_number").alias("_first"), F.count("*").alias("_points")
     )
     placed = join_small(numbered, sizes, series).withColumn("position", F.col("_number") - F.col("_first") + 1)
-    step = F.least(F.lit(WIDEST_STEP), F.floor(F.col("_points") / 2))
-    earlier = lagged(placed, series, "position", "value", step, WIDEST_STEP, "_earlier", block)
     is_clock = F.col("metric") == clock
-    rates = earlier.filter(~is_clock & (F.col("_points") > 1) & (F.col("position") > step)).select(
+    others = placed.filter(~is_clock)
+    full = F.col("_points") >= 2 * WIDEST_STEP
+    long = lagged(others.filter(full), series, "position", "value", WIDEST_STEP, "_earlier", block)
+    # A shorter series has fewer points than this, so its window is tiny.
+    in_order = Window.partitionBy(*series).orderBy("position")
+    steps = [F.lag("value", n).over(in_order) for n in range(1, WIDEST_STEP)]
+    half = F.floor(F.col("_points") / 2).cast("int")
+    short = others.filter(~full & (F.col("_points") > 1)).withColumn(
+        "_earlier", F.get(F.array(*steps), half - 1)
+    )
+    rates = long.unionByName(short).withColumn(
+        "_step", F.least(F.lit(WIDEST_STEP), F.floor(F.col("_points") / 2))
+    )
+    rates = rates.filter(F.col("position") > F.col("_step")).select(
         *series, "position", (F.col("value") - F.col("_earlier")).alias("rate")
     )
     clocks = seconds_since_start(placed.filter(is_clock), clock)

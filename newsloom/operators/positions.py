@@ -120,24 +120,22 @@ def lagged(
     groups: Sequence[str],
     position: str,
     value: str,
-    steps: Column,
-    most_steps: int,
+    steps: int,
     out: str,
     block: int = ROWS_PER_CELL,
 ) -> DataFrame:
     """Value of the row ``steps`` positions earlier in its group, null for the first rows.
 
-    Positions are cut into blocks; the last ``most_steps`` rows of a block are also sent to the
-    next one, so each block is complete on its own and a long series is spread over many tasks.
+    Positions are cut into blocks; the last ``steps`` rows of a block are also sent to the next one,
+    so each block is complete on its own and a long series is spread over many tasks.
     """
-    if block < most_steps:
-        raise ValueError(f"a block must hold at least {most_steps} rows")
+    if block < steps:
+        raise ValueError(f"a block must hold at least {steps} rows")
     place = F.col(position) - 1
     home = F.floor(place / block)
-    spills = place % block >= block - most_steps
+    spills = place % block >= block - steps
     homes = F.when(spills, F.array(home, home + 1)).otherwise(F.array(home))
     copies = numbered.withColumn("_block", F.explode(homes))
     in_block = Window.partitionBy(*groups, "_block").orderBy(position)
-    earlier = F.array(*[F.lag(value, n).over(in_block) for n in range(1, most_steps + 1)])
-    found = copies.withColumn(out, F.get(earlier, (steps - 1).cast("int")))
+    found = copies.withColumn(out, F.lag(value, steps).over(in_block))
     return found.filter(F.col("_block") == home).drop("_block")

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import percent_text, stripped
+
 KEYWORD_BLOCK = 4096
 
 
@@ -141,7 +143,11 @@ def match_keywords(
 
 def with_text(articles: DataFrame) -> DataFrame:
     """Articles whose title and summary are not both blank."""
-    return articles.filter(F.length(F.trim(F.concat_ws(" ", "title", "summary"))) > 0)
+    return articles.filter(F.length(_text()) > 0)
+
+
+def _text() -> Column:
+    return stripped(F.concat_ws(" ", "title", "summary"))
 
 
 def semantic_filter(
@@ -162,8 +168,7 @@ def semantic_filter(
     kept = scored.filter(F.col("similarity") >= threshold).select(
         article_id,
         "similarity",
-        # The raw double is formatted; rounding first would change some texts.
-        F.format_string("%.1f", F.col("similarity") * 100).alias("score"),
+        percent_text(F.col("similarity")).alias("score"),
     )
     return with_text(articles.drop("similarity", "score")).join(kept, article_id)
 
@@ -183,5 +188,4 @@ def embed_articles(
         for texts in batches:
             yield pd.Series(list(np.asarray(embed(texts.tolist()), dtype=np.float32)))
 
-    text = F.trim(F.concat_ws(" ", "title", "summary"))
-    return with_text(articles).withColumn(out, vectors(text))
+    return with_text(articles).withColumn(out, vectors(_text()))

@@ -598,7 +598,7 @@ def metric_rate(spark, folder):
 @_query
 def metric_summary(spark, folder):
     summary = metrics.run_summary(tables.metric_points(spark, folder), tables.ROLES)
-    return _rounded(summary, "requests", "success_rate")
+    return _rounded(summary, "success_rate").withColumn("requests", F.round("requests", 6))
 
 
 @_query

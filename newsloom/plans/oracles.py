@@ -443,7 +443,7 @@ def oracle_sql() -> dict[str, str]:
                    'Mots clés : IA, cybersécurité sur un seuil >= 28%' AS line
             FROM dated GROUP BY digest_day
             UNION ALL
-            SELECT digest_day, seq, 'Titre: ' || title || chr(10) || 'Lien: ' || link || chr(10) || summary FROM dated""",
+            SELECT digest_day, seq, 'Titre: ' || title || chr(10) || 'Lien: ' || link || chr(10) || summary || chr(10) || '---' FROM dated""",
         "digest_page": f"""WITH {ARTICLES}
             SELECT seq AS ord, '<h3><a href="' || {_escape("link")} || '">' || {_escape("title")} || '</a> - 0 % %</h3>' || chr(10) ||
                    '<h4><small>publié le ' || {_DAY.format(id="article_id")} || ' - résumé du ' || {_LOCAL} ||
@@ -489,7 +489,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT run,
                    CASE WHEN count(*) FILTER (WHERE metric = 'click') > 1
                         THEN max_by(value, seq) FILTER (WHERE metric = 'click') ELSE 0 END AS last_requests,
-                   round(coalesce(sum(value) FILTER (WHERE metric = 'click'), 0), 9) AS requests,
+                   round(coalesce(sum(value) FILTER (WHERE metric = 'click'), 0), 6) AS requests,
                    coalesce(sum(value) FILTER (WHERE metric = 'error'), 0) AS failures,
                    round(coalesce(avg(value) FILTER (WHERE metric = 'signup') * 100, 0), 9) AS success_rate,
                    max(value) FILTER (WHERE metric = 'view') AS max_users,

@@ -76,17 +76,15 @@ def test_number_rows_of_nothing(spark):
     assert number_rows(spark.range(0), ["id"]).count() == 0
 
 
-@pytest.mark.parametrize("block", [16, 64, 5000])
+@pytest.mark.parametrize("block", [10, 16, 64, 5000])
 def test_lagged_across_blocks(spark, block):
     rows = [("a", i + 1, float(i * i)) for i in range(200)] + [("b", i + 1, float(i)) for i in range(5)]
     frame = spark.createDataFrame(rows, "g string, position long, v double").repartition(6)
-    steps = F.when(F.col("g") == "a", F.lit(10)).otherwise(F.lit(2))
-    got = {
-        (r.g, r.position): r.old
-        for r in lagged(frame, ["g"], "position", "v", steps, 10, "old", block).collect()
-    }
-    assert len(got) == len(rows)
-    for g, position, _ in rows:
-        earlier = position - (10 if g == "a" else 2)
-        old = {(x, p): v for x, p, v in rows}.get((g, earlier))
-        assert got[g, position] == old
+    got = {(r.g, r.position): r.old for r in lagged(frame, ["g"], "position", "v", 10, "old", block).collect()}
+    values = {(g, position): v for g, position, v in rows}
+    assert got == {(g, position): values.get((g, position - 10)) for g, position in values}
+
+
+def test_lagged_needs_blocks_as_long_as_the_step(spark):
+    with pytest.raises(ValueError):
+        lagged(spark.range(5), [], "id", "id", 10, "old", 9)

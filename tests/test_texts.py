@@ -19,7 +19,9 @@ def test_text_columns(spark):
     assert values(spark, lambda c: t.shorten(c, 3), ["abc", "abcd", None], "string") == ["abc", "abc...", None]
     assert values(spark, t.line_breaks, ["a\nb", None], "string") == ["a<br>\nb", ""]
     assert values(spark, t.iso_to_day, ["2025-01-02T10:00:00", "2025-01-02"], "string") == ["02/01/2025", None]
-    assert values(spark, t.percent_text, [0.4367, 1.0, 0.00049], "double") == ["43.7", "100.0", "0.0"]
+    assert values(spark, t.percent_text, [0.4367, 1.0, 0.00049, 0.0025, 0.4365], "double") == [
+        f"{x * 100:.1f}" for x in (0.4367, 1.0, 0.00049, 0.0025, 0.4365)
+    ]
     assert values(spark, t.whole_percent, [0.5, 0.29, 1.0], "double") == ["50%", "28%", "100%"]
     assert values(spark, t.epoch_text, [1737000000.0], "double") == ["2025-01-16T04:00:00"]
     moments = [dt.datetime(2025, 1, 1, 12), dt.datetime(2025, 7, 1, 22, 30), None]
@@ -102,8 +104,8 @@ def test_digest(spark, tmp_path):
         "Veille Techno - Résumé du 03/02/2025\n\nLes 2 derniers articles filtrés et résumés.\n"
         "Mots clés : ia, agent sur un seuil >= 50%"
     )
-    assert lines[1].line == "Titre: L'IA révolutionne la médecine\nLien: https://domain.ntld\nUn résumé\nsuite"
-    assert lines[2].line.endswith("https://domain2.ntld\n")
+    assert lines[1].line == "Titre: L'IA révolutionne la médecine\nLien: https://domain.ntld\nUn résumé\nsuite\n---"
+    assert lines[2].line.endswith("https://domain2.ntld\n\n---")
     empty = digest_lines(articles.filter("false"), ["test"], 0.3, day="2025-02-03").collect()
     assert len(empty) == 1 and "Les 0 derniers" in empty[0].line
     with pytest.raises(ValueError):
