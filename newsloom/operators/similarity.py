@@ -152,7 +152,7 @@ def _text() -> Column:
 
 def semantic_filter(
     articles: DataFrame,
-    vectors: DataFrame,
+    vectors: DataFrame | None,
     keywords: DataFrame,
     threshold: float = 0.5,
     *,
@@ -161,16 +161,17 @@ def semantic_filter(
 ) -> DataFrame:
     """Articles whose best similarity reaches the threshold, with ``similarity`` and ``score``.
 
-    Vectors are scored and cut before they meet the articles, so only the ids that were kept
-    take part in the join.
+    Articles that carry their vector (``vectors`` is None) are cut in one scan without a shuffle.
+    Vectors of a table of their own are scored and cut before they meet the articles, so only the
+    ids that were kept take part in the join; bucket large tables by id to spare its shuffle.
     """
-    scored = score_vectors(vectors, keywords, **columns)
-    kept = scored.filter(F.col("similarity") >= threshold).select(
-        article_id,
-        "similarity",
-        percent_text(F.col("similarity")).alias("score"),
-    )
-    return with_text(articles.drop("similarity", "score")).join(kept, article_id)
+    texts = with_text(articles.drop("similarity", "score"))
+    reaches = F.col("similarity") >= threshold
+    score = percent_text(F.col("similarity")).alias("score")
+    if vectors is None:
+        return score_vectors(texts, keywords, **columns).filter(reaches).select("*", score)
+    kept = score_vectors(vectors, keywords, **columns).filter(reaches)
+    return texts.join(kept.select(article_id, "similarity", score), article_id)
 
 
 def embed_articles(

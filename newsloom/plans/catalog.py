@@ -91,6 +91,20 @@ def semantic_filter(spark, folder):
     )
 
 
+@_query
+def semantic_filter_inline(spark, folder):
+    """The same cut on articles that carry a vector of their own, one scan."""
+    articles = tables.table(spark, folder, "embeddings").filter(F.col("vec_id") >= tables.KEYWORD_VECTORS)
+    carried = articles.select(
+        F.col("vec_id").alias("article_id"),
+        F.concat(F.lit("Article "), F.col("vec_id").cast("string")).alias("title"),
+        F.when(F.col("label") % 2 == 0, "text").alias("summary"),
+        "embedding",
+    )
+    kept = similarity.semantic_filter(carried, None, tables.keyword_vectors(spark, folder), THRESHOLD)
+    return kept.select("article_id", "title", "score")
+
+
 @_query
 def matched_keywords(spark, folder):
     matched = similarity.match_keywords(

@@ -253,6 +253,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT article_id, round(similarity, 4) AS similarity, printf('%.1f', similarity * 100) AS score FROM best""",
         "semantic_filter": f"""WITH {KEPT}
             SELECT article_id, title, link, published, source, score, round(similarity, 4) AS similarity FROM kept""",
+        "semantic_filter_inline": f"""WITH {PAIRS}
+            SELECT article_id, 'Article ' || article_id AS title, printf('%.1f', similarity * 100) AS score
+            FROM best WHERE similarity >= 0.2""",
         "matched_keywords": f"""WITH {PAIRS}
             SELECT article_id, string_agg(keyword, ',' ORDER BY similarity DESC, keyword) AS keywords
             FROM pairs WHERE similarity >= 0.2 GROUP BY article_id""",

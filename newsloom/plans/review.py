@@ -41,7 +41,7 @@ def fetch(
 
 def review(
     articles: DataFrame,
-    vectors: DataFrame,
+    vectors: DataFrame | None,
     keywords: DataFrame,
     *,
     threshold: float = 0.5,
@@ -52,9 +52,11 @@ def review(
 ) -> DataFrame:
     """Chosen and summarised articles of a candidate set, by ``position``.
 
-    Only vectors of candidates are scored: their ids alone meet the vectors first.
+    Candidates carry their vector, or it is found in ``vectors``; then only the vectors of
+    candidates are scored, since the ids alone meet the vectors first.
     """
-    vectors = vectors.join(articles.select("article_id"), "article_id", "left_semi")
+    if vectors is not None:
+        vectors = vectors.join(articles.select("article_id"), "article_id", "left_semi")
     kept = semantic_filter(articles, vectors, keywords, threshold, **(columns or {}))
     chosen = select_articles(kept, balance)
     return summarise(chosen, answer, limit=limit)

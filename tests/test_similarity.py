@@ -74,6 +74,18 @@ def test_threshold_is_inclusive_and_score_is_text(spark):
     assert [(r.article_id, r.score) for r in kept] == [(1, "60.0")]
 
 
+def test_articles_with_their_own_vector_need_no_join(data):
+    articles, keywords, cosine = data
+    texts = articles.withColumns({"title": F.lit("t"), "summary": F.lit("s")})
+    alone = semantic_filter(texts, None, keywords, 0.4)
+    plan = alone._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    joined = semantic_filter(texts.drop("embedding"), articles, keywords, 0.4)
+    columns = ["article_id", "similarity", "score"]
+    assert sorted(alone.select(columns).collect()) == sorted(joined.select(columns).collect())
+    assert {r.article_id for r in alone.collect()} == {i for i, row in enumerate(cosine) if row.max() >= 0.4}
+
+
 def test_scores_are_computed_once(data):
     articles, keywords, _ = data
     plan = score_vectors(articles, keywords).filter("similarity >= 0.2")._jdf.queryExecution().executedPlan()
