@@ -11,7 +11,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.operators.positions import interpolated, lagged, number_rows, value_at, value_ranks
+from newsloom.operators.positions import (
+    ROWS_PER_CELL,
+    interpolated,
+    lagged,
+    number_rows,
+    value_at,
+    value_ranks,
+)
 from newsloom.plans.staging import join_small
 
 # Percentiles of a report, the metrics that decide a verdict, and metric names.
@@ -58,9 +65,11 @@ def metric_percentiles(
 ) -> DataFrame:
     """Percentiles by position: the value at index ``floor(count * share)`` of the sorted values."""
     ranks = value_ranks(points, by, "value")
-    return ranks.groupBy(*by).agg(
-        *[value_at("value", F.floor(F.col("total") * F.lit(s))).alias(_name(s)) for s in shares]
-    )
+    return ranks.groupBy(*by).agg(*_percentiles(shares))
+
+
+def _percentiles(shares: Sequence[float]) -> list[Column]:
+    return [value_at("value", F.floor(F.col("total") * F.lit(s))).alias(_name(s)) for s in shares]
 
 
 def run_report(points: DataFrame, by: Sequence[str] = ("run", "metric")) -> DataFrame:
@@ -71,7 +80,7 @@ def run_report(points: DataFrame, by: Sequence[str] = ("run", "metric")) -> Data
         (F.sum(F.col("value") * F.col("copies")) / F.sum("copies")).alias("avg"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
-        *[value_at("value", F.floor(F.col("total") * F.lit(s))).alias(_name(s)) for s in REPORT_SHARES],
+        *_percentiles(REPORT_SHARES),
     )
 
 
@@ -103,7 +112,9 @@ def time_buckets(
     )
 
 
-def request_rate(points: DataFrame, *, clock: str = METRIC_NAMES["users"], block: int = 1_000_000) -> DataFrame:
+def request_rate(
+    points: DataFrame, *, clock: str = METRIC_NAMES["users"], block: int = ROWS_PER_CELL
+) -> DataFrame:
     """Growth of each metric over ``w`` points, timed by the clock metric.
 
     ``w`` is 10, or half the points of a shorter series. Rows are aligned by position: the n-th
@@ -118,7 +129,9 @@ def request_rate(points: DataFrame, *, clock: str = METRIC_NAMES["users"], block
     sizes = numbered.groupBy(*series).agg(
         F.min("_number").alias("_first"), F.count("*").alias("_points")
     )
-    placed = join_small(numbered, sizes, series).withColumn("position", F.col("_number") - F.col("_first") + 1)
+    placed = join_small(numbered, sizes, series).withColumn(
+        "position", F.col("_number") - F.col("_first") + 1
+    )
     is_clock = F.col("metric") == clock
     others = placed.filter(~is_clock)
     full = F.col("_points") >= 2 * WIDEST_STEP
@@ -154,7 +167,9 @@ def run_summary(points: DataFrame, names: Mapping[str, str] = METRIC_NAMES) -> D
 
     moment = F.when(metric == names["requests"], F.struct("ts", "seq"))
     return points.groupBy("run").agg(
-        F.when(F.count(of("requests")) > 1, F.max_by(of("requests"), moment)).otherwise(0.0).alias("last_requests"),
+        F.when(F.count(of("requests")) > 1, F.max_by(of("requests"), moment))
+        .otherwise(0.0)
+        .alias("last_requests"),
         F.coalesce(F.sum(of("requests")), F.lit(0.0)).alias("requests"),
         F.coalesce(F.sum(of("failed")), F.lit(0.0)).alias("failures"),
         F.coalesce(F.avg(of("checks")) * 100, F.lit(0.0)).alias("success_rate"),

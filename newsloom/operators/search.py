@@ -260,11 +260,11 @@ def percent_of_best(scored: DataFrame, score: str = "bm25", out: str = "rank") -
 
 
 def percent_of_range(scored: DataFrame, score: str = "bm25", out: str = "rank") -> DataFrame:
-    """Distance from the best score as percent of the score range; null without a range."""
+    """Place of a score in the range of scores: best 100, worst 0; null without a range."""
     ends = scored.agg(F.max(score).alias("high"), F.min(score).alias("low"))
     row = ends.select(F.struct("high", "low")).scalar()
     spread = F.nullif(row["high"] - row["low"], F.lit(0.0))
-    return scored.withColumn(out, F.round(100.0 * (row["high"] - F.col(score)) / spread, 2))
+    return scored.withColumn(out, F.round(100.0 * (F.col(score) - row["low"]) / spread, 2))
 
 
 def top_ranked(

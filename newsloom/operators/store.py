@@ -116,7 +116,9 @@ def append_articles(
     """
     stored = read_store(batch.sparkSession, path)
     new = staged(
-        validated(unseen(batch, stored)).select(*REQUIRED_FIELDS, F.col(order).alias("_order"), "reject_reason")
+        validated(unseen(batch, stored)).select(
+            *REQUIRED_FIELDS, F.col(order).alias("_order"), "reject_reason"
+        )
     )
     outcomes = {r.reject_reason: r["count"] for r in new.groupBy("reject_reason").count().collect()}
     appended = outcomes.pop(None, 0)

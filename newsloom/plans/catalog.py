@@ -21,7 +21,14 @@ from newsloom.functions.text import (
     whole_percent,
 )
 from newsloom.operators import digest, metrics, recency, search, selection, similarity, store
-from newsloom.operators.index import WHOLE, build_index, refresh_index, search_index, term_statistics, write_index
+from newsloom.operators.index import (
+    WHOLE,
+    build_index,
+    refresh_index,
+    search_index,
+    term_statistics,
+    write_index,
+)
 from newsloom.operators.summaries import prompt, summarise, token_rate
 from newsloom.plans import tables
 from newsloom.plans.review import recent_of_all, review
@@ -281,7 +288,9 @@ def landed_feeds(spark, folder):
     """Feed entries written as XML files and read back by the reader of feeds."""
     rows = tables.feed_rows(spark, folder)
     path = shared_path(spark, "feeds")
-    items = rows.select("title", "link", F.col("published").alias("pubDate"), F.col("summary").alias("description"))
+    items = rows.select(
+        "title", "link", F.col("published").alias("pubDate"), F.col("summary").alias("description")
+    )
     items.write.format("xml").option("rowTag", "item").option("rootTag", "channel").save(path)
     articles = reader_of("rss")(spark, path)
     return articles.filter(F.col("published_ts").isNotNull()).select("title", "link", "published", "source")

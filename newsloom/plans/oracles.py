@@ -398,7 +398,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE published >= '2024-01-03' AND published <= '2024-01-20'
             ORDER BY bm25 DESC, article_id LIMIT 10""",
         "search_minmax": f"""WITH {_search(must=["pour"])}
-            SELECT article_id, round(100.0 * ((SELECT max(bm25) FROM hits) - bm25) /
+            SELECT article_id, round(100.0 * (bm25 - (SELECT min(bm25) FROM hits)) /
                    nullif((SELECT max(bm25) FROM hits) - (SELECT min(bm25) FROM hits), 0), 2) AS rank
             FROM hits""",
         "search_highlight": f"""WITH {_search(must=["license"])},

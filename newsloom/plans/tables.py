@@ -130,7 +130,8 @@ def microblog_posts(spark: SparkSession, folder: str) -> DataFrame:
     published = F.expr(
         "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id * 37 as int), 0)"
     )
-    images = F.array(*[F.struct(c.alias("alt")) for c in (F.col("lang"), F.lit(""), F.col("source"), F.lit("cut"))])
+    alts = (F.col("lang"), F.lit(""), F.col("source"), F.lit("cut"))
+    images = F.array(*[F.struct(alt.alias("alt")) for alt in alts])
     return documents.select(
         doc.alias("article_id"),
         F.when(doc % 10 == 9, F.lit("at://short/uri"))
@@ -173,7 +174,9 @@ def feed_rows(spark: SparkSession, folder: str) -> DataFrame:
         F.when(page % 7 != 0, F.concat(F.lit("Page "), page.cast("string"))).alias("title"),
         F.when(page % 6 != 0, F.col("url")).alias("link"),
         F.when(page % 11 == 0, F.lit("some day")).when(page % 5 != 0, mail).alias("published"),
-        F.when((page % 5 == 0) & (page % 11 != 0), F.concat(iso_text(published), F.lit("Z"))).alias("updated"),
+        F.when((page % 5 == 0) & (page % 11 != 0), F.concat(iso_text(published), F.lit("Z"))).alias(
+            "updated"
+        ),
         F.when(page % 13 != 0, F.col("html")).alias("summary"),
         F.when(page % 2 == 0, F.col("html")).alias("content"),
         F.lit(None).cast("string").alias(BROKEN),

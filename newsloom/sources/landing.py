@@ -146,12 +146,12 @@ def readable(records: DataFrame) -> DataFrame:
 
 def broken_counts(records: DataFrame) -> DataFrame:
     """Broken records per file, and how many of them still gave some field."""
-    fields = [c for c in records.columns if c != BROKEN]
+    fields = [F.col(f"`{c}`").cast("string") for c in records.columns if c != BROKEN]
     broken = F.col(BROKEN).isNotNull()
     filed = records.select("*", F.col("_metadata.file_path").alias("file"))
     counts = filed.groupBy("file").agg(
         F.count_if(broken).alias("broken"),
-        F.count_if(broken & F.coalesce(*[F.col(f"`{f}`").cast("string") for f in fields]).isNotNull()).alias("partly_read"),
+        F.count_if(broken & F.coalesce(*fields).isNotNull()).alias("partly_read"),
     )
     return counts.filter(F.col("broken") > 0)
 

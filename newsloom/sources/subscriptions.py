@@ -133,7 +133,9 @@ def _as_struct(schema: str) -> str:
     return ", ".join(f"{name}: {kind}" for name, kind in (f.split() for f in schema.split(", ")))
 
 
-def matching_keywords(feeds: DataFrame, keywords: Sequence[str], columns: Sequence[str] = ("title", "url")) -> DataFrame:
+def matching_keywords(
+    feeds: DataFrame, keywords: Sequence[str], columns: Sequence[str] = ("title", "url")
+) -> DataFrame:
     """Feeds whose title or address contains any keyword, whatever the case."""
     tests = [
         F.contains(F.lower(F.col(column)), F.lit(keyword.lower()))

@@ -181,7 +181,7 @@ def test_empty_queries_are_refused():
 def test_percent_of_range(articles):
     rows = percent_of_range(scan_scores(articles, query("la"))).collect()
     best, worst = max(rows, key=lambda r: r.bm25), min(rows, key=lambda r: r.bm25)
-    assert best["rank"] == 0.0 and worst["rank"] == 100.0
+    assert best["rank"] == 100.0 and worst["rank"] == 0.0
     single = percent_of_range(scan_scores(articles, query("alpine"))).first()
     assert single["rank"] is None
 
