@@ -149,9 +149,9 @@ def search_index(
     """
     hits = index_hits(index, searched)
     scored = scored_hits(hits, searched, index_statistics(index, hits, searched))
-    if date_min is not None or date_max is not None:
-        scored = scored.join(articles.select(ID_COLUMN, "published"), ID_COLUMN)
-    found = top_ranked(scored, limit, date_min, date_max, inclusive_end=inclusive_end)
+    found = top_ranked(
+        scored, limit, date_min, date_max, inclusive_end=inclusive_end, dates=articles
+    )
     ranks = found.select(ID_COLUMN, "rank", "bm25")
     few = limit is not None and limit <= MOST_BROADCAST_ROWS
     found = articles.join(F.broadcast(ranks) if few else ranks, ID_COLUMN)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.highlight import highlighted
 from newsloom.functions.tokens import split_words, tokens
+from newsloom.schemas import DAY
 
 # BM25 saturation and length weight, and the floor of the rarity factor.
 K1, B, RARITY_FLOOR = 1.2, 0.75, 1e-6
@@ -274,19 +275,31 @@ def top_ranked(
     date_max: str | dt.date | None = None,
     *,
     inclusive_end: bool = False,
+    dates: DataFrame | None = None,
 ) -> DataFrame:
-    """Best hits in the date range, with ``rank`` relative to the best hit of any date."""
+    """Best hits in the date range, with ``rank`` relative to the best hit of any date.
+
+    Publication is a column of the hits, or is looked up in ``dates``; then only articles of the
+    range are read.
+    """
     best_first = [F.desc("bm25"), F.asc(ID_COLUMN)]
-    if limit is not None and date_min is None and date_max is None:
+    any_date = date_min is None and date_max is None
+    if limit is not None and any_date:
         # The best hit is among the best ones: no second pass, and the window sees ``limit`` rows.
         top = scored.orderBy(*best_first).limit(limit)
         best = F.max("bm25").over(Window.partitionBy())
         return top.withColumn("rank", F.round(100.0 * F.col("bm25") / best, 2))
     ranked = percent_of_best(scored)
-    if date_min is not None or date_max is not None:
-        ranked = ranked.filter(
-            in_date_range(F.col("published"), date_min, date_max, inclusive_end=inclusive_end)
-        )
+    if not any_date:
+        options = {"inclusive_end": inclusive_end}
+        inside = in_date_range(F.col("published"), date_min, date_max, **options)
+        if dates is None:
+            ranked = ranked.filter(inside)
+        else:
+            if DAY in dates.columns:
+                # The days of a stored table are its partitions.
+                inside &= in_date_range(F.col(DAY), date_min, date_max, **options)
+            ranked = ranked.join(dates.filter(inside).select(ID_COLUMN), ID_COLUMN)
     ranked = ranked.orderBy(*best_first)
     return ranked if limit is None else ranked.limit(limit)
 

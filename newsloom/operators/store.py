@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,10 +12,9 @@ from pyspark.sql import functions as F
 from newsloom.functions.text import iso_to_day
 from newsloom.operators.positions import number_rows
 from newsloom.plans.staging import staged
-from newsloom.schemas import REQUIRED_FIELDS, SOURCE_KINDS, STORED_ARTICLE_SCHEMA
+from newsloom.schemas import DAY, REQUIRED_FIELDS, SOURCE_KINDS, STORED_ARTICLE_SCHEMA
 
 KEY = ["title", "published"]
-DAY = "published_day"
 
 # Parts into which the rows of one key are split when a batch meets the stored keys.
 KEY_COPIES = 16
@@ -111,15 +111,13 @@ def append_articles(
     """Append the unseen articles of a batch to the table at ``path``; returns how many.
 
     With ``strict`` one invalid article fails the whole batch before anything is written, else the
-    invalid ones are left out. New ids continue the stored ones in batch order. The write is a
-    single job, so the commit protocol makes it all or nothing.
+    invalid ones are left out. New ids continue the stored ones in batch order. The write is one
+    job; a batch that is repeated after a failure adds only what is missing.
     """
     stored = read_store(batch.sparkSession, path)
-    new = staged(
-        validated(unseen(batch, stored)).select(
-            *REQUIRED_FIELDS, F.col(order).alias("_order"), "reject_reason"
-        )
-    )
+    # A batch may come from a model: it is computed once, and so is its meeting with the store.
+    batch = staged(batch.select(*REQUIRED_FIELDS, F.col(order).alias("_order")))
+    new = staged(validated(unseen(batch, stored)))
     outcomes = {r.reject_reason: r["count"] for r in new.groupBy("reject_reason").count().collect()}
     appended = outcomes.pop(None, 0)
     if outcomes and strict:
@@ -148,8 +146,14 @@ def newest_first(articles: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def on_date(articles: DataFrame, date: str) -> DataFrame:
-    """Articles whose publication text contains the date text, in no order."""
-    return articles.filter(F.contains("published", F.lit(date)))
+    """Articles whose publication text contains the date text, in no order.
+
+    A whole date reads a single day of a stored table.
+    """
+    found = F.contains("published", F.lit(date))
+    if DAY in articles.columns and re.fullmatch(r"\d{4}-\d{2}-\d{2}", date):
+        found &= F.col(DAY) == date
+    return articles.filter(found)
 
 
 def table_of_contents(articles: DataFrame) -> DataFrame:

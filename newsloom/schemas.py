@@ -11,6 +11,9 @@ SOURCE_KINDS = ("rss", "reddit", "bluesky")
 # Fields every article carries; a stored article must have all of them.
 REQUIRED_FIELDS = ("title", "link", "summary", "score", "published", "source")
 
+# Partition column of the stored table: the first ten characters of the publication text.
+DAY = "published_day"
+
 SOURCES_SCHEMA = (
     "type string, url string, link string, name string, "
     "subreddit string, sort_by string, time_filter string"

@@ -164,6 +164,20 @@ def test_limit_and_index_search_agree(articles, index):
         assert search_index(articles, index, searched, **options).collect() == scan
 
 
+def test_date_range_prunes_the_days_of_a_stored_table(spark, articles, index, tmp_path):
+    path = str(tmp_path / "articles")
+    days = articles.withColumn("published_day", F.substring("published", 1, 10))
+    days.write.partitionBy("published_day").parquet(path)
+    stored = spark.read.schema(days.schema).parquet(path)
+    searched = query(any_of=["la", "docker", "intelligence"])
+    options = {"date_min": "2025-10-20", "date_max": "2025-10-21", "inclusive_end": True, "mark": None}
+    found = search_index(stored, index, searched, **options)
+    assert found.collect() == search(articles, searched, index_id=True, **options).collect()
+    assert len(found.collect()) == 3
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "published_day" in plan and "PartitionFilters: [isnotnull(published_day" in plan
+
+
 @pytest.mark.parametrize("bad", [{"date_min": "20-10-2025"}, {"date_max": "tomorrow"}])
 def test_bad_dates_are_refused(articles, bad):
     with pytest.raises(ValueError, match="YYYY-MM-DD"):

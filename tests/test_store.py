@@ -91,6 +91,16 @@ def test_range_of_the_batch_prunes_stored_days(spark, tmp_path):
     assert "published_day" in scan[scan.index("PartitionFilters: [") : scan.index("PushedFilters")]
 
 
+def test_a_whole_date_reads_one_day(spark, tmp_path):
+    path = str(tmp_path / "articles")
+    append_articles(batch(spark, FIRST), path)
+    found = on_date(read_store(spark, path), "2025-01-03")
+    assert [r.title for r in found.collect()] == ["A"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "(published_day" in plan[plan.index("PartitionFilters: [") : plan.index("PushedFilters")]
+    assert on_date(read_store(spark, path), "2025-01").count() == 3
+
+
 def test_stamps_and_defaults(spark):
     rows = stamp_new(spark.range(1), AT)
     changed = stamp_changed(rows, AT + dt.timedelta(days=1)).first()
