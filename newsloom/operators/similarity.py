@@ -24,7 +24,12 @@ def unit_vector(vector: Column) -> Column:
     """Vector scaled to length one, as doubles; a zero vector stays zero."""
     values = vector.cast("array<double>")
     length = F.sqrt(F.aggregate(values, F.lit(0.0), lambda total, x: total + x * x))
-    return F.when(length > 0, F.transform(values, lambda x: x / length)).otherwise(values)
+
+    def scaled(n: Column) -> Column:
+        return F.when(n > 0, F.transform(values, lambda x: x / n)).otherwise(values)
+
+    # As an element of an array the length is computed once, not once per component.
+    return F.get(F.transform(F.array(length), scaled), F.lit(0))
 
 
 def _unit_rows(rows: np.ndarray) -> np.ndarray:
@@ -143,11 +148,11 @@ def match_keywords(
 
 def with_text(articles: DataFrame) -> DataFrame:
     """Articles whose title and summary are not both blank."""
-    return articles.filter(F.length(_text()) > 0)
 
+    def filled(column: str) -> Column:
+        return F.coalesce(F.length(stripped(F.col(column))) > 0, F.lit(False))
 
-def _text() -> Column:
-    return stripped(F.concat_ws(" ", "title", "summary"))
+    return articles.filter(filled("title") | filled("summary"))
 
 
 def semantic_filter(
@@ -189,4 +194,5 @@ def embed_articles(
         for texts in batches:
             yield pd.Series(list(np.asarray(embed(texts.tolist()), dtype=np.float32)))
 
-    return with_text(articles).withColumn(out, vectors(_text()))
+    text = stripped(F.concat_ws(" ", "title", "summary"))
+    return with_text(articles).withColumn(out, vectors(text))

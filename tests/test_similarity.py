@@ -106,7 +106,7 @@ def test_unit_vector(spark):
 
 def test_embedding_skips_blank_articles(spark):
     rows = spark.createDataFrame(
-        [(1, "ab", "c"), (2, " ", ""), (3, None, "xyz")], "article_id long, title string, summary string"
+        [(1, "ab", "c"), (2, "\u00a0\n", ""), (3, None, "xyz"), (4, None, None)], "article_id long, title string, summary string"
     )
 
     def embed(texts):
