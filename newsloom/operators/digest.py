@@ -17,9 +17,9 @@ def _check(threshold: float) -> None:
         raise ValueError(f"threshold must lie in [0, 1]: {threshold}")
 
 
-def _heading(count: Column, keywords: Sequence[str], threshold: float, day: Column) -> Column:
+def _heading(title: str, count: Column, keywords: Sequence[str], threshold: float, day: Column) -> Column:
     return F.concat(
-        F.lit("Veille Techno - Résumé du "),
+        F.lit(f"{title} - Résumé du "),
         day,
         F.lit("\n\nLes "),
         count.cast("string"),
@@ -49,6 +49,7 @@ def digest_lines(
     keywords: Sequence[str],
     threshold: float = 0.5,
     *,
+    title: str = "Revue de presse",
     order: str = "position",
     day: str | dt.date | None = None,
     day_column: str | None = None,
@@ -74,7 +75,7 @@ def digest_lines(
     headings = counts.select(
         "digest_day",
         F.lit(-1).cast("bigint").alias("ord"),
-        _heading(F.col("_count"), keywords, threshold, F.col("digest_day")).alias("line"),
+        _heading(title, F.col("_count"), keywords, threshold, F.col("digest_day")).alias("line"),
     )
     return headings.unionByName(entries)
 

@@ -441,7 +441,7 @@ def oracle_sql() -> dict[str, str]:
         "digest_lines": f"""WITH {ARTICLES}, dated AS (
               SELECT *, {_DAY.format(id="article_id")} AS digest_day FROM articles)
             SELECT digest_day, -1::BIGINT AS ord,
-                   'Veille Techno - Résumé du ' || digest_day || chr(10) || chr(10) || 'Les ' || count(*) ||
+                   'Revue de presse - Résumé du ' || digest_day || chr(10) || chr(10) || 'Les ' || count(*) ||
                    ' derniers articles filtrés et résumés.' || chr(10) ||
                    'Mots clés : IA, cybersécurité sur un seuil >= 28%' AS line
             FROM dated GROUP BY digest_day

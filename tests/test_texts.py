@@ -101,7 +101,7 @@ def test_digest(spark, tmp_path):
     lines = digest_lines(articles, ["ia", "agent"], 0.5, day="2025-02-03").orderBy("ord").collect()
     assert len(lines) == 3
     assert lines[0].line == (
-        "Veille Techno - Résumé du 03/02/2025\n\nLes 2 derniers articles filtrés et résumés.\n"
+        "Revue de presse - Résumé du 03/02/2025\n\nLes 2 derniers articles filtrés et résumés.\n"
         "Mots clés : ia, agent sur un seuil >= 50%"
     )
     assert lines[1].line == "Titre: L'IA révolutionne la médecine\nLien: https://domain.ntld\nUn résumé\nsuite\n---"
