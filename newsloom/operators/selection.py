@@ -64,17 +64,22 @@ def source_quotas(candidates: DataFrame, balance: Balance) -> DataFrame:
     )
 
 
-def guaranteed(candidates: DataFrame, balance: Balance, order: str = "seq") -> DataFrame:
+def guaranteed(
+    candidates: DataFrame, balance: Balance, order: str = "seq", best_by: str | None = None
+) -> DataFrame:
     """First articles of each kind up to its quota, in input order, with their ``place``.
 
-    Input order counts, not score. The literal bound prunes inside each task before the
+    Input order counts, not score, unless ``best_by`` names a score column. The literal bound prunes inside each task before the
     shuffle; the exact quota, which depends on the boost, is applied to what is left.
     """
     kinds = [F.lit(kind) for kind in SOURCE_KINDS]
     quotas = source_quotas(candidates, balance).select(
         F.map_from_arrays(F.array(*kinds), F.array("rss_min", "reddit_min", "bluesky_min"))
     )
-    in_kind = Window.partitionBy("source").orderBy(order)
+    first = [F.asc(order)]
+    if best_by:
+        first.insert(0, F.desc(F.col(best_by).cast("double")))
+    in_kind = Window.partitionBy("source").orderBy(*first)
     placed = candidates.filter(F.col("source").isin(*SOURCE_KINDS)).withColumn(
         "place", F.row_number().over(in_kind)
     )
@@ -96,6 +101,7 @@ def flexible(
     order: str = "seq",
     score: str = "score",
     article_id: str = "article_id",
+    by_score: bool = False,
 ) -> DataFrame:
     """Best remaining articles by weighted score for the free slots, with their ``place``.
 
@@ -115,7 +121,7 @@ def flexible(
         .orderBy(*best_first)
         .limit(most_free + most_guaranteed)
     )
-    taken = guaranteed(candidates, balance, order).select(article_id)
+    taken = guaranteed(candidates, balance, order, score if by_score else None).select(article_id)
     slots = source_quotas(candidates, balance).select("flexible").scalar()
     # At most ``most_free + most_guaranteed`` rows reach this window.
     placed = pool.join(F.broadcast(taken), article_id, "left_anti").withColumn(
@@ -131,12 +137,14 @@ def select_articles(
     score: str = "score",
     article_id: str = "article_id",
     *,
+    by_score: bool = False,
     stage: bool = True,
 ) -> DataFrame:
     """Guaranteed picks in kind order, then free picks, cut at the total; adds ``position``.
 
     The cut may drop the picks of a later kind. Several branches read the candidates, so they are
-    staged first; pass ``stage=False`` for a table that is stored already.
+    staged first; pass ``stage=False`` for a table that is stored already. ``by_score`` fills the
+    quotas with the best articles of a kind instead of its first.
     """
     balance = balance or Balance()
     if balance.total <= 0:
@@ -146,9 +154,10 @@ def select_articles(
     keys = candidates.select(
         article_id, "source", F.col(order).alias("_order"), F.col(score).alias("_score")
     )
-    picks = guaranteed(keys, balance, "_order").withColumn("phase", F.lit(0))
+    best_by = "_score" if by_score else None
+    picks = guaranteed(keys, balance, "_order", best_by).withColumn("phase", F.lit(0))
     if balance.free_slots + balance.boost_slots > 0:
-        extra = flexible(keys, balance, "_order", "_score", article_id)
+        extra = flexible(keys, balance, "_order", "_score", article_id, by_score)
         picks = picks.unionByName(extra.withColumn("phase", F.lit(1)))
     ranking = [
         F.asc("phase"),

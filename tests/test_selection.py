@@ -102,6 +102,15 @@ def test_shares_below_a_hundred_leave_free_slots(spark):
     assert got == expected([(s, float(x)) for _, s, x in rows], balance)
 
 
+def test_quotas_by_score(spark):
+    rows = [("t", "rss", float(x)) for x in (1, 9, 10, 2, 8)] + [("t", "reddit", 5.0)]
+    balance = Balance(total=4, boost_below=1.1)
+    chosen = select_articles(frame(spark, rows), balance, by_score=True).orderBy("position").collect()
+    assert [r.article_id for r in chosen] == [2, 1, 5]
+    more = select_articles(frame(spark, rows), Balance(total=6, boost_below=1.1), by_score=True)
+    assert [r.article_id for r in more.orderBy("position").collect()] == [2, 1, 5, 4]
+
+
 def test_unknown_kind_is_never_chosen(spark):
     rows = [("t", "other", 99.0)] * 3 + SIX
     chosen = select_articles(frame(spark, rows), FIVE)
