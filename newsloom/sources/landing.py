@@ -47,8 +47,13 @@ def feed_time(text: Column) -> Column:
     The name of the week day is dropped, it adds nothing and the parser refuses it.
     """
     bare = F.trim(F.regexp_replace(text, r"^\s*[A-Za-z]+,\s*", ""))
-    mail = [F.try_to_timestamp(bare, F.lit(f"d MMM yyyy HH:mm:ss {zone}")) for zone in ("z", "xx")]
-    return F.coalesce(*mail, bare.try_cast("timestamp"))
+    mail = [
+        F.try_to_timestamp(bare, F.lit(f"d MMM yyyy {time} {zone}"))
+        for time in ("HH:mm:ss", "HH:mm")
+        for zone in ("z", "XX")
+    ]
+    to_the_minute = F.try_to_timestamp(bare, F.lit("yyyy-MM-dd'T'HH:mmXXX"))
+    return F.coalesce(*mail, bare.try_cast("timestamp"), to_the_minute)
 
 
 def feed_entries(items: DataFrame | None, entries: DataFrame | None) -> DataFrame:

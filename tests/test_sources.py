@@ -90,6 +90,24 @@ def test_feed_entries(spark, fixtures):
     assert all(r.score == "0 %" and r.source == "rss" for r in got.values())
 
 
+def test_feed_times(spark):
+    texts = {
+        "Mon, 20 Jan 2025 12:00:00 GMT": 12,
+        "20 Jan 2025 12:00:00 +0200": 10,
+        "Mon,  20 Jan 2025 12:00 Z": 12,
+        "Mon, 20 Jan 2025 12:00:00 EST": 17,
+        "2025-01-20T12:00:00-03:00": 15,
+        "2025-01-20T12:00Z": 12,
+        "2025-01-20": 0,
+        "Mon, 20 Jan": None,
+        "": None,
+        None: None,
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.h for r in rows.select("t", F.hour(landing.feed_time(F.col("t"))).alias("h")).collect()}
+    assert got == texts
+
+
 def test_cutoff_counts_for_feeds_but_not_for_posts(spark, fixtures):
     articles = landing.feed_articles(landing.read_feed_entries(spark, str(fixtures / "feeds")))
     links = {r.link for r in recent(articles, AS_OF, 10, include_cutoff=True).collect()}
