@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import language, packing, toxicity
+from newsloom.llm import (
+    brown,
+    dialogue,
+    fingerprints,
+    jaccard,
+    language,
+    mixing,
+    packing,
+    sharding,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +58,25 @@ def op1_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), tokenizer_file())
 
 
+@_query
+def op3_sharding(spark, folder):
+    placed = sharding.shard(table(spark, folder, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@_query
+def op4_jaccard(spark, folder):
+    return jaccard.jaccard_components(table(spark, folder, "documents"))
+
+
+@_query
+def op5_dialogue(spark, folder):
+    return dialogue.rotate(table(spark, folder, "conversations"))
+
+
 @_query
 def op6_toxicity(spark, folder):
     docs, held_out = table(spark, folder, "documents"), fold(5) == 0
@@ -56,6 +85,16 @@ def op6_toxicity(spark, folder):
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+@_query
+def op7_brown(spark, folder):
+    docs, held_out = table(spark, folder, "documents"), fold(5) == 1
+    model, counts = brown.fit(docs.filter(~held_out))
+    return brown.scores(docs, model, counts).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score", "perplexity",
+    )
+
+
 @_query
 def op8_language(spark, folder):
     docs, held_out = table(spark, folder, "documents"), fold(4) == 2
@@ -69,3 +108,22 @@ def op8_language(spark, folder):
         F.col("guess.score").alias("score"),
         F.col("guess.rejected").alias("rejected"),
     )
+
+
+@_query
+def op9_fingerprints(spark, folder):
+    return fingerprints.edited_fingerprints(table(spark, folder, "documents"))
+
+
+@_query
+def op10_mixing(spark, folder):
+    docs = table(spark, folder, "documents")
+    mixed = mixing.mix(docs)
+    names = sorted(mixed.targets, key=lambda s: (s is None, s or ""))
+    # At most mixing.MOST_PATTERNS sources.
+    aims = spark.createDataFrame([(s, round(float(mixed.targets[s]), 6)) for s in names], "name string, target double")
+    rows = mixed.rows.withColumn("source", F.get("held", F.lit(0)))
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    aims = aims.join(sizes, F.col("name").eqNullSafe(F.col("source"))).select("name", "target", "source_size")
+    joined = rows.join(F.broadcast(aims), F.col("source").eqNullSafe(F.col("name")))
+    return joined.select("doc_id", "size", "source_size", "target", "taken", "copies")
