@@ -32,21 +32,18 @@ class Identifier(NamedTuple):
 
 
 def _share_features(frame: DataFrame, text: str, keep: list[str], grams: Grams) -> DataFrame:
-    kind = "array<int>, share array<float>"
+    """The kept columns with bucket ids (32-bit integers) and shares (32-bit floats) as bytes."""
 
     def spread(batches):
         for batch in batches:
             found = list(text_features(batch.column(text), grams))
             columns = [batch.column(k) for k in keep]
-            columns += [
-                pa.array([ids for ids, _ in found], pa.list_(pa.int32())),
-                pa.array([share for _, share in found], pa.list_(pa.float32())),
-            ]
+            columns += [pa.array([part[k].tobytes() for part in found], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", "share"])
 
     types = dict(frame.dtypes)
     fields = ", ".join(f"{k} {types[k]}" for k in keep)
-    return frame.select(text, *keep).mapInArrow(spread, f"{fields}, ids {kind}")
+    return frame.select(text, *keep).mapInArrow(spread, f"{fields}, ids binary, share binary")
 
 
 def sample_features(sample: DataFrame, text: str, label: str, grams: Grams) -> tuple[list, list]:
@@ -55,12 +52,14 @@ def sample_features(sample: DataFrame, text: str, label: str, grams: Grams) -> t
     Features hold at most ``2**grams.bits`` entries a text, however long it is.
     """
     rows = _share_features(sample, text, ["doc_id", label], grams).toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), (label, "ascending")])
+    order = sorted(range(len(rows)), key=lambda i, k=rows["doc_id"], v=rows[label]: (str(k[i]), str(v[i])))
+    ids, share = rows["ids"], rows["share"]
     features = [
-        (np.asarray(i, np.int32), np.asarray(s, np.float32))
-        for i, s in zip(rows["ids"].to_pylist(), rows["share"].to_pylist(), strict=True)
+        (np.frombuffer(ids[i].as_buffer(), np.int32), np.frombuffer(share[i].as_buffer(), np.float32))
+        for i in order
     ]
-    return features, rows[label].to_pylist()
+    labels = rows[label].to_pylist()
+    return features, [labels[i] for i in order]
 
 
 def fit(

@@ -18,7 +18,7 @@ from newsloom.llm.language import sample_features
 from newsloom.llm.subwords import Grams, Model, logits, train
 
 GRAMS = Grams(orders=(3, 4, 5, 6), bits=17, letters_only=False, pad=100)
-SAMPLE = 3000
+SAMPLE = 2000
 
 
 class Detector(NamedTuple):
