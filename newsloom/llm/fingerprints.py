@@ -97,14 +97,14 @@ def likeness(one: str, two: str) -> float:
     return same / max(len(a), len(b))
 
 
-@F.arrow_udf("string")
-def _fingerprints(texts: pa.Array) -> pa.Array:
-    return pa.array([fingerprint(t or "") for t in texts.to_pylist()], pa.string())
-
-
 def fingerprinted(text: Column) -> Column:
     """The fingerprint of every text; null counts as empty. Equal texts have equal fingerprints."""
-    return _fingerprints(text)
+
+    @F.arrow_udf("string")
+    def prints(texts: pa.Array) -> pa.Array:
+        return pa.array([fingerprint(t.as_py() or "") for t in texts], pa.string())
+
+    return prints(text)
 
 
 def _with_next(docs: DataFrame) -> DataFrame:

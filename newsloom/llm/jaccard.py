@@ -232,6 +232,7 @@ def _linked_to(table: pa.Table, width: int, percent: int) -> pa.Table:
         sizes = np.array([len(s) for s in sets])
         union = sizes[:, None] + sizes[None, :] - common
         linked = 100 * common >= percent * union
+        np.fill_diagonal(linked, True)
         label = np.arange(len(sets))
         while True:
             near = np.where(linked, label[None, :], len(sets)).min(axis=1)

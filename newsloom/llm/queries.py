@@ -33,10 +33,6 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
