@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from newsloom.llm.texts import free_name
 from newsloom.plans.staging import staged
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -30,10 +31,19 @@ _CELL = 3  # hex digits of the seeded order per level
 
 
 class Mixed(NamedTuple):
-    """Sources with their targets, and a row per document with the words taken."""
+    """Sources with their targets, and a small table of what is taken of each pattern.
+
+    ``plan`` has ``name`` (the pattern), ``whole`` (copies of all its documents) and ``cut``: documents up to
+    this key, in the seeded order, are taken once more (null: none).
+    """
 
     targets: dict[str | None, float]
-    rows: DataFrame
+    plan: DataFrame
+    sources: str
+    text: str
+    key: str
+    seed: str
+    most: int
 
 
 def targets(sizes: dict, weights: dict, total: float, most: float = MOST_COPIES) -> dict:
@@ -158,6 +168,23 @@ def _cuts(units: DataFrame, extra: DataFrame) -> DataFrame:
     )
 
 
+def _held(docs: DataFrame, sources: str) -> Column:
+    """The pattern of a row: its distinct sources in order."""
+    kind = docs.schema[sources].dataType
+    if not isinstance(kind, T.ArrayType):
+        return F.array(F.col(sources))
+    held = F.array_sort(F.array_distinct(F.coalesce(F.col(sources), F.array().cast(kind))))
+    return F.when(F.size(held) == 0, F.array(F.lit(None).cast("string"))).otherwise(held)
+
+
+def _name(held: Column) -> Column:
+    return F.to_json(F.struct(held.alias("held")), {"ignoreNullFields": "false"})
+
+
+def _seeded(seed: str, key: str, text: str) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"), F.col(text)).cast("binary"))
+
+
 def mix(
     docs: DataFrame,
     sources: str = "source",
@@ -168,27 +195,19 @@ def mix(
     most: int = MOST_COPIES,
     seed: str = SEED,
 ) -> Mixed:
-    """The words to take from every document, so that sources come near their targets.
+    """What to take so that sources come near their targets.
 
     ``sources`` is a string column, or an array of the sources that hold the document. Sources in code
     point order, null last, weigh ``weights``, repeating; they share ``share`` times all words, at most
     ``most`` times a source's own. A document is taken whole, at most ``most`` times. Rows that are equal in
     id and text are taken alike; a document without words has none to take; a repeated or missing source
     in an array counts once (an empty or null array: the null source). More than ``MOST_PATTERNS`` patterns
-    are an error, as their table comes to the driver.
-
-    ``rows`` has ``doc_id, size, pattern, taken, copies`` and the ``unit`` key, a row per document.
+    are an error, as their table comes to the driver. An empty table has no sources.
     """
-    kind = docs.schema[sources].dataType
-    held = F.col(sources)
-    if isinstance(kind, T.ArrayType):
-        held = F.array_sort(F.array_distinct(F.coalesce(held, F.array().cast(kind))))
-        held = F.when(F.size(held) == 0, F.array(F.lit(None).cast("string"))).otherwise(held)
-    else:
-        held = F.array(held)
-    order = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"), F.col(text)).cast("binary"))
+    spark = docs.sparkSession
+    held = _held(docs, sources)
     rows = staged(docs.select(
-        F.col(key).alias("doc_id"), word_count(F.col(text)).alias("size"), held.alias("held"), order.alias("key")
+        word_count(F.col(text)).alias("size"), held.alias("held"), _seeded(seed, key, text).alias("key")
     ))
     patterns = rows.groupBy("held").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
     if len(patterns) > MOST_PATTERNS:
@@ -208,20 +227,34 @@ def mix(
     for i, (p, parts) in enumerate(zip(patterns, sent, strict=True)):
         total = sum(parts)
         whole = min(most, int(total / p["size"] + 1e-9)) if p["size"] else 0
-        plan.append((i, list(p.held), whole, float(max(0.0, total - whole * p["size"])), p["size"]))
-    schema = "pattern int, held array<string>, whole int, wanted double, words bigint"
-    # At most MOST_PATTERNS rows.
-    plans = F.broadcast(docs.sparkSession.createDataFrame(plan, schema))
-    same = F.to_json(F.struct("held"), {"ignoreNullFields": "false"})
-    keyed = rows.withColumn("name", same).join(plans.withColumn("name", same).drop("held"), "name")
-    units = keyed.filter((F.col("size") > 0) & (F.col("wanted") > 0)).select("pattern", "key", "size")
-    cuts = staged(_cuts(units, docs.sparkSession.createDataFrame(
-        [(p[0], p[3]) for p in plan if p[3] > 0], "pattern int, wanted double")))
-    placed = keyed.join(F.broadcast(cuts), "pattern", "left")
-    more = F.coalesce((F.col("key") <= F.col("cut")) & (F.col("size") > 0), F.lit(False)).cast("int")
-    copies = F.least(F.col("whole") + more, F.lit(most))
-    out = placed.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0)).select(
-        "doc_id", "size", "held", "pattern", "copies", (F.col("size") * F.col("copies")).alias("taken"),
-        F.col("key").alias("unit"),
-    )
-    return Mixed(wanted, out)
+        plan.append((i, list(p.held), whole, float(max(0.0, total - whole * p["size"]))))
+    # At most MOST_PATTERNS rows, here and below.
+    plans = spark.createDataFrame(plan, "pattern int, held array<string>, whole int, wanted double")
+    plans = staged(plans.select("pattern", _name(F.col("held")).alias("name"), "whole", "wanted").coalesce(1))
+    units = rows.filter("size > 0").withColumn("name", _name(F.col("held")))
+    units = units.join(F.broadcast(plans), "name").filter("wanted > 0").select("pattern", "key", "size")
+    cuts = staged(_cuts(units, plans.filter("wanted > 0").select("pattern", "wanted")))
+    table = staged(plans.join(F.broadcast(cuts), "pattern", "left").select("name", "whole", "cut").coalesce(1))
+    return Mixed(wanted, table, sources, text, key, seed, most)
+
+
+def taken(docs: DataFrame, mixed: Mixed, size: str = "size", copies: str = "copies") -> DataFrame:
+    """All rows and columns, with the words of each text and how often it is taken, under free names."""
+    size, copies = free_name(docs.columns, size), free_name(docs.columns, copies)
+    # One name per added column, none of which the table has.
+    name, whole, cut = (free_name(docs.columns, x) for x in ("_name", "_whole", "_cut"))
+    plan = F.broadcast(mixed.plan.select(F.col("name").alias(name), F.col("whole").alias(whole), F.col("cut").alias(cut)))
+    placed = docs.withColumn(name, _name(_held(docs, mixed.sources))).join(plan, name)
+    more = F.coalesce(_seeded(mixed.seed, mixed.key, mixed.text) <= F.col(cut), F.lit(False)).cast("int")
+    often = F.least(F.col(whole) + more, F.lit(mixed.most))
+    placed = placed.withColumn(size, word_count(F.col(mixed.text)))
+    placed = placed.withColumn(copies, F.when(F.col(size) > 0, often).otherwise(0))
+    return placed.select(*docs.columns, size, copies)
+
+
+def mixture(docs: DataFrame, mixed: Mixed) -> DataFrame:
+    """The mix itself: every row as often as it is taken, columns as they were."""
+    copies = free_name(docs.columns, "copies")
+    often = taken(docs, mixed)
+    repeated = often.filter(F.col(copies) > 0).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return repeated.select(*docs.columns)

@@ -14,6 +14,7 @@ from newsloom.llm import (
     jaccard,
     language,
     mixing,
+    neighbours,
     packing,
     sharding,
     toxicity,
@@ -54,6 +55,12 @@ def op1_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), tokenizer_file())
 
 
+@_query
+def op2_neighbours(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    return neighbours.search(neighbours.build(vectors), vectors.filter("vec_id % 20 = 0"))
+
+
 @_query
 def op3_sharding(spark, folder):
     placed = sharding.shard(table(spark, folder, "documents"))
@@ -113,13 +120,14 @@ def op9_fingerprints(spark, folder):
 
 @_query
 def op10_mixing(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     mixed = mixing.mix(docs)
-    names = sorted(mixed.targets, key=lambda s: (s is None, s or ""))
+    rows = mixing.taken(docs, mixed).drop("text")
     # At most mixing.MOST_PATTERNS sources.
-    aims = spark.createDataFrame([(s, round(float(mixed.targets[s]), 6)) for s in names], "name string, target double")
-    rows = mixed.rows.withColumn("source", F.get("held", F.lit(0)))
+    aims = [(s, round(float(t), 6)) for s, t in mixed.targets.items()]
+    aims = spark.createDataFrame(aims, "name string, target double")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = aims.join(sizes, F.col("name").eqNullSafe(F.col("source"))).select("name", "target", "source_size")
     joined = rows.join(F.broadcast(aims), F.col("source").eqNullSafe(F.col("name")))
-    return joined.select("doc_id", "size", "source_size", "target", "taken", "copies")
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return joined.select("doc_id", "size", "source_size", "target", taken, "copies")
