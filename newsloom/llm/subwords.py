@@ -136,9 +136,13 @@ def train(
     epochs: int = 12,
     batch: int = 64,
     rate: float = 0.3,
+    least_steps: int = 600,
     seed: int = 7,
 ) -> Model:
-    """Vectors and softmax by stochastic gradient descent, each step scaled by its past gradients."""
+    """Vectors and softmax by stochastic gradient descent, each step scaled by its past gradients.
+
+    A small sample is gone through more than ``epochs`` times, for ``least_steps`` steps in all.
+    """
     random = np.random.default_rng(seed)
     vectors = random.normal(0, 0.1, (1 << grams.bits, dim)).astype(np.float32)
     weights = random.normal(0, 0.3, (dim, n_classes)).astype(np.float32)
@@ -147,6 +151,7 @@ def train(
     targets = np.eye(n_classes, dtype=np.float32)[classes]
     # Texts without n-grams teach nothing about vectors.
     usable = np.array([i for i, (ids, _) in enumerate(features) if len(ids)], dtype=np.int64)
+    epochs = max(epochs, -(-least_steps * batch // max(batch, len(usable))))
     for epoch in range(epochs):
         order = random.permutation(usable)
         step = rate * (1 - epoch / epochs) + 0.01
