@@ -45,9 +45,15 @@ def local_datetime(utc: Column, zone: str = "Europe/Paris") -> Column:
     return F.coalesce(local, F.lit("N/A"))
 
 
+def utc_time(moment: Column) -> Column:
+    """A point in time as UTC wall clock time, whatever the session's zone."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), moment.cast("timestamp_ntz"))
+
+
 def epoch_text(seconds: Column) -> Column:
-    """Epoch seconds as ISO text in UTC."""
-    return iso_text(F.timestamp_seconds(seconds))
+    """Epoch seconds as ISO text in UTC, whatever the session's zone."""
+    start = F.lit("1970-01-01T00:00:00").cast("timestamp_ntz")
+    return iso_text(start + F.make_dt_interval(secs=seconds.cast("decimal(18,6)")))
 
 
 def wall_clock(iso: Column) -> Column:

@@ -82,18 +82,50 @@ def digest_lines(
 
 def html_entries(articles: DataFrame, *, order: str = "position") -> DataFrame:
     """HTML block per article: linked title with score, both dates, body with line breaks."""
+    return articles.select(F.col(order).cast("bigint").alias("ord"), _html_block().alias("block"))
 
+
+def _html_block() -> Column:
     def field(name: str) -> Column:
         return escaped(F.coalesce(F.col(name).cast("string"), F.lit("")))
 
-    block = F.concat(
+    return F.concat(
         F.lit('<h3><a href="'), field("link"), F.lit('">'), field("title"), F.lit("</a> - "),
         field("score"), F.lit(" %</h3>\n<h4><small>publié le "),
         F.coalesce(iso_to_day(F.col("published")), F.lit("")),
         F.lit(" - résumé du "), local_datetime(F.col("dt_created")),
         F.lit("</small></h4>\n<p>"), line_breaks(escaped(F.col("summary"))), F.lit("</p>"),
     )
-    return articles.select(F.col(order).cast("bigint").alias("ord"), block.alias("block"))
+
+
+def html_page(
+    articles: DataFrame,
+    keywords: Sequence[str],
+    threshold: float = 0.5,
+    *,
+    title: str = "Revue de presse",
+    order: str = "position",
+    day_column: str = "day",
+) -> DataFrame:
+    """HTML digest as rows ``digest_day, ord, block``: a heading per day (-1), then a block per article.
+
+    The heading names the day, the number of articles, the keywords and the threshold. Scores are texts
+    with or without a percent sign.
+    """
+    _check(threshold)
+    bare = F.trim(F.regexp_replace(F.col("score").cast("string"), r"\s*%\s*$", ""))
+    dated = articles.withColumns({"digest_day": F.col(day_column), "score": bare})
+    counts = dated.groupBy("digest_day").agg(F.count("*").alias("_count"))
+    heading = F.concat(
+        F.lit("<h1>"), escaped(F.lit(title)), F.lit(" - Résumé du "), F.col("digest_day"), F.lit("</h1>\n<p>Les "),
+        F.col("_count").cast("string"), F.lit(" derniers articles filtrés et résumés.</p>\n<p>Mots clés : "),
+        escaped(F.lit(", ".join(keywords))), F.lit(" sur un seuil &gt;= "), whole_percent(F.lit(float(threshold))),
+        F.lit("</p>"),
+    )
+    heads = counts.select("digest_day", F.lit(-1).cast("bigint").alias("ord"), heading.alias("block"))
+    return heads.unionByName(
+        dated.select("digest_day", F.col(order).cast("bigint").alias("ord"), _html_block().alias("block"))
+    )
 
 
 def write_digest(lines: DataFrame, path: str) -> None:

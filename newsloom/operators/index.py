@@ -26,7 +26,6 @@ from newsloom.operators.search import (
     shaped,
     top_ranked,
 )
-from newsloom.plans.staging import MOST_BROADCAST_ROWS
 
 # The term that stands for the article itself.
 WHOLE = ""
@@ -153,8 +152,7 @@ def search_index(
         scored, limit, date_min, date_max, inclusive_end=inclusive_end, dates=articles
     )
     ranks = found.select(ID_COLUMN, "rank", "bm25")
-    few = limit is not None and limit <= MOST_BROADCAST_ROWS
-    found = articles.join(F.broadcast(ranks) if few else ranks, ID_COLUMN)
+    found = articles.join(ranks, ID_COLUMN)
     found = found.orderBy(F.desc("bm25"), F.asc(ID_COLUMN))
     if mark:
         found = mark_hits(found, searched, *mark)

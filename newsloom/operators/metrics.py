@@ -12,14 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.operators.positions import (
-    ROWS_PER_CELL,
+    BLOCK_ROWS,
     interpolated,
     lagged,
     number_rows,
     value_at,
     value_ranks,
 )
-from newsloom.plans.staging import join_small
 
 # Percentiles of a report, the metrics that decide a verdict, and metric names.
 REPORT_SHARES = (0.50, 0.75, 0.90, 0.95, 0.99)
@@ -30,6 +29,7 @@ METRIC_NAMES = {
     "duration": "http_req_duration",
     "failed": "http_req_failed",
     "checks": "checks",
+    "errors": "errors",
 }
 
 # Service goals as (name, role, measure, comparison, limit).
@@ -40,6 +40,13 @@ GOALS = (
     ("failure_rate", "failed", "rate", "<", 0.01),
     ("check_rate", "checks", "rate", ">", 0.99),
 )
+# Goals of the realistic mix, in the same form.
+MIX_GOALS = (
+    ("p95", "duration", 0.95, "<", 500.0),
+    ("p99", "duration", 0.99, "<", 1000.0),
+    ("failed_requests", "failed", "rate", "<", 0.05),
+    ("errors", "errors", "rate", "<", 0.05),
+)
 # Limits of the 95th percentile of durations per scenario.
 SCENARIO_GOALS = {"constant_load": 300.0, "spike": 800.0}
 
@@ -87,7 +94,7 @@ def run_report(points: DataFrame, by: Sequence[str] = ("run", "metric")) -> Data
 def seconds_since_start(points: DataFrame, clock: str = METRIC_NAMES["users"]) -> DataFrame:
     """Points with ``elapsed`` seconds since the first point of the clock metric in their run."""
     starts = points.filter(F.col("metric") == clock).groupBy("run").agg(F.min("ts").alias("_start"))
-    joined = join_small(points, starts, ["run"])
+    joined = points.join(starts, "run")
     return joined.withColumn("elapsed", (_micros("ts") - _micros("_start")) / 1e6).drop("_start")
 
 
@@ -113,7 +120,7 @@ def time_buckets(
 
 
 def request_rate(
-    points: DataFrame, *, clock: str = METRIC_NAMES["users"], block: int = ROWS_PER_CELL
+    points: DataFrame, *, clock: str = METRIC_NAMES["users"], block: int = BLOCK_ROWS
 ) -> DataFrame:
     """Growth of each metric over ``w`` points, timed by the clock metric.
 
@@ -129,7 +136,7 @@ def request_rate(
     sizes = numbered.groupBy(*series).agg(
         F.min("_number").alias("_first"), F.count("*").alias("_points")
     )
-    placed = join_small(numbered, sizes, series).withColumn(
+    placed = numbered.join(sizes, series).withColumn(
         "position", F.col("_number") - F.col("_first") + 1
     )
     is_clock = F.col("metric") == clock
@@ -264,6 +271,16 @@ def _goal_rows(
     return each.filter(F.col("metric") == F.col("_of")).drop("metric", "_of")
 
 
+def mix_goals(
+    points: DataFrame,
+    names: Mapping[str, str] = METRIC_NAMES,
+    goals: Sequence[tuple] = MIX_GOALS,
+    by: Sequence[str] = ("scenario",),
+) -> DataFrame:
+    """Goals of a realistic mix of requests per scenario: late percentiles, failed requests and errors."""
+    return service_goals(points, names, goals, by)
+
+
 def scenario_goals(
     points: DataFrame,
     limits: Mapping[str, float] = SCENARIO_GOALS,

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.plans.staging import staged
 
-ROWS_PER_CELL = 1_000_000
-MOST_CELLS = 5_000
+BLOCK_ROWS = 1_000_000
 
 _PARTITION_BITS = 33
 
@@ -36,66 +34,41 @@ def number_rows(frame: DataFrame, order: Sequence[Column | str], out: str = "pos
     return numbered.withColumn(out, F.col("_start") + place + 1).drop("_tag", "_part", "_start")
 
 
-def _cell_bounds(frame: DataFrame, value: str, rows_per_cell: int) -> list[float]:
-    """Inner bounds that cut the values into cells of about ``rows_per_cell`` rows."""
-    rows = frame.agg(F.count(value).alias("rows")).first().rows
-    cells = min(-(-rows // rows_per_cell), MOST_CELLS)
-    if cells <= 1:
-        return []
-    shares = ", ".join(f"{i / cells:.6f}D" for i in range(1, cells))
-    steps = F.expr(f"percentile_approx(`{value}`, array({shares}), {10 * MOST_CELLS})")
-    return sorted({float(bound) for bound in frame.agg(steps.alias("steps")).first().steps})
-
-
-def value_ranks(
-    frame: DataFrame,
-    groups: Sequence[str],
-    value: str,
-    rows_per_cell: int = ROWS_PER_CELL,
-) -> DataFrame:
+def value_ranks(frame: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Distinct values of each group with the ranks they cover, exactly.
 
     Returns the groups, the value, ``copies``, and ``before``, ``upto``, ``total``: the value holds
     the zero-based ranks ``before <= r < upto`` of ``total``. Equal values collapse inside each
-    task first; a large group is cut by value into cells whose running counts are then chained.
+    task first. The distinct values are range-sorted over all tasks and summed there; what comes
+    before each part is one number per part, and where a group begins one number per group.
     """
     known = frame.filter(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
     counts = known.groupBy(*groups, value).agg(F.count("*").alias("copies"))
-    bounds = _cell_bounds(known, value, rows_per_cell)
-    if not bounds:
-        running = Window.partitionBy(*groups).orderBy(value)
-        whole = Window.partitionBy(*groups)
-        ranked = counts.withColumn("upto", F.sum("copies").over(running))
-        ranked = ranked.withColumn("total", F.sum("copies").over(whole))
-        return ranked.withColumn("before", F.col("upto") - F.col("copies"))
-
-    cell = Bucketizer(
-        splits=[float("-inf"), *bounds, float("inf")],
-        inputCol=value,
-        outputCol="_cell",
-        handleInvalid="keep",
-    )
-    celled = cell.transform(counts)
-    cells = celled.groupBy(*groups, "_cell").agg(F.sum("copies").alias("_rows"))
-    in_order = Window.partitionBy(*groups).orderBy("_cell")
-    starts = cells.select(
-        *groups,
-        "_cell",
-        (F.sum("_rows").over(in_order) - F.col("_rows")).alias("_start"),
-        F.sum("_rows").over(Window.partitionBy(*groups)).alias("total"),
+    tagged = staged(counts.orderBy(*groups, value).withColumn("_tag", F.monotonically_increasing_id()))
+    part = F.shiftright("_tag", _PARTITION_BITS)
+    sums = tagged.groupBy(part.alias("_part")).agg(F.sum("copies").alias("_rows"))
+    starts = sums.select(
+        "_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_start")
     )
-    in_cell = Window.partitionBy(*groups, "_cell").orderBy(value)
-    local = celled.withColumn("_upto", F.sum("copies").over(in_cell)).alias("local")
-    same_cell = F.expr("local._cell = starts._cell")
+    inside = Window.partitionBy("_part").orderBy("_tag")
+    local = tagged.withColumn("_part", part).withColumn("_local", F.sum("copies").over(inside))
+    # One row per partition.
+    summed = local.join(F.broadcast(starts), "_part")
+    summed = summed.withColumn("_upto", F.col("_start") + F.col("_local")).alias("summed")
+    begins = summed.groupBy(*groups).agg(
+        F.min(F.col("_upto") - F.col("copies")).alias("_begin"), F.sum("copies").alias("total")
+    ).alias("begins")
+    same_group = F.lit(True)
     for group in groups:
-        same_cell &= F.expr(f"local.`{group}` <=> starts.`{group}`")
-    joined = local.join(starts.alias("starts"), same_cell)
+        same_group &= F.expr(f"summed.`{group}` <=> begins.`{group}`")
+    joined = summed.join(begins, same_group)
+    upto = F.col("_upto") - F.col("_begin")
     return joined.select(
-        *[f"local.{group}" for group in groups],
-        f"local.{value}",
-        "local.copies",
-        (F.col("_start") + F.col("_upto") - F.col("copies")).alias("before"),
-        (F.col("_start") + F.col("_upto")).alias("upto"),
+        *[f"summed.{group}" for group in groups],
+        f"summed.{value}",
+        "summed.copies",
+        (upto - F.col("copies")).alias("before"),
+        upto.alias("upto"),
         "total",
     )
 
@@ -122,7 +95,7 @@ def lagged(
     value: str,
     steps: int,
     out: str,
-    block: int = ROWS_PER_CELL,
+    block: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Value of the row ``steps`` positions earlier in its group, null for the first rows.
 

@@ -1,7 +1,7 @@
 """Cosine similarity of articles to a keyword set.
 
-Keywords are parameters of a run: they travel to the tasks inside the function, in blocks of a
-checked size, and the article side is a narrow scan without any shuffle. One matrix product per
+Keywords are parameters of a run, of a checked number: they travel to the tasks inside the
+function, and the article side is a narrow scan without any shuffle. One matrix product per
 Arrow batch scores all keywords of a block.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import percent_text, stripped
 
-KEYWORD_BLOCK = 4096
+MOST_KEYWORDS = 10_000
 
 
 def unit_vector(vector: Column) -> Column:
@@ -38,11 +38,17 @@ def _unit_rows(rows: np.ndarray) -> np.ndarray:
 
 
 def _similarities(vectors: pa.Array, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cosine of each non-null vector to each keyword of a block, with the validity mask."""
-    known = vectors.is_valid().to_numpy(zero_copy_only=False)
-    flat = vectors.drop_null().flatten().to_numpy(zero_copy_only=False)
+    """Cosine of each comparable vector to each keyword of a block, with the mask of those vectors.
+
+    A null vector, one of another length and one with a null component are not comparable.
+    """
+    lengths = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    known = lengths == block.shape[1]
+    flat = vectors.filter(pa.array(known)).flatten().to_numpy(zero_copy_only=False)
     rows = flat.astype(np.float64).reshape(-1, block.shape[1])
-    return _unit_rows(rows) @ block.T, known
+    whole = ~np.isnan(rows).any(axis=1)
+    known[known] = whole
+    return _unit_rows(rows[whole]) @ block.T, known
 
 
 def _best_of(block: np.ndarray) -> Callable[[Column], Column]:
@@ -84,24 +90,21 @@ def _scored_once(function):
     return function.asNondeterministic()
 
 
-def _keyword_blocks(
-    keywords: DataFrame, name: str, vector: str
-) -> Iterator[tuple[list[str], np.ndarray]]:
-    """Keyword vectors as unit rows, in blocks of at most about ``KEYWORD_BLOCK``."""
+def _keyword_rows(keywords: DataFrame, name: str, vector: str) -> tuple[list[str], np.ndarray]:
+    """Names and unit vectors of all keywords, a run's parameters: at most ``MOST_KEYWORDS``.
+
+    Null vectors are no keywords; vectors of different lengths are an error.
+    """
     wanted = keywords.select(F.col(name).cast("string").alias("name"), F.col(vector).alias("vec"))
-    rows = wanted.orderBy("name").limit(KEYWORD_BLOCK + 1).collect()
+    rows = wanted.filter("vec IS NOT NULL").orderBy("name").limit(MOST_KEYWORDS + 1).collect()
     if not rows:
         raise ValueError("the keyword set is empty")
-    if len(rows) <= KEYWORD_BLOCK:
-        parts = [rows]
-    else:
-        blocks = -(-2 * wanted.count() // KEYWORD_BLOCK)
-        block = F.pmod(F.xxhash64("name"), F.lit(blocks))
-        parts = (wanted.filter(block == number).collect() for number in range(blocks))
-    for part in parts:
-        if part:
-            matrix = np.array([row.vec for row in part], dtype=np.float64)
-            yield [row.name for row in part], _unit_rows(matrix)
+    if len(rows) > MOST_KEYWORDS:
+        raise ValueError(f"more than {MOST_KEYWORDS} keywords")
+    lengths = {len(row.vec) for row in rows}
+    if len(lengths) > 1:
+        raise ValueError(f"keyword vectors differ in length: {sorted(lengths)}")
+    return [row.name for row in rows], _unit_rows(np.array([row.vec for row in rows], dtype=np.float64))
 
 
 def score_vectors(
@@ -112,11 +115,12 @@ def score_vectors(
     keyword: str = "keyword",
     keyword_vector: str = "embedding",
 ) -> DataFrame:
-    """``vectors`` with ``similarity``, the best cosine similarity to any keyword."""
-    blocks = _keyword_blocks(keywords, keyword, keyword_vector)
-    best = [_scored_once(_best_of(block))(F.col(vector)) for _, block in blocks]
-    similarity = best[0] if len(best) == 1 else F.greatest(*best)
-    return vectors.withColumn("similarity", similarity)
+    """``vectors`` with ``similarity``, the best cosine similarity to any keyword.
+
+    It is null for a null vector, and for one whose length differs from the keywords'.
+    """
+    _, matrix = _keyword_rows(keywords, keyword, keyword_vector)
+    return vectors.withColumn("similarity", _scored_once(_best_of(matrix))(F.col(vector)))
 
 
 def match_keywords(
@@ -132,11 +136,8 @@ def match_keywords(
 
     Equal similarities are ordered by keyword.
     """
-    found = [
-        _scored_once(_at_least(block, names, threshold))(F.col(vector))
-        for names, block in _keyword_blocks(keywords, keyword, keyword_vector)
-    ]
-    pairs = found[0] if len(found) == 1 else F.concat(*found)
+    names, matrix = _keyword_rows(keywords, keyword, keyword_vector)
+    pairs = _scored_once(_at_least(matrix, names, threshold))(F.col(vector))
     ordered = F.array_sort(
         F.transform(
             pairs,
@@ -179,6 +180,31 @@ def semantic_filter(
     return texts.join(kept.select(article_id, "similarity", score), article_id)
 
 
+def scoring_account(
+    articles: DataFrame,
+    vectors: DataFrame,
+    keywords: DataFrame,
+    threshold: float = 0.5,
+    *,
+    article_id: str = "article_id",
+    **columns: str,
+) -> DataFrame:
+    """``outcome, articles``: every article as kept, below the threshold, unscored, or blank.
+
+    Unscored articles have no vector, or one that cannot be compared.
+    """
+    texts = with_text(articles).select(article_id).withColumn("_filled", F.lit(True))
+    scored = score_vectors(vectors, keywords, **columns).select(article_id, "similarity")
+    rows = articles.select(article_id).join(texts, article_id, "left").join(scored, article_id, "left")
+    outcome = (
+        F.when(F.col("_filled").isNull(), "blank")
+        .when(F.col("similarity").isNull(), "unscored")
+        .when(F.col("similarity") >= threshold, "kept")
+        .otherwise("below")
+    )
+    return rows.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("articles"))
+
+
 def embed_articles(
     articles: DataFrame,
     embed: Callable[[list[str]], np.ndarray],
@@ -195,4 +221,4 @@ def embed_articles(
             yield pd.Series(list(np.asarray(embed(texts.tolist()), dtype=np.float32)))
 
     text = stripped(F.concat_ws(" ", "title", "summary"))
-    return with_text(articles).withColumn(out, vectors(text))
+    return with_text(articles).withColumn(out, _scored_once(vectors)(text))

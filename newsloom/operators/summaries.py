@@ -37,15 +37,9 @@ def prompt(title: Column, content: Column, theme: str = DEFAULT_THEME) -> Column
     return F.concat(F.lit(before), title, F.lit(between), content, F.lit(after))
 
 
-def first_sentences(text: Column, count: int = 3) -> Column:
-    """First sentences of a text: a stand-in where no model is given."""
-    sentences = F.split(F.trim(text), r"(?<=[.!?])\s+")
-    return F.array_join(F.slice(sentences, 1, count), " ")
-
-
 def summarise(
     chosen: DataFrame,
-    answer: Callable[[list[str]], list[str]] | None = None,
+    answer: Callable[[list[str]], list[str]],
     *,
     theme: str = DEFAULT_THEME,
     limit: int = -1,
@@ -53,22 +47,21 @@ def summarise(
 ) -> DataFrame:
     """Chosen articles with their summary replaced by the cleaned answer to their prompt.
 
-    ``answer`` maps a list of prompts to a list of texts and runs in the tasks, batch by batch.
-    Without one the first three sentences are taken. A positive ``limit`` keeps the first rows in
-    ``order``; an unknown source is named as such.
+    ``answer`` maps a list of prompts to a list of texts and runs in the tasks, batch by batch, once
+    per article. A positive ``limit`` keeps the first rows in ``order``; their prompts are dealt out
+    again, so that the model runs in several tasks. An unknown source is named as such.
     """
     if limit > 0:
-        chosen = chosen.orderBy(order).limit(limit)
-    if answer is None:
-        raw = first_sentences(F.col("summary"))
-    else:
+        tasks = chosen.sparkSession.sparkContext.defaultParallelism
+        chosen = chosen.orderBy(order).limit(limit).repartition(tasks, order)
 
-        @F.pandas_udf("string")
-        def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for prompts in batches:
-                yield pd.Series(answer(prompts.tolist()), dtype=object)
+    @F.pandas_udf("string")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for prompts in batches:
+            yield pd.Series(answer(prompts.tolist()), dtype=object)
 
-        raw = ask(prompt(F.col("title"), F.col("summary"), theme))
+    # Not deterministic: a later filter on the result must not call the model a second time.
+    raw = ask.asNondeterministic()(prompt(F.col("title"), F.col("summary"), theme))
     return chosen.withColumn("_answer", raw).withColumns(
         {
             "summary": clean_summary(F.col("_answer")),

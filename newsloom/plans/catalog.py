@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
-from functools import wraps
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions.html import html_text
+from newsloom.functions.html import escaped, html_text
 from newsloom.functions.text import (
     clean_summary,
+    iso_text,
     iso_to_day,
     line_breaks,
     local_datetime,
@@ -31,11 +32,19 @@ from newsloom.operators.index import (
 )
 from newsloom.operators.summaries import prompt, summarise, token_rate
 from newsloom.plans import tables
-from newsloom.plans.review import recent_of_all, review
+from newsloom.plans.review import fetch, recent_of_all, review
 from newsloom.plans.staging import shared_path, staged
 from newsloom.sources.landing import BROKEN, feed_articles, forum_articles, microblog_articles
 from newsloom.sources.metric_logs import read_metric_log
-from newsloom.sources.subscriptions import address_class, matching_keywords, only_active, reader_of
+from newsloom.sources.subscriptions import (
+    address_class,
+    feed_sources,
+    matching_keywords,
+    only_active,
+    read_opml,
+    read_source_list,
+    reader_of,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,20 +57,20 @@ _QUERIES: dict[str, Query] = {}
 
 
 def _query(function: Query) -> Query:
-    @wraps(function)
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        # Publication texts are in UTC and are read and written so.
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return function(spark, folder)
-
-    _QUERIES[function.__name__] = run
-    return run
+    _QUERIES[function.__name__] = function
+    return function
 
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+def _answer(prompts: list[str]) -> list[str]:
+    """A model's stand-in for queries: it answers with the whole content of the prompt."""
+    contents = [text.split("Contenu : ", 2)[-1].removesuffix("\n\nRésumé :") for text in prompts]
+    return [f"Résumé : {content}" for content in contents]
+
+
 def _kept(spark: SparkSession, folder: str) -> DataFrame:
     return similarity.semantic_filter(
         tables.articles(spark, folder),
@@ -112,6 +121,15 @@ def semantic_filter_inline(spark, folder):
     return kept.select("article_id", "title", "score")
 
 
+@_query
+def scoring_account(spark, folder):
+    """Every article as kept, below the threshold, or without a vector."""
+    return similarity.scoring_account(
+        tables.articles(spark, folder), tables.article_vectors(spark, folder),
+        tables.keyword_vectors(spark, folder), THRESHOLD,
+    )
+
+
 @_query
 def matched_keywords(spark, folder):
     matched = similarity.match_keywords(
@@ -192,6 +210,7 @@ def daily_review(spark, folder):
         tables.keyword_vectors(spark, folder),
         threshold=0.1,
         balance=BALANCED,
+        answer=_answer,
     )
     return reviewed.select("position", "article_id", "source", "score", "summary")
 
@@ -239,13 +258,15 @@ def stage_funnel(spark, folder):
     articles = tables.articles(spark, folder)
     kept = staged(_kept(spark, folder).drop("title", "summary"))
     chosen = selection.select_articles(kept, BALANCED, stage=False)
+    texts = articles.select("article_id", "title", "summary")
+    summaries = summarise(chosen.join(texts, "article_id"), _answer, limit=10)
     return recency.stage_counts(
         {
             "found": articles,
             "recent": recent_of_all(articles, _latest(articles)),
             "kept": kept,
             "chosen": chosen,
-            "summarised": chosen.orderBy("position").limit(10),
+            "summarised": summaries.filter(F.length("summary") > 0),
         }
     )
 
@@ -283,19 +304,124 @@ def microblog_feed(spark, folder):
     return microblog_articles(tables.microblog_posts(spark, folder)).drop("published_ts")
 
 
+def _feed_files(rows: DataFrame) -> str:
+    """Feed rows as feed documents with all their fields; Spark's writer knows no names with a prefix."""
+    names = {
+        "title": "title", "link": "link", "pubDate": "published", "dc:date": "updated",
+        "description": "summary", "content:encoded": "content",
+    }
+    fields = [F.concat(F.lit(f"<{tag}>"), escaped(F.col(column)), F.lit(f"</{tag}>")) for tag, column in names.items()]
+    items = rows.select("page_id", F.concat(F.lit("<item>"), F.concat_ws("", *fields), F.lit("</item>")).alias("item"))
+    spaces = 'xmlns:content="http://purl.org/rss/1.0/modules/content/" xmlns:dc="http://purl.org/dc/elements/1.1/"'
+    return _in_files(items, "feeds", f'<rss version="2.0" {spaces}><channel>', "</channel></rss>")
+
+
 @_query
 def landed_feeds(spark, folder):
     """Feed entries written as XML files and read back by the reader of feeds."""
+    path = _feed_files(tables.feed_rows(spark, folder))
+    articles = reader_of("rss")(spark, path)
+    return articles.filter(F.col("published_ts").isNotNull()).select("title", "link", "published", "source")
+
+
+@_query
+def landed_entries(spark, folder):
+    """The same entries in the other feed format, with links of several relations."""
     rows = tables.feed_rows(spark, folder)
-    path = shared_path(spark, "feeds")
-    items = rows.select(
-        "title", "link", F.col("published").alias("pubDate"), F.col("summary").alias("description")
-    )
-    items.write.format("xml").option("rowTag", "item").option("rootTag", "channel").save(path)
+    page = F.col("page_id")
+    own = F.struct(F.concat(F.lit("http://self.example/"), page.cast("string")).alias("_href"), F.lit("self").alias("_rel"))
+    shown = F.struct(F.col("link").alias("_href"), F.when(page % 4 == 0, "alternate").alias("_rel"))
+    links = F.when(F.col("link").isNull(), F.array(own)).otherwise(F.array(own, shown))
+    path = shared_path(spark, "entries")
+    entries = rows.select("title", links.alias("link"), "published", "updated", "summary")
+    entries.write.format("xml").option("rowTag", "entry").option("rootTag", "feed").save(path)
     articles = reader_of("rss")(spark, path)
     return articles.filter(F.col("published_ts").isNotNull()).select("title", "link", "published", "source")
 
 
+@_query
+def landed_threads(spark, folder):
+    """Conversations written as forum posts, JSON lines, and read back."""
+    posts = tables.forum_posts(spark, folder)
+    path = shared_path(spark, "threads")
+    posts.drop("conv_id", BROKEN).write.json(path)
+    return reader_of("reddit")(spark, path).drop("published_ts", "summary")
+
+
+def _in_files(rows: DataFrame, name: str, before: str, after: str) -> str:
+    """Texts ``item`` of ``page_id`` order written as one document per fifty pages."""
+    path = shared_path(rows.sparkSession, name)
+    items = F.array_sort(F.collect_list(F.struct("page_id", "item")))
+    joined = F.transform(items, lambda x: x["item"])
+    whole = F.concat(F.lit(before), F.concat_ws("," if before.startswith("{") else "", joined), F.lit(after))
+    batch = F.floor(F.col("page_id") / 50).alias("batch")
+    documents = rows.groupBy(batch).agg(whole.alias("value"))
+    documents.repartition("batch").write.partitionBy("batch").text(path)
+    return path
+
+
+@_query
+def feed_list(spark, folder):
+    """Pages written as OPML lists and read as sources, and the default feeds of a missing list."""
+    page = F.col("page_id")
+    title = F.concat(F.lit(' text="Page '), page.cast("string"), F.lit('"'))
+    outline = F.concat(
+        F.lit('<outline><outline type="'), F.when(page % 10 == 0, "link").otherwise("rss"), F.lit('"'),
+        F.when(page % 3 != 0, title).otherwise(""), F.lit(' xmlUrl="'), escaped(F.col("url")), F.lit('"'),
+        F.when(page % 2 == 0, F.concat(F.lit(' htmlUrl="http://page.example/'), page.cast("string"), F.lit('"'))).otherwise(""),
+        F.lit("/></outline>"),
+    )
+    rows = tables.pages(spark, folder).select("page_id", outline.alias("item"))
+    listed = read_opml(spark, _in_files(rows, "opml", "<opml><body>", "</body></opml>"))
+    missing = read_opml(spark, shared_path(spark, "no-list"))
+    return feed_sources(listed.unionByName(missing)).select("type", "name", "url", "link", "sort_by", "time_filter")
+
+
+@_query
+def forum_list(spark, folder):
+    """Pages written as JSON source lists of several kinds and read as the sources of one."""
+    page = F.col("page_id")
+    entry = F.struct(
+        F.when(page % 3 == 0, "bluesky").otherwise("reddit").alias("type"),
+        F.when(page % 7 != 0, F.concat(F.lit("topic"), page.cast("string"))).alias("subreddit"),
+        F.concat(F.lit("Page "), page.cast("string")).alias("name"),
+        F.when(page % 2 == 0, "new").alias("sort_by"),
+    )
+    rows = tables.pages(spark, folder).select("page_id", F.to_json(entry).alias("item"))
+    path = _in_files(rows, "sources", '{"sources": [', "]}")
+    return read_source_list(spark, path, "reddit").select("name", "url", "sort_by", "time_filter")
+
+
+@_query
+def review_from_landing(spark, folder):
+    """The whole review from landed files of all kinds, with the number of articles at every stage."""
+    folders = {kind: shared_path(spark, kind) for kind in ("reddit", "bluesky")}
+    folders["rss"] = _feed_files(tables.feed_rows(spark, folder))
+    tables.forum_posts(spark, folder).drop("conv_id", BROKEN).write.json(folders["reddit"])
+    tables.microblog_posts(spark, folder).drop("article_id", BROKEN).write.json(folders["bluesky"])
+
+    def embed(texts: list[str]) -> np.ndarray:
+        return np.array([[1 + text.count(letter) for letter in "aen"] for text in texts])
+
+    as_of = tables.articles(spark, folder).agg(F.max("published_ts")).first()[0]
+    fetched = fetch(spark, folders, as_of, max_days=400)
+    articles = staged(similarity.embed_articles(fetched, embed))
+    keywords = spark.createDataFrame([("vowels", [1.0, 1.0, 0.0])], "keyword string, embedding array<double>")
+    account = similarity.scoring_account(fetched, articles.select("article_id", "embedding"), keywords, 0.5)
+    chosen = staged(review(articles, None, keywords, balance=BALANCED, answer=_answer))
+    path = shared_path(spark, "reviewed")
+    appended = store.append_articles(chosen, path, order="position")
+    again = store.append_articles(chosen, path, order="position")
+    stages = recency.stage_counts(
+        {"fetched": fetched, "chosen": chosen, "stored": store.read_store(spark, path)}
+    )
+    by_kind = recency.counts_by_source(fetched).select(F.col("source").alias("stage"), "articles")
+    scored = account.filter("outcome IN ('kept', 'below', 'unscored', 'blank')").agg(F.sum("articles").alias("articles"))
+    scored = scored.select(F.lit("accounted").alias("stage"), "articles")
+    written = spark.range(1).select(F.lit("appended").alias("stage"), F.lit(appended + again).cast("bigint").alias("articles"))
+    return stages.unionByName(by_kind).unionByName(scored).unionByName(written)
+
+
 @_query
 def landed_posts(spark, folder):
     """Posts written as JSON lines, some of them cut off, and read back without those."""
@@ -353,6 +479,18 @@ def stored_articles(spark, folder):
     return store.read_store(spark, path).select("article_id", "title", "published", store.DAY)
 
 
+@_query
+def stamped_articles(spark, folder):
+    """Articles stamped when new, every third one stamped again when changed."""
+    first, second = dt.datetime(2024, 5, 1, 8), dt.datetime(2024, 5, 2, 9, 30)
+    stamped = store.stamp_new(tables.articles(spark, folder), at=F.lit(first.isoformat()).cast("timestamp_ntz"))
+    third = F.col("article_id") % 3 == 0
+    changed = store.stamp_changed(stamped.filter(third), at=F.lit(second.isoformat()).cast("timestamp_ntz"))
+    return stamped.filter(~third).unionByName(changed).select(
+        "article_id", iso_text(F.col("dt_created")).alias("created"), iso_text(F.col("dt_updated")).alias("updated")
+    )
+
+
 @_query
 def validate_articles(spark, folder):
     key = F.col("article_id")
@@ -553,18 +691,27 @@ def digest_lines(spark, folder):
 
 @_query
 def digest_page(spark, folder):
-    stamped = tables.articles(spark, folder).withColumn(
-        "dt_created", F.timestamp_seconds(F.lit(1704067200) + F.col("seq") * 2220)
+    stamped = tables.articles(spark, folder).withColumns(
+        {
+            "dt_created": F.timestamp_seconds(F.lit(1704067200) + F.col("seq") * 2220),
+            "day": iso_to_day(F.col("published")),
+            "score": F.concat((F.col("seq") % 100).cast("string"), F.when(F.col("seq") % 2 == 0, " %").otherwise("")),
+        }
     )
-    return digest.html_entries(stamped, order="seq")
+    return digest.html_page(stamped, ["IA", "cybersécurité"], 0.29, order="seq")
 
 
 @_query
-def summarize_batch(spark, folder):
-    def answer(prompts: list[str]) -> list[str]:
-        return ["Résumé : " + text.split("Contenu : ")[-1][:80] for text in prompts]
+def written_digest(spark, folder):
+    """The text digest of every day, written as a folder per day and read back."""
+    path = shared_path(spark, "digest")
+    digest.write_digest(digest_lines(spark, folder), path)
+    return spark.read.schema("ord bigint, line string, digest_day string").parquet(path)
+
 
-    summaries = summarise(_kept(spark, folder), answer)
+@_query
+def summarize_batch(spark, folder):
+    summaries = summarise(_kept(spark, folder), _answer)
     tokens, _ = token_rate(F.col("summary"), F.lit(1.0))
     return summaries.select("article_id", "source", "summary", tokens)
 
@@ -599,6 +746,17 @@ def metric_log(spark, folder):
     )
 
 
+@_query
+def metric_log_strict(spark, folder):
+    """Points written as a sound log and read back without tolerance."""
+    points = tables.metric_points(spark, folder)
+    data = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("time"), "value")
+    path = shared_path(spark, "strict-log")
+    points.select(F.lit("Point").alias("type"), "metric", data.alias("data")).write.json(path)
+    read = read_metric_log(spark, path, "landed", strict=True)
+    return read.groupBy("metric").agg(F.count("*").alias("points"), F.round(F.sum("value"), 6).alias("total"))
+
+
 @_query
 def metric_percentiles(spark, folder):
     return metrics.metric_percentiles(tables.metric_points(spark, folder))
@@ -642,6 +800,12 @@ def metric_slo(spark, folder):
     return _rounded(goals, "measured")
 
 
+@_query
+def metric_slo_mix(spark, folder):
+    names = tables.ROLES | {"errors": tables.ROLES["failed"]}
+    return _rounded(metrics.mix_goals(tables.metric_points(spark, folder), names), "measured")
+
+
 @_query
 def metric_slo_scenarios(spark, folder):
     goals = metrics.scenario_goals(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from newsloom.operators.summaries import DEFAULT_THEME, PROMPT
 from newsloom.plans.catalog import STOP_WORDS
+from newsloom.sources.subscriptions import DEFAULT_FEEDS, DEFAULT_TITLE, NO_LINK, NO_TITLE
 
 _PUBLISHED = "strftime(TIMESTAMP '2024-01-01' + to_minutes({id} * 37), '%Y-%m-%dT%H:%M:%S')"
 _DAY = "strftime(TIMESTAMP '2024-01-01' + to_minutes({id} * 37), '%d/%m/%Y')"
@@ -284,8 +285,7 @@ def oracle_sql() -> dict[str, str]:
             {_RECENT.replace("AS cutoff FROM articles", "AS cutoff FROM articles JOIN embeddings ON vec_id = article_id AND vec_id >= 5")}, {PAIRS},
             {_kept("0.1").replace("FROM articles a", "FROM recent a")}, {_selection(15, "0.3")},
             raw AS (
-              SELECT position, article_id, source, score,
-                     array_to_string(string_split_regex(regexp_replace(trim(summary), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1:3], ' ') AS answer
+              SELECT position, article_id, source, score, 'Résumé : ' || summary AS answer
               FROM chosen JOIN kept USING (article_id))
             SELECT position, article_id, source, score, {_cleaned("answer")} AS summary FROM raw""",
         "recent_articles": f"WITH {ARTICLES}, {_RECENT} SELECT article_id, source, published FROM recent",
@@ -305,7 +305,7 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'recent', count(*) FROM recent
             UNION ALL SELECT 'kept', count(*) FROM kept
             UNION ALL SELECT 'chosen', count(*) FROM chosen
-            UNION ALL SELECT 'summarised', least(10, count(*)) FROM chosen""",
+            UNION ALL SELECT 'summarised', count(*) FROM chosen JOIN kept USING (article_id) WHERE position <= 10 AND summary <> ''""",
         "dedup_by_link": """SELECT min(doc_id) AS article_id, 'https://example.org/a/' || length(text) AS link
             FROM documents GROUP BY length(text)""",
         "feed_entries": f"""SELECT CASE WHEN page_id % 7 <> 0 THEN 'Page ' || page_id ELSE 'Sans titre' END AS title,
@@ -341,7 +341,43 @@ def oracle_sql() -> dict[str, str]:
         "landed_feeds": f"""SELECT CASE WHEN page_id % 7 <> 0 THEN 'Page ' || page_id ELSE 'Sans titre' END AS title,
                    CASE WHEN page_id % 6 <> 0 THEN url ELSE '#' END AS link,
                    {_PUBLISHED.format(id="page_id")} AS published, 'rss' AS source
-            FROM pages WHERE page_id % 11 <> 0 AND page_id % 5 <> 0""",
+            FROM pages WHERE page_id % 11 <> 0""",
+        "landed_entries": f"""SELECT CASE WHEN page_id % 7 <> 0 THEN 'Page ' || page_id ELSE 'Sans titre' END AS title,
+                   CASE WHEN page_id % 6 <> 0 THEN url ELSE 'http://self.example/' || page_id END AS link,
+                   {_PUBLISHED.format(id="page_id")} AS published, 'rss' AS source
+            FROM pages WHERE page_id % 11 <> 0""",
+        "landed_threads": f"""WITH {_TURNS}
+            SELECT 'Conversation ' || conv_id AS title, 'https://reddit.com/r/talk/' || conv_id AS link,
+                   strftime(TIMESTAMP '2024-01-01' + to_minutes(conv_id), '%Y-%m-%dT%H:%M:%S') AS published,
+                   CAST(conv_id AS VARCHAR) AS score, 'reddit' AS source, 'reddit' AS source_type,
+                   'r/talk' AS source_name, coalesce(num_comments, 0) AS num_comments
+            FROM post LEFT JOIN block USING (conv_id)""",
+        "feed_list": f"""SELECT 'rss' AS type, CASE WHEN page_id % 3 <> 0 THEN 'Page ' || page_id ELSE {_lit(NO_TITLE)} END AS name,
+                   url, CASE WHEN page_id % 2 = 0 THEN 'http://page.example/' || page_id ELSE {_lit(NO_LINK)} END AS link,
+                   'hot' AS sort_by, 'day' AS time_filter
+            FROM pages WHERE page_id % 10 <> 0
+            UNION ALL SELECT 'rss', {_lit(DEFAULT_TITLE)}, url, {_lit(NO_LINK)}, 'hot', 'day'
+            FROM (VALUES {", ".join(f"({_lit(url)})" for url in DEFAULT_FEEDS)}) AS feeds(url)""",
+        "forum_list": """SELECT 'Page ' || page_id AS name, 'reddit.com/r/topic' || page_id AS url,
+                   CASE WHEN page_id % 2 = 0 THEN 'new' ELSE 'hot' END AS sort_by, 'day' AS time_filter
+            FROM pages WHERE page_id % 3 <> 0 AND page_id % 7 <> 0""",
+        "review_from_landing": """WITH posts AS (
+              SELECT least(10, count(*)) AS n FROM documents
+              GROUP BY CASE WHEN doc_id % 4 <> 0 THEN source ELSE 'unknown' END),
+            fetched AS (
+              SELECT 'rss' AS stage, count(*) AS articles FROM pages WHERE page_id % 11 <> 0
+              UNION ALL SELECT 'reddit', least(10, count(*)) FROM conversations WHERE turn = 0
+              UNION ALL SELECT 'bluesky', CAST(sum(n) AS BIGINT) FROM posts)
+            SELECT * FROM fetched
+            UNION ALL SELECT unnest(['fetched', 'accounted']), CAST(sum(articles) AS BIGINT) FROM fetched
+            UNION ALL SELECT unnest(['chosen', 'stored', 'appended']), 15""",
+        "stamped_articles": """SELECT doc_id AS article_id, '2024-05-01T08:00:00' AS created,
+                   CASE WHEN doc_id % 3 = 0 THEN '2024-05-02T09:30:00' ELSE '2024-05-01T08:00:00' END AS updated
+            FROM documents""",
+        "scoring_account": f"""WITH {ARTICLES}, {PAIRS}
+            SELECT CASE WHEN trim(title || ' ' || summary) = '' THEN 'blank' WHEN similarity IS NULL THEN 'unscored'
+                        WHEN similarity >= 0.2 THEN 'kept' ELSE 'below' END AS outcome, count(*) AS articles
+            FROM articles LEFT JOIN best USING (article_id) GROUP BY ALL""",
         "landed_posts": f"""SELECT '@' || CASE WHEN doc_id % 4 <> 0 THEN source || '.example' ELSE 'unknown' END AS source_name,
                    count(*) AS articles, CAST(sum(length({_MICROBLOG_BODY})) AS BIGINT) AS summary_chars
             FROM documents WHERE doc_id % 50 <> 0 GROUP BY ALL""",
@@ -447,16 +483,30 @@ def oracle_sql() -> dict[str, str]:
             FROM dated GROUP BY digest_day
             UNION ALL
             SELECT digest_day, seq, 'Titre: ' || title || chr(10) || 'Lien: ' || link || chr(10) || summary || chr(10) || '---' FROM dated""",
+        "written_digest": f"""WITH {ARTICLES}, dated AS (
+              SELECT *, {_DAY.format(id="article_id")} AS digest_day FROM articles)
+            SELECT digest_day, -1::BIGINT AS ord,
+                   'Revue de presse - Résumé du ' || digest_day || chr(10) || chr(10) || 'Les ' || count(*) ||
+                   ' derniers articles filtrés et résumés.' || chr(10) ||
+                   'Mots clés : IA, cybersécurité sur un seuil >= 28%' AS line
+            FROM dated GROUP BY digest_day
+            UNION ALL
+            SELECT digest_day, seq, 'Titre: ' || title || chr(10) || 'Lien: ' || link || chr(10) || summary || chr(10) || '---' FROM dated""",
         "digest_page": f"""WITH {ARTICLES}
-            SELECT seq AS ord, '<h3><a href="' || {_escape("link")} || '">' || {_escape("title")} || '</a> - 0 % %</h3>' || chr(10) ||
+            SELECT digest_day, -1::BIGINT AS ord,
+                   '<h1>Revue de presse - Résumé du ' || digest_day || '</h1>' || chr(10) || '<p>Les ' || count(*) ||
+                   ' derniers articles filtrés et résumés.</p>' || chr(10) ||
+                   '<p>Mots clés : IA, cybersécurité sur un seuil &gt;= 28%</p>' AS block
+            FROM (SELECT {_DAY.format(id="article_id")} AS digest_day FROM articles) GROUP BY digest_day
+            UNION ALL
+            SELECT {_DAY.format(id="article_id")}, seq,
+                   '<h3><a href="' || {_escape("link")} || '">' || {_escape("title")} || '</a> - ' || (seq % 100) || ' %</h3>' || chr(10) ||
                    '<h4><small>publié le ' || {_DAY.format(id="article_id")} || ' - résumé du ' || {_LOCAL} ||
                    '</small></h4>' || chr(10) || '<p>' ||
                    replace({_escape("summary")}, chr(10), '<br>' || chr(10)) || '</p>' AS block
             FROM articles""",
         "summarize_batch": f"""WITH {KEPT}, answers AS (
-              SELECT article_id, source,
-                     'Résumé : ' || substr(summary || chr(10) || chr(10) || 'Résumé :', 1, 80) AS answer
-              FROM kept),
+              SELECT article_id, source, 'Résumé : ' || summary AS answer FROM kept),
             cleaned AS (SELECT article_id, source, {_cleaned("answer")} AS summary FROM answers)
             SELECT article_id, source, summary, CAST(len(regexp_extract_all(summary, '[^\\s]+')) AS INTEGER) AS tokens
             FROM cleaned""",
@@ -467,6 +517,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT metric, count(*) AS points, round(sum(value), 6) AS total,
                    strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last
             FROM points WHERE seq % 10 <> 0 AND seq % 97 <> 0 GROUP BY metric""",
+        "metric_log_strict": f"""WITH {_POINTS}
+            SELECT metric, count(*) AS points, round(sum(value), 6) AS total FROM points GROUP BY metric""",
         "metric_percentiles": f"""WITH {_POINTS}
             SELECT metric, {_at("0.5")} AS p50, {_at("0.75")} AS p75, {_at("0.9")} AS p90,
                    {_at("0.95")} AS p95, {_at("0.99")} AS p99
@@ -524,6 +576,16 @@ def oracle_sql() -> dict[str, str]:
               UNION ALL SELECT run, 'failure_rate', failed, 0.01, failed < 0.01 FROM rates
               UNION ALL SELECT run, 'check_rate', checks, 0.99, checks > 0.99 FROM rates)
             SELECT run, goal, round(measured, 9) AS measured, "limit", met FROM goals""",
+        "metric_slo_mix": f"""WITH {_POINTS}, measures AS (
+              SELECT scenario, quantile_cont(value, 0.95) FILTER (WHERE metric = 'purchase') AS p95,
+                     quantile_cont(value, 0.99) FILTER (WHERE metric = 'purchase') AS p99,
+                     avg(value) FILTER (WHERE metric = 'error') AS failed
+              FROM points GROUP BY scenario),
+            goals AS (
+              SELECT scenario, 'p95' AS goal, p95 AS measured, 500.0::DOUBLE AS "limit", p95 < 500 AS met FROM measures
+              UNION ALL SELECT scenario, 'p99', p99, 1000, p99 < 1000 FROM measures
+              UNION ALL SELECT scenario, unnest(['failed_requests', 'errors']), failed, 0.05, failed < 0.05 FROM measures)
+            SELECT scenario, goal, round(measured, 9) AS measured, "limit", met FROM goals WHERE measured IS NOT NULL""",
         "metric_slo_scenarios": f"""WITH {_POINTS}, spread AS (
               SELECT scenario, quantile_cont(value, 0.95) AS p95 FROM points
               WHERE metric = 'purchase' AND scenario IN ('constant_load', 'spike') GROUP BY scenario)

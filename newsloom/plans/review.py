@@ -8,6 +8,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.operators.positions import number_rows
 from newsloom.operators.recency import newest_per_source, recent, union_sources
 from newsloom.operators.selection import Balance, select_articles
 from newsloom.operators.similarity import semantic_filter
@@ -26,7 +27,9 @@ def fetch(
 ) -> DataFrame:
     """Recent articles of all active kinds from their landing folders, in selection order.
 
-    Posts are capped per source and then cut by date; feeds are only cut by date.
+    Posts are capped per source and then cut by date; feeds are only cut by date. ``article_id`` is a hash of
+    source, link, title and date, so that it stays the same from run to run; ``seq`` numbers the articles,
+    newest first, equal dates by link and title. The articles are staged, so that all that follows sees the same rows.
     """
     frames = {}
     for kind in active_kinds(settings or {}):
@@ -36,7 +39,9 @@ def fetch(
         if kind != "rss":
             articles = newest_per_source(articles, per_source, tie="link")
         frames[kind] = recent(articles, as_of, max_days, include_cutoff=kind == "rss")
-    return union_sources(frames)
+    found = union_sources(frames)
+    found = found.withColumn("article_id", F.xxhash64("source", "link", "title", "published"))
+    return number_rows(found, [F.desc("published_ts"), "link", "title", "article_id"], out="seq")
 
 
 def review(
@@ -46,7 +51,7 @@ def review(
     *,
     threshold: float = 0.5,
     balance: Balance | None = None,
-    answer: Callable[[list[str]], list[str]] | None = None,
+    answer: Callable[[list[str]], list[str]],
     limit: int = -1,
     columns: Mapping[str, str] | None = None,
 ) -> DataFrame:

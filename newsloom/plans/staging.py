@@ -4,13 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows of a side that may be broadcast; beyond it the join is left to shuffle.
-MOST_BROADCAST_ROWS = 100_000
 
 
 def _shared_folder(spark: SparkSession) -> str:
@@ -40,15 +34,3 @@ def staged(frame: DataFrame) -> DataFrame:
     path = shared_path(spark, "staged")
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
-
-
-def join_small(frame: DataFrame, side: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Inner join with a side that is expected to be small, such as a row per run.
-
-    The side is staged and counted: within the bound it is broadcast, so that a key with most of the
-    rows is never gathered; beyond it both sides are shuffled and skew is left to adaptive execution.
-    """
-    side = staged(side)
-    if side.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS:
-        side = F.broadcast(side)
-    return frame.join(side, list(on))

@@ -24,17 +24,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(frame: DataFrame, key: str) -> DataFrame:
-    """A table of long texts over all cores, when it is stored in fewer pieces than there are cores.
-
-    A table of any size has more pieces than that and is left as it is.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores, key) if frame.rdd.getNumPartitions() < cores else frame
-
-
 def articles(spark: SparkSession, folder: str) -> DataFrame:
-    documents = spread(table(spark, folder, "documents"), "doc_id")
+    documents = table(spark, folder, "documents")
     published = F.expr(
         "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id * 37 as int), 0)"
     )
@@ -87,7 +78,7 @@ def metric_points(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "pages"), "page_id")
+    return table(spark, folder, "pages")
 
 
 def forum_posts(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,7 +115,7 @@ def forum_posts(spark: SparkSession, folder: str) -> DataFrame:
 
 def microblog_posts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as microblog posts with every kind of embed, handle and uri."""
-    documents = spread(table(spark, folder, "documents"), "doc_id")
+    documents = table(spark, folder, "documents")
     doc = F.col("doc_id")
     key = doc.cast("string")
     published = F.expr(

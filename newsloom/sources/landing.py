@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.html import html_text
 from newsloom.functions.posts import microblog_body, post_link, thread_body
-from newsloom.functions.text import iso_text, shorten, wall_clock
+from newsloom.functions.text import epoch_text, iso_text, shorten, utc_time, wall_clock
 from newsloom.sources.subscriptions import register_reader
 
 BROKEN = "_broken"
@@ -56,6 +56,12 @@ def feed_time(text: Column) -> Column:
     return F.coalesce(*mail, bare.try_cast("timestamp"), to_the_minute)
 
 
+def _page_link(links: Column) -> Column:
+    """Address of an entry's page: the first link without relation or ``alternate``, else the first."""
+    pages = F.filter(links, lambda x: x["_rel"].isNull() | (x["_rel"] == "alternate"))
+    return F.coalesce(F.get(pages, F.lit(0)), F.get(links, F.lit(0)))["_href"]
+
+
 def feed_entries(items: DataFrame | None, entries: DataFrame | None) -> DataFrame:
     """Items of one feed format and entries of the other in a common shape."""
     frames = []
@@ -75,7 +81,7 @@ def feed_entries(items: DataFrame | None, entries: DataFrame | None) -> DataFram
         frames.append(
             entries.select(
                 "title",
-                F.get("link", F.lit(0))["_href"].alias("link"),
+                _page_link(F.col("link")).alias("link"),
                 "published",
                 "updated",
                 "summary",
@@ -98,7 +104,7 @@ def feed_articles(entries: DataFrame) -> DataFrame:
         html_text(body).alias("summary"),
         F.coalesce("link", F.lit(NO_LINK)).alias("link"),
         published.alias("published_ts"),
-        iso_text(published).alias("published"),
+        iso_text(utc_time(published)).alias("published"),
         F.lit(UNSCORED).alias("score"),
         F.lit("rss").alias("source"),
     )
@@ -112,7 +118,7 @@ def forum_articles(posts: DataFrame) -> DataFrame:
         thread_body(F.col("title"), F.col("selftext"), F.col("comments")).alias("summary"),
         F.concat(F.lit("https://reddit.com"), "permalink").alias("link"),
         published.alias("published_ts"),
-        iso_text(published).alias("published"),
+        epoch_text(F.col("created_utc")).alias("published"),
         F.col("score").cast("string").alias("score"),
         F.lit("reddit").alias("source"),
         F.lit("reddit").alias("source_type"),

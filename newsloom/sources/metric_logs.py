@@ -11,7 +11,7 @@ from newsloom.schemas import METRIC_LOG_SCHEMA
 def read_metric_log(spark: SparkSession, path: str, run: str, *, strict: bool = False) -> DataFrame:
     """Points of a log as ``run, metric, ts, value, scenario, seq``.
 
-    Malformed lines are skipped, or fail the read when ``strict``. Equal times are ordered by value.
+    Malformed lines are skipped, or fail the read when ``strict``. Equal times keep the order of the file.
     """
     lines = spark.read.schema(METRIC_LOG_SCHEMA).json(
         path, mode="FAILFAST" if strict else "DROPMALFORMED"
@@ -31,5 +31,6 @@ def points(lines: DataFrame, run: str, *, strict: bool = False) -> DataFrame:
         moment(F.col("data.time")).alias("ts"),
         F.col("data.value").alias("value"),
         F.col("data.tags.scenario").alias("scenario"),
-        F.col("data.value").alias("seq"),
+        # Grows along each file, and from file to file in the order in which they are read.
+        F.monotonically_increasing_id().alias("seq"),
     )

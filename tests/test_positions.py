@@ -18,11 +18,11 @@ def hot_rows(seed, n=3000):
     return rows
 
 
-@pytest.mark.parametrize("rows_per_cell", [10, 200, 10_000])
-def test_value_ranks_and_percentiles(spark, rows_per_cell):
-    rows = hot_rows(1)
+@pytest.mark.parametrize("seed", [1, 4, 5])
+def test_value_ranks_and_percentiles(spark, seed):
+    rows = hot_rows(seed)
     frame = spark.createDataFrame(rows, "id long, g string, v double").repartition(7)
-    ranks = value_ranks(frame, ["g"], "v", rows_per_cell)
+    ranks = value_ranks(frame, ["g"], "v")
     got = {
         r.g: r
         for r in ranks.groupBy("g")
@@ -47,13 +47,12 @@ def test_value_ranks_with_null_groups_and_values(spark):
     frame = spark.createDataFrame(
         [(None, 1.0), (None, 2.0), ("x", None), ("x", 3.0)] * 5, "g string, v double"
     )
-    for cell in (1, 100):
-        rows = value_ranks(frame, ["g"], "v", cell).collect()
-        assert {(r.g, r.v, r.before, r.upto, r.total) for r in rows} == {
-            (None, 1.0, 0, 5, 10),
-            (None, 2.0, 5, 10, 10),
-            ("x", 3.0, 0, 5, 5),
-        }
+    rows = value_ranks(frame, ["g"], "v").collect()
+    assert {(r.g, r.v, r.before, r.upto, r.total) for r in rows} == {
+        (None, 1.0, 0, 5, 10),
+        (None, 2.0, 5, 10, 10),
+        ("x", 3.0, 0, 5, 5),
+    }
 
 
 def test_number_rows_is_gapless_in_order(spark):

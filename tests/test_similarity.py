@@ -7,6 +7,7 @@ from newsloom.operators.similarity import (
     embed_articles,
     match_keywords,
     score_vectors,
+    scoring_account,
     semantic_filter,
     unit_vector,
     with_text,
@@ -44,13 +45,33 @@ def test_best_similarity(data):
     assert got == pytest.approx(dict(enumerate(cosine.max(axis=1))))
 
 
-def test_many_keyword_blocks_give_the_same(data, monkeypatch):
-    articles, keywords, cosine = data
-    monkeypatch.setattr(similarity, "KEYWORD_BLOCK", 2)
-    got = {r.article_id: r.similarity for r in score_vectors(articles, keywords).filter("article_id < 99").collect()}
-    assert got == pytest.approx(dict(enumerate(cosine.max(axis=1))))
-    matched = {r.article_id: r.matches for r in match_keywords(articles, keywords, 0.3).collect()}
-    assert matched[0] == [f"k{j}" for j in np.argsort(-cosine[0]) if cosine[0][j] >= 0.3]
+def test_keywords_are_bounded_and_of_one_length(data, monkeypatch):
+    articles, keywords, _ = data
+    monkeypatch.setattr(similarity, "MOST_KEYWORDS", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        score_vectors(articles, keywords)
+    monkeypatch.undo()
+    ragged = keywords.sparkSession.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], "keyword string, embedding array<double>")
+    with pytest.raises(ValueError, match="length"):
+        score_vectors(articles, ragged)
+
+
+def test_vectors_of_another_length_have_no_score(spark):
+    keywords = spark.createDataFrame([("k", [0.0, 1.0])], "keyword string, embedding array<double>")
+    rows = [(0, [1.0]), (1, [0.0, 1.0, 0.0]), (2, [0.0, 2.0]), (3, None), (4, [None, 1.0]), (5, []), (6, [1.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "article_id int, embedding array<double>").coalesce(1)
+    got = {r.article_id: r.similarity for r in score_vectors(vectors, keywords).collect()}
+    assert got == {0: None, 1: None, 2: 1.0, 3: None, 4: None, 5: None, 6: 0.0}
+    matched = {r.article_id: r.matches for r in match_keywords(vectors, keywords, 0.5).collect()}
+    assert matched[2] == ["k"] and not any(matched[i] for i in (0, 1, 3, 4, 5, 6))
+
+
+def test_every_article_is_accounted_for(spark):
+    keywords = spark.createDataFrame([("k", [0.0, 1.0])], "keyword string, embedding array<double>")
+    vectors = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [1.0])], "article_id int, embedding array<double>")
+    articles = spark.createDataFrame([(i, "t" if i < 5 else " ", None) for i in range(1, 7)], "article_id int, title string, summary string")
+    got = {r.outcome: r.articles for r in scoring_account(articles, vectors, keywords, 0.5).collect()}
+    assert got == {"kept": 1, "below": 1, "unscored": 2, "blank": 2}
 
 
 def test_matched_keywords_best_first(data):

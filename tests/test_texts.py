@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as t
 from newsloom.functions.html import escaped, html_text
 from newsloom.operators.digest import digest_lines, html_entries, write_digest
-from newsloom.operators.summaries import first_sentences, prompt, summarise, token_rate
+from newsloom.operators.summaries import prompt, summarise, token_rate
 
 
 def values(spark, column, rows, schema):
@@ -134,7 +134,7 @@ def test_summaries(spark):
     assert {r.position: r.source for r in got}[3] == "unknown"
     assert summarise(articles, answer, limit=2).count() == 2
     assert summarise(articles, answer, limit=0).count() == 3
-    assert {r.position: r.summary for r in summarise(articles).collect()}[3] == "a. b! c?"
+    assert summarise(articles, answer, limit=2).rdd.getNumPartitions() > 1
 
 
 def test_prompt_and_rate(spark):
@@ -143,4 +143,3 @@ def test_prompt_and_rate(spark):
     assert made.startswith("Tu es un expert en thème.") and made.endswith("Contenu : Texte % $1\n\nRésumé :")
     assert "\nTitre {x}\n" in made
     assert frame.select(*token_rate(F.col("b"), F.col("s"))).first() == (3, 1.5)
-    assert frame.select(first_sentences(F.lit("Un. Deux. Trois. Quatre.")).alias("o")).first().o == "Un. Deux. Trois."
