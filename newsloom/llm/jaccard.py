@@ -3,7 +3,7 @@
 Documents with equal sets form one class. Shingles are ordered rare first, and a set posts only as
 many as it must so that any partner shares one (the prefix). Posting lists are read in order of set
 size and position: sizes that cannot match are skipped as blocks, and so are positions after which too
-little is left to share.
+little is left to share. Shingles that no other set posts cannot be shared and count as lost.
 
 Answers are derived from similar sets. Every class joins the family of the set with which it
 shares most posted shingles. In a family, members are compared with a few pivots first; what links
@@ -196,6 +196,18 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "token bigint, class bigint, n int, pos int, leader bigint, leader_n int")
 
 
+def _possible(lists: DataFrame, percent: int) -> DataFrame:
+    """Postings with ``before``, how many shared ones the class has ahead; hopeless ones are left out.
+
+    Only shared shingles can be common with anyone: a class shares at most those ahead, this one, and all
+    that follow. If that is less than it must share with its smallest partner, no link begins here.
+    """
+    ahead = Window.partitionBy("class").orderBy("pos")
+    counted = lists.withColumn("before", F.row_number().over(ahead) - 1)
+    needed = F.ceil(F.col("n") * percent / 100)
+    return counted.filter(F.col("before") + F.col("n") - F.col("pos") >= needed)
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Number of common shingles of every two sets."""
     sizes = np.array([len(s) for s in sets])
@@ -261,7 +273,7 @@ def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """
 
     def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        token, name, n, pos, family, label = rows
+        token, name, n, pos, ahead, family, label = rows
         first = np.ones(len(token), bool)
         first[1:] = token[1:] != token[:-1]
         run_of = np.cumsum(first) - 1
@@ -276,7 +288,7 @@ def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
             to = at + k
             fits = n[at] >= least_overlap(n[to], percent)
             at, to = at[fits], to[fits]
-            before = np.minimum(pos[at], pos[to]) + 1
+            before = np.minimum(ahead[at], ahead[to]) + 1
             after = np.minimum(n[at] - pos[at], n[to] - pos[to]) - 1
             good = before + after >= pair_overlap(n[at], n[to], percent)
             good &= (label[at] != label[to]) & (family[at] != family[to])
@@ -295,7 +307,7 @@ def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         kept: list[list[np.ndarray]] = []
         for batch in batches:
-            rows = [batch.column(k).to_numpy() for k in range(6)]
+            rows = [batch.column(k).to_numpy() for k in range(7)]
             if not len(rows[0]):
                 continue
             cut = int(np.searchsorted(rows[0], rows[0][-1]))
@@ -307,7 +319,7 @@ def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
         if kept:
             yield from pairs([np.concatenate(c) for c in zip(*kept, strict=True)])
 
-    dealt = lists.select("token", "class", "n", "pos", "family", "label")
+    dealt = lists.select("token", "class", "n", "pos", "before", "family", "label")
     dealt = dealt.repartition("token").sortWithinPartitions("token", "n", "pos")
     found = dealt.mapInArrow(run, "a bigint, b bigint, na int, nb int")
 
@@ -340,19 +352,16 @@ def _verified(pairs: DataFrame, held: DataFrame, width: int, percent: int) -> Da
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _families(lists: DataFrame, percent: int) -> DataFrame:
+def _families(lists: DataFrame) -> DataFrame:
     """``class, family, n``: each class with the leader it shares most lists with, and leaders with themselves.
 
-    A quarter of the smaller prefix must be shared; it is a grouping only, no link depends on it.
+    It is a grouping only, no link depends on it.
     """
     star = lists.filter("class != leader").groupBy("class", "leader").agg(
         F.count("*").alias("c"), F.min("n").alias("n"), F.min("leader_n").alias("leader_n")
     )
-    smaller = F.least("n", "leader_n")
-    prefix = smaller - F.ceil(smaller * percent / 100) + 1
     best = (
-        star.filter(F.col("c") * 4 >= prefix)
-        .groupBy("class")
+        star.groupBy("class")
         .agg(F.max(F.struct("c", "leader", "leader_n", "n")).alias("best"))
         .select("class", "best.leader", "best.leader_n", "best.n")
     )
@@ -388,14 +397,15 @@ def jaccard_components(
         .groupBy("class")
         .agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
     )
-    lists = staged(_shared_lists(_postings(docs, levels, width, percent)))
+    shared = staged(_shared_lists(_postings(docs, levels, width, percent)))
+    lists = staged(_possible(shared, percent))
 
     # Texts of the classes that share a posted shingle with another one.
     sharing = lists.select("class").distinct().join(classes, "class").select("class", "least_id")
     held = staged(
         docs.join(sharing, docs["doc_id"].eqNullSafe(sharing["least_id"])).select("class", "text")
     )
-    members = _families(lists, percent)
+    members = _families(lists)
     sizes = members.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     parts = F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("total") / BLOCK_SHINGLES)).cast("int")
     sizes = staged(sizes.select("family", parts.alias("parts")))
@@ -430,7 +440,7 @@ def jaccard_components(
         links = links.union(staged(_group_links(one.union(two), held, ["family", "outer", "block"], width, percent)))
 
     family = members.groupBy("class").agg(F.min_by("family", F.col("family") == F.col("class")).alias("family"))
-    related = lists.select("token", "class", "n", "pos")
+    related = lists.select("token", "class", "n", "pos", "before")
     related = related.join(family, "class", "left").join(known.withColumnRenamed("node", "class"), "class", "left")
     related = related.withColumns({"family": F.coalesce("family", "class"), "label": F.coalesce("label", "class")})
     pairs = staged(_cross_pairs(related, percent))
