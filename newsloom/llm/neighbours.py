@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 
 from newsloom.plans.staging import staged
 
-DEGREE = 24
-ROUNDS = 8
-TABLES = 3
-BLOCK = 192
-OFFERS = 24
-ENOUGH = 0.002
-LIST = 160
-BEAM = 32
+DEGREE = 32
+ROUNDS = 6
+TABLES = 4
+BLOCK = 256
+OFFERS = 10
+ENOUGH = 0.01
+LIST = 192
+BEAM = 48
 ENTRIES = 16
 SEARCH_ROUNDS = 30
 
