@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by inner product: an NN-descent graph, searched greedily.
 
-Equal vectors are one node. Nodes carry their vector as 8-bit codes, with one more component that
+Equal vectors are one node. Nodes carry their vector as 16-bit floats, with one more component that
 gives all the same length, so that the largest inner product is the nearest node. The graph starts
 from blocks of nodes that fall on the same side of random planes. Then, round by round, a join brings
 every node's neighbours (either way) together, each looks at the others as possible neighbours, and
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.llm.texts import mixed
 from newsloom.plans.staging import staged
 
 DEGREE = 32
@@ -39,7 +40,6 @@ class Index(NamedTuple):
     nodes: DataFrame
     codes: DataFrame
     links: DataFrame
-    scale: float
     longest: float
 
 
@@ -54,8 +54,8 @@ def _as_doubles(vector: Column) -> Column:
     return F.transform(vector.cast("array<double>"), lambda x: x + F.lit(0.0))
 
 
-def _coded(rows: DataFrame, scale: float, longest: float) -> DataFrame:
-    """``node, code`` from ``node, vector``; longer vectors than the longest are coded as if as long."""
+def _coded(rows: DataFrame, longest: float, asked: bool = False) -> DataFrame:
+    """``node, code`` from ``node, vector``. A query has no component beyond its own."""
 
     def run(batches):
         for batch in batches:
@@ -63,8 +63,9 @@ def _coded(rows: DataFrame, scale: float, longest: float) -> DataFrame:
                 continue
             v = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
             rest = np.sqrt(np.maximum(longest**2 - (v**2).sum(axis=1), 0))
-            rest[rest < 1e-3 * longest] = 0
-            codes = np.clip(np.rint(np.column_stack([v, rest]) * scale), -127, 127).astype(np.int8)
+            if asked:
+                rest[:] = 0
+            codes = (np.column_stack([v, rest]) / longest).astype(np.float16)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), pa.array([c.tobytes() for c in codes], pa.binary())], ["node", "code"]
             )
@@ -97,7 +98,7 @@ def _edges_of(keys: np.ndarray) -> np.ndarray:
 
 
 def _codes_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), -1).astype(np.float32)
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(len(column), -1).astype(np.float32)
 
 
 def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -170,7 +171,9 @@ def _merged(graph: DataFrame | None, offers: DataFrame, degree: int) -> DataFram
                 first = np.ones(len(here), bool)
                 first[1:] = here[1:] != here[:-1]
                 here, near, was = here[first], near[first], was[first]
-                best = np.lexsort((here, -near))[:degree]
+                # Equally near ones are drawn by lot, else all nodes of a dense group would choose the same.
+                lot = mixed((here ^ keys[a]).view(np.uint64))
+                best = np.lexsort((lot, -near))[:degree]
                 for column, value in zip(out, (keys[a], here[best], near[best], ~was[best]), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
@@ -267,18 +270,12 @@ def build(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", co
     ).filter(F.col("at") <= copies)
     nodes = staged(ranked.groupBy("node", "vector").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     squares = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)
-    sizes = nodes.agg(
-        F.max(F.sqrt(squares)).alias("longest"), F.min(F.sqrt(squares)).alias("shortest"),
-        F.max(F.array_max(F.transform("vector", F.abs))).alias("largest"),
-    ).first()
-    longest = sizes.longest or 1.0
-    spare = np.sqrt(max(longest**2 - (sizes.shortest or longest) ** 2, 0.0))
-    scale = 127.0 / max(sizes.largest or 1.0, spare)
-    codes = staged(_coded(nodes, scale, longest))
+    longest = nodes.agg(F.max(F.sqrt(squares))).first()[0] or 1.0
+    codes = staged(_coded(nodes, longest))
     graph = descend(codes, degree)
     links = graph.select("node", F.explode("ids").alias("near"))
     links = staged(links.union(links.select("near", "node")).distinct())
-    return Index(nodes, codes, links, scale, longest)
+    return Index(nodes, codes, links, longest)
 
 
 _STATE = "q bigint, code binary, ids array<bigint>, sims array<float>, done array<boolean>, next array<bigint>"
@@ -306,7 +303,7 @@ def _expanded(state: DataFrame, found: DataFrame, size: int, beam: int) -> DataF
                     if new.any():
                         codes = _codes_of(batch.column("code").take(pa.array(rest)))[new]
                         ids = np.concatenate([ids, near[new]])
-                        sims = np.concatenate([sims, codes @ np.frombuffer(code, np.int8).astype(np.float32)])
+                        sims = np.concatenate([sims, codes @ np.frombuffer(code, np.float16).astype(np.float32)])
                         done = np.concatenate([done, np.zeros(int(new.sum()), bool)])
                 best = np.lexsort((ids, -sims))[:size]
                 ids, sims, done = ids[best], sims[best], done[best].copy()
@@ -345,7 +342,7 @@ def search(
     asked = asked.filter(usable(F.col("raw"), length)).select("query_id", _as_doubles(F.col("raw")).alias("vector"))
     asked = staged(asked.withColumn("node", F.xxhash64("vector")))
     distinct = asked.groupBy("node").agg(F.first("vector").alias("vector"))
-    coded = staged(_coded(distinct, index.scale, index.longest).withColumnRenamed("node", "q"))
+    coded = staged(_coded(distinct, index.longest, asked=True).withColumnRenamed("node", "q"))
     empty = [F.array().cast(k).alias(n) for n, k in (("ids", "array<bigint>"), ("sims", "array<float>"), ("done", "array<boolean>"))]
     state = coded.select("q", "code", *empty)
     entries = [row.node for row in index.codes.select("node").orderBy(F.xxhash64("node")).limit(ENTRIES).collect()]
