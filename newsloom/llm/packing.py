@@ -328,7 +328,13 @@ def pack(
                         count[0] += 1
                         yield base + count[0], full
                 if last:
-                    for pieces in open_now.rest():
+                    # What is open at the very end is filled up by cuts, window by window.
+                    ending = Windows(window, 1, least_cut)
+                    for pieces in [*open_now.rest()]:
+                        for full in ending.put(pieces):
+                            count[0] += 1
+                            yield base + count[0], full
+                    for pieces in ending.rest():
                         count[0] += 1
                         yield base + count[0], pieces
 
