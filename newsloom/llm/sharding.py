@@ -154,11 +154,16 @@ def shard(docs: DataFrame, text: str = "text", key: str = "doc_id", shards: int
     )
     named = rows.withColumn("class", same).join(F.broadcast(large), F.col("class") == F.col("large"), "left")
     piece = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("pieces")), F.lit(0))
-    named = named.withColumn("node", F.xxhash64("class", piece))
-    rows = staged(named.select("doc_id", "size", "crc", "class", "least", "second", "node"))
+    # Pieces of a large class start two to a shard, all else where its least shingle says.
+    start = F.when(
+        F.col("pieces").isNotNull(), F.pmod(F.xxhash64("class") + F.floor(piece / 2), F.lit(shards))
+    ).otherwise(F.pmod(F.xxhash64("least"), F.lit(shards)))
+    named = named.withColumn("node", F.xxhash64("class", piece)).withColumn("start", start.cast("int"))
+    rows = staged(named.select("doc_id", "size", "crc", "class", "least", "second", "node", "start"))
 
     groups = staged(rows.groupBy("node").agg(
-        F.count("*").alias("weight"), F.min("class").alias("class"), F.min("least").alias("least"), F.min("second").alias("second")
+        F.count("*").alias("weight"), F.min("start").alias("shard"),
+        *[F.min(c).alias(c) for c in ("class", "least", "second")],
     ))
     keys = F.array(
         F.xxhash64(F.lit("text"), "class"), F.xxhash64(F.lit("least"), "least"), F.xxhash64(F.lit("second"), "second")
@@ -166,8 +171,7 @@ def shard(docs: DataFrame, text: str = "text", key: str = "doc_id", shards: int
     links = groups.select("node", "weight", F.explode(keys).alias("key"))
     shared = links.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     links = staged(links.join(shared, "key").select("node", "weight", "key"))
-    start = F.pmod(F.xxhash64("least"), F.lit(shards)).cast("int").alias("shard")
-    placed = propagate(groups.select("node", "weight", start), links, shards)
+    placed = propagate(groups.select("node", "weight", "shard"), links, shards)
 
     linked = links.select("node").distinct().withColumn("linked", F.lit(1))
     ranks = placed.join(linked, "node", "left").select(

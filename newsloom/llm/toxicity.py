@@ -76,15 +76,18 @@ def fit(
     if true.any() and not true.all():
         weight = np.where(true, shares[1] / true.sum(), shares[0] / (~true).sum())
         order = np.argsort(raw)
-        cuts = np.concatenate([[raw[order[0]] - 1], (raw[order][1:] + raw[order][:-1]) / 2, [raw[order[-1]] + 1]])
+        ends = [raw[order[0]] - 1], [max(raw[order[-1]], bias) + 1]
+        cuts = np.concatenate([ends[0], (raw[order][1:] + raw[order][:-1]) / 2, ends[1]])
         below = np.concatenate([[0], np.cumsum(np.where(true, weight, -weight)[order])])
+        # A text without any n-gram has the bias alone, and is not toxic.
+        below = np.where(cuts > bias + 1e-3, below, np.inf)
         best = np.flatnonzero(below <= below.min() + 1e-9)
         bias -= (cuts[best[0]] + cuts[best[-1]]) / 2
     return Detector(Model(table, np.array([bias]), 1.0, grams), 0.0)
 
 
 def toxicity(text: Column, found: Detector) -> Column:
-    """Score from 0 to 1; 0.5 and above means toxic. Null and empty texts get the bias alone."""
+    """Score from 0 to 1; 0.5 and above means toxic. Null and empty texts get the bias alone, below 0.5."""
     model, constant = found
     if model is None:
         return F.lit(constant)
