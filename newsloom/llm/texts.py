@@ -14,7 +14,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 SHINGLE_WORDS = 5
 
 _BASE = 0x9E3779B97F4A7C15
