@@ -53,8 +53,16 @@ def build_index(articles: DataFrame, *, index_id: bool = False) -> DataFrame:
 
 
 def write_index(articles: DataFrame, path: str, *, index_id: bool = False, mode: str = "overwrite") -> None:
-    """Write the index; ``mode='append'`` adds the rows of new articles."""
+    """Write the index; ``mode='append'`` adds the rows of new articles.
+
+    Ids that the index holds already are refused: their rows would count twice.
+    """
     order = ["term", ID_COLUMN, "col", "pos"]
+    if mode == "append":
+        held = articles.sparkSession.read.parquet(path).filter(F.col("term") == WHOLE).select(ID_COLUMN)
+        known = held.join(articles.select(ID_COLUMN), ID_COLUMN, "left_semi").limit(5).collect()
+        if known:
+            raise ValueError(f"already in the index: {sorted(row[0] for row in known)}")
     rows = build_index(articles, index_id=index_id)
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).parquet(path)
 

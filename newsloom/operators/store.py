@@ -111,13 +111,17 @@ def append_articles(
     """Append the unseen articles of a batch to the table at ``path``; returns how many.
 
     With ``strict`` one invalid article fails the whole batch before anything is written, else the
-    invalid ones are left out. New ids continue the stored ones in batch order. The write is one
-    job; a batch that is repeated after a failure adds only what is missing.
+    invalid ones are left out. New ids continue the stored ones in batch order. Texts are staged
+    once with the batch and written once. The write is one job; a batch that is repeated after a
+    failure adds only what is missing.
     """
     stored = read_store(batch.sparkSession, path)
-    # A batch may come from a model: it is computed once, and so is its meeting with the store.
-    batch = staged(batch.select(*REQUIRED_FIELDS, F.col(order).alias("_order")))
-    new = staged(validated(unseen(batch, stored)))
+    # A batch may come from a model: it is computed once. All that follows is done on its short columns.
+    batch = staged(
+        batch.select(*REQUIRED_FIELDS, F.col(order).alias("_order"), F.monotonically_increasing_id().alias("_row"))
+    )
+    short = validated(batch).select(*KEY, "link", "_order", "_row", "reject_reason")
+    new = staged(unseen(short, stored))
     outcomes = {r.reject_reason: r["count"] for r in new.groupBy("reject_reason").count().collect()}
     appended = outcomes.pop(None, 0)
     if outcomes and strict:
@@ -126,8 +130,9 @@ def append_articles(
         return 0
     last = stored.agg(F.coalesce(F.max("article_id"), F.lit(0)).alias("last")).first().last
     valid = new.filter(F.col("reject_reason").isNull())
-    numbered = number_rows(valid, ["_order", "published", "title", "link"])
-    rows = stamp_new(numbered, at).select(
+    numbered = number_rows(valid.drop("reject_reason"), ["_order", "published", "title", "link"])
+    chosen = batch.join(numbered.select("_row", "position"), "_row")
+    rows = stamp_new(chosen, at).select(
         (F.lit(last) + F.col("position")).cast("bigint").alias("article_id"),
         "dt_created",
         "dt_updated",

@@ -99,6 +99,8 @@ def test_scores_equal_the_reference_engine(articles, fts, match, searched):
 def index(spark, articles, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("index") / "words")
     write_index(articles, path, index_id=True)
+    with pytest.raises(ValueError, match="already in the index"):
+        write_index(articles.limit(1), path, index_id=True, mode="append")
     return spark.read.parquet(path)
 
 

@@ -202,3 +202,32 @@ def test_fetch_of_all_kinds(spark, fixtures):
     capped = fetch(spark, folders, AS_OF, per_source=1, settings={"RSS_FETCH": "no"})
     assert {r.source for r in capped.collect()} == {"reddit", "bluesky"}
     assert capped.filter("source = 'reddit'").count() == 2
+
+
+def test_entries_link_to_their_page(spark):
+    rows = [
+        (1, [("http://x/self", "self"), ("http://x/a.mp3", "enclosure"), ("http://x/page", "alternate")]),
+        (2, [("http://x/self", "self"), ("http://x/page", None)]),
+        (3, [("http://x/self", "self"), ("http://x/a.mp3", "enclosure")]),
+        (4, []),
+        (5, None),
+    ]
+    schema = "id int, link array<struct<_href: string, _rel: string>>"
+    frame = spark.createDataFrame(rows, schema)
+    got = {r.id: r.o for r in frame.select("id", landing._page_link(F.col("link")).alias("o")).collect()}
+    assert got == {1: "http://x/page", 2: "http://x/page", 3: "http://x/self", 4: None, 5: None}
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_published_texts_do_not_follow_the_session_zone(spark, fixtures, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        kinds = {k: reader_of(k)(spark, str(fixtures / f)) for k, f in (("rss", "feeds"), ("reddit", "forum"))}
+        want = {k: sorted(str(r.published) for r in v.select("published").collect()) for k, v in kinds.items()}
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        for kind, folder in (("rss", "feeds"), ("reddit", "forum")):
+            read = reader_of(kind)(spark, str(fixtures / folder)).select("published").collect()
+            assert sorted(str(r.published) for r in read) == want[kind]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

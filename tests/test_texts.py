@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as t
 from newsloom.functions.html import escaped, html_text
-from newsloom.operators.digest import digest_lines, html_entries, write_digest
+from newsloom.operators.digest import digest_lines, html_entries, html_page, write_digest
 from newsloom.operators.summaries import prompt, summarise, token_rate
 
 
@@ -143,3 +143,14 @@ def test_prompt_and_rate(spark):
     assert made.startswith("Tu es un expert en thème.") and made.endswith("Contenu : Texte % $1\n\nRésumé :")
     assert "\nTitre {x}\n" in made
     assert frame.select(*token_rate(F.col("b"), F.col("s"))).first() == (3, 1.5)
+
+
+def test_html_page_has_a_heading_per_day(spark):
+    articles = spark.createDataFrame(ARTICLES, SCHEMA).withColumns(
+        {"dt_created": F.lit(dt.datetime(2025, 1, 2, 8)), "day": F.lit("02/01/2025"), "score": F.lit("45 %")}
+    )
+    rows = html_page(articles, ["IA", "a & b"], 0.5).orderBy("ord").collect()
+    assert rows[0].ord == -1 and rows[0].digest_day == "02/01/2025"
+    for part in ("02/01/2025", f"Les {len(ARTICLES)} derniers articles", "IA, a &amp; b", "50%"):
+        assert part in rows[0].block
+    assert all(" - 45 %</h3>" in r.block for r in rows[1:]) and len(rows) == 1 + len(ARTICLES)
