@@ -1,7 +1,7 @@
 """Language identification by averaged hashed subword embeddings with calibrated rejection.
 
 The model is fitted on a bounded sample of documents whose language is known (``sample`` per
-language at most, chosen by a hash of the id) and then travels with the scoring function: its size
+language at most, chosen by a hash of id and text) and then travels with the scoring function: its size
 depends on the number of hash buckets and languages only. Scoring is one pass over whole texts.
 """
 
@@ -11,7 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.subwords import Grams, Model, logits, softmax, text_features, train
@@ -88,17 +88,14 @@ def fit(
     languages = sorted(row.lang for row in counts)
     if not languages:
         return Identifier([], None, 0.0)
-    order = F.xxhash64("doc_id", F.lit(8))
-    ids = None
-    for name in languages:
-        part = known.filter(F.col("lang") == name).select("doc_id", "lang", order.alias("at"))
-        part = part.orderBy("at", "doc_id").limit(sample)
-        ids = part if ids is None else ids.union(part)
-    # At most `sample` ids a language: small enough to send to every task, so texts stay in place.
-    chosen = F.broadcast(ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct())
-    sampled = known.join(
-        chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang"))
-    ).select("doc_id", "text", "lang")
+    # Rows equal in id and text count once, so that no repeated id can fill the sample or exceed it.
+    keyed = known.withColumn("at", F.xxhash64("doc_id", "text", F.lit(8)))
+    first = Window.partitionBy("lang").orderBy("at")
+    ranked = keyed.select("lang", "at").distinct().withColumn("rank", F.row_number().over(first))
+    cuts = ranked.filter(F.col("rank") <= sample).groupBy("lang").agg(F.max("at").alias("cut"))
+    # At most MOST_LANGUAGES rows.
+    chosen = keyed.join(F.broadcast(cuts), "lang").filter(F.col("at") <= F.col("cut"))
+    sampled = chosen.groupBy("lang", "at").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
     features, labels = sample_features(sampled, "text", "lang", grams)
     classes = np.array([languages.index(x) for x in labels], dtype=np.int64)
     aside = np.arange(len(classes)) % 5 == 4

@@ -59,7 +59,9 @@ def fit(
     # At most 2 * sample rows: small enough to send to every task, so texts stay in place.
     chosen = F.broadcast(ids[0].union(ids[1]))
     texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).filter("text IS NOT NULL")
-    features, found = sample_features(texts.join(chosen, "doc_id"), "text", "toxic", grams)
+    # Of texts with the same id one is learned from: a repeated id cannot exceed the sample.
+    sampled = texts.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    features, found = sample_features(sampled, "text", "toxic", grams)
     classes = np.array(found, dtype=np.int64)
     if len(set(found)) < 2:
         return Detector(None, shares.get(1, 0) / total)

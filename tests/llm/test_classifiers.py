@@ -101,6 +101,25 @@ def test_toxicity_of_odd_texts(spark, labelled):
     assert toxicity.keep_clean(table.limit(0), found).count() == 0
 
 
+def test_samples_are_bounded_whatever_repeats(spark, spoken, labelled, monkeypatch):
+    seen = []
+    real = language.sample_features
+
+    def counted(sample, *rest):
+        features, labels = real(sample, *rest)
+        seen.append(len(labels))
+        return features, labels
+
+    monkeypatch.setattr(language, "sample_features", counted)
+    monkeypatch.setattr(toxicity, "sample_features", counted)
+    same = spark.range(300).selectExpr("CAST(NULL AS long) AS doc_id", "'ka to mi' AS text", "'xx' AS lang")
+    language.fit(spoken.union(same), sample=40)
+    docs, labels = labelled
+    again = spark.range(300).selectExpr("CAST(5 AS long) AS doc_id", "'ka ' || id AS text")
+    toxicity.fit(docs.union(again), labels, sample=60)
+    assert seen == [120, 120]
+
+
 def test_one_label_alone_gives_its_share(spark, labelled):
     docs, labels = labelled
     assert toxicity.fit(docs, labels.limit(0)) == (None, 0.0)
