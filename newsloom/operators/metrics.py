@@ -92,8 +92,12 @@ def run_report(points: DataFrame, by: Sequence[str] = ("run", "metric")) -> Data
 
 
 def seconds_since_start(points: DataFrame, clock: str = METRIC_NAMES["users"]) -> DataFrame:
-    """Points with ``elapsed`` seconds since the first point of the clock metric in their run."""
-    starts = points.filter(F.col("metric") == clock).groupBy("run").agg(F.min("ts").alias("_start"))
+    """Points with ``elapsed`` seconds since the first point of the clock metric in their run.
+
+    A run without a clock point starts at its first point of any metric.
+    """
+    clocked = F.min(F.when(F.col("metric") == clock, F.col("ts")))
+    starts = points.groupBy("run").agg(F.coalesce(clocked, F.min("ts")).alias("_start"))
     joined = points.join(starts, "run")
     return joined.withColumn("elapsed", (_micros("ts") - _micros("_start")) / 1e6).drop("_start")
 

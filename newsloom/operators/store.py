@@ -107,11 +107,13 @@ def append_articles(
     order: str = "seq",
     at: dt.datetime | None = None,
     strict: bool = True,
+    rejected: str | None = None,
 ) -> int:
     """Append the unseen articles of a batch to the table at ``path``; returns how many.
 
     With ``strict`` one invalid article fails the whole batch before anything is written, else the
-    invalid ones are left out. New ids continue the stored ones in batch order. Texts are staged
+    invalid ones are left out, and appended with their reason to the table at ``rejected`` if given
+    (a batch that is repeated reports them again). New ids continue the stored ones in batch order. Texts are staged
     once with the batch and written once. The write is one job; a batch that is repeated after a
     failure adds only what is missing.
     """
@@ -126,6 +128,10 @@ def append_articles(
     appended = outcomes.pop(None, 0)
     if outcomes and strict:
         raise ValueError(f"invalid articles: {outcomes}")
+    if outcomes and rejected:
+        reasons = new.filter(F.col("reject_reason").isNotNull()).select("_row", "reject_reason")
+        faulty = batch.join(reasons, "_row").select(*REQUIRED_FIELDS, "reject_reason")
+        faulty.write.mode("append").parquet(rejected)
     if not appended:
         return 0
     last = stored.agg(F.coalesce(F.max("article_id"), F.lit(0)).alias("last")).first().last

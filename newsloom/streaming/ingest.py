@@ -33,14 +33,17 @@ def landed_articles(spark: SparkSession, kind: str, folder: str, files_per_batch
     return normalise(readable(posts))
 
 
-def append_stream(articles: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+def append_stream(
+    articles: DataFrame, store: str, checkpoint: str, rejected: str | None = None
+) -> StreamingQuery:
     """Append the unseen articles of every micro-batch to the store, then stop when all is read.
 
     A batch that is replayed after a failure adds nothing, since its articles are stored already.
+    Invalid articles go with their reason to the table at ``rejected``.
     """
 
     def append(batch: DataFrame, _: int) -> None:
-        append_articles(batch, store, order="published", strict=False)
+        append_articles(batch, store, order="published", strict=False, rejected=rejected)
 
     return (
         articles.writeStream.foreachBatch(append)

@@ -129,3 +129,19 @@ def test_scenario_goals(log):
     assert got["spike"].p95 == pytest.approx(linear(spikes, 0.95))
     assert (got["spike"].limit, got["constant_load"].limit) == (800.0, 300.0)
     assert got["spike"].met and got["constant_load"].met
+
+
+def test_a_run_without_a_clock_keeps_its_points(spark):
+    rows = [("a", "d", f"2025-01-01 00:00:0{i}", float(i), None, float(i)) for i in range(5)]
+    points = spark.createDataFrame(rows, SCHEMA.replace("ts timestamp", "ts string"))
+    buckets = metrics.time_buckets(points.withColumn("ts", points.ts.cast("timestamp")), 2).collect()
+    assert sorted((r.time_bucket, r.mean) for r in buckets) == [(0.0, 0.5), (2.0, 2.5), (4.0, 4.0)]
+
+
+def test_goals_of_a_mix_of_requests(spark):
+    names = {"duration": "d", "failed": "f", "errors": "e"}
+    rows = [("a", "d", None, 100.0 + i, "spike", 0.0) for i in range(100)]
+    rows += [("a", "f", None, float(i < 4), "spike", 0.0) for i in range(100)]
+    rows += [("a", "e", None, float(i < 6), "spike", 0.0) for i in range(100)]
+    got = {r.goal: (round(r.measured, 6), r.met) for r in metrics.mix_goals(spark.createDataFrame(rows, SCHEMA), names).collect()}
+    assert got == {"p95": (194.05, True), "p99": (198.01, True), "failed_requests": (0.04, True), "errors": (0.06, False)}

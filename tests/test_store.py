@@ -141,3 +141,25 @@ def test_stream_appends_each_article_once(spark, fixtures, tmp_path):
     assert run("fresh-checkpoint") == 8
     ids = [r.article_id for r in read_store(spark, table).orderBy("article_id").collect()]
     assert ids == list(range(1, 9))
+
+
+def test_rejected_articles_are_reported(spark, tmp_path):
+    rows = [*FIRST, (None, "2025-01-05T10:00:00", "rss"), ("D", "2025-01-05T10:00:00", "fax")]
+    path, bad = str(tmp_path / "a"), str(tmp_path / "bad")
+    assert append_articles(batch(spark, rows), path, strict=False, rejected=bad) == 3
+    got = {(r.title, r.link, r.reject_reason) for r in spark.read.parquet(bad).collect()}
+    assert got == {(None, "l3", "missing title"), ("D", "l4", "unknown source")}
+    assert read_store(spark, path).count() == 3
+
+
+def test_texts_are_written_twice_only(spark, tmp_path, monkeypatch):
+    seen = []
+    real = store.staged
+
+    def watched(frame):
+        seen.append(frame.columns)
+        return real(frame)
+
+    monkeypatch.setattr(store, "staged", watched)
+    append_articles(batch(spark, FIRST), str(tmp_path / "a"))
+    assert sum("summary" in columns for columns in seen) == 1
