@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.texts import SHINGLE_WORDS, blocks, mixed, shingles, span_hashes, word_hashes
+from newsloom.llm.texts import blocks, mixed, shingles, span_hashes, word_hashes
 from newsloom.operators.positions import number_rows
 from newsloom.plans.staging import staged
 
