@@ -93,7 +93,7 @@ def gram_buckets(data: np.ndarray, offsets: np.ndarray, grams: Grams) -> Iterato
 
 
 def text_features(texts: pa.Array, grams: Grams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct buckets of each text with their share of its n-grams."""
+    """Distinct buckets of each text with their counts, at most 65,535 each."""
     for _, data, offsets in blocks(texts):
         rows = len(offsets) - 1
         found = list(gram_buckets(data, offsets, grams))
@@ -103,8 +103,22 @@ def text_features(texts: pa.Array, grams: Grams) -> Iterator[tuple[np.ndarray, n
         edges = np.searchsorted(keys, np.arange(rows + 1, dtype=np.int64) << grams.bits)
         for row in range(rows):
             part = slice(edges[row], edges[row + 1])
-            share = counts[part] / max(1, counts[part].sum() + grams.pad)
-            yield (keys[part] & ((1 << grams.bits) - 1)).astype(np.int32), share.astype(np.float32)
+            few = np.minimum(counts[part], 65_535).astype(np.uint16)
+            yield (keys[part] & ((1 << grams.bits) - 1)).astype(np.int32), few
+
+
+def shares(counts: np.ndarray, grams: Grams) -> np.ndarray:
+    """Weight of each bucket in a text's mean."""
+    return (counts / max(1, int(counts.sum(dtype=np.int64)) + grams.pad)).astype(np.float32)
+
+
+def raw_logits(features: list[tuple[np.ndarray, np.ndarray]], model: Model) -> np.ndarray:
+    """Logits of texts from their features, before any scale."""
+    rows = [
+        (model.table[ids] * shares(counts, model.grams)[:, None]).sum(0) if len(ids) else np.zeros(len(model.bias))
+        for ids, counts in features
+    ]
+    return np.array(rows).reshape(-1, len(model.bias)) + model.bias
 
 
 def logits(texts: pa.Array, model: Model) -> np.ndarray:
@@ -159,7 +173,7 @@ def train(
             rows = order[at : at + batch]
             sizes = np.array([len(features[r][0]) for r in rows])
             ids = np.concatenate([features[r][0] for r in rows])
-            share = np.concatenate([features[r][1] for r in rows])
+            share = np.concatenate([shares(features[r][1], grams) for r in rows])
             firsts = np.cumsum(sizes) - sizes
             hidden = np.add.reduceat(vectors[ids] * share[:, None], firsts, axis=0)
             error = (softmax(hidden @ weights + bias) - targets[rows]).astype(np.float32) / len(rows)

@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.language import sample_features
-from newsloom.llm.subwords import Grams, Model, logits, train
+from newsloom.llm.subwords import Grams, Model, logits, raw_logits, train
 
 GRAMS = Grams(orders=(3, 4, 5, 6), bits=17, letters_only=False, pad=100)
-SAMPLE = 2000
+SAMPLE = 1500
 
 
 class Detector(NamedTuple):
@@ -73,7 +73,8 @@ def fit(
     # Two classes: the difference of their scores is all that matters.
     table = (fitted.table[:, 1] - fitted.table[:, 0])[:, None]
     bias = float(fitted.bias[1] - fitted.bias[0])
-    raw = np.array([(table[ids, 0] * share).sum() + bias for ids, share in features])[aside]
+    two_sided = raw_logits([f for f, a in zip(features, aside, strict=True) if a], fitted)
+    raw = two_sided[:, 1] - two_sided[:, 0]
     true = classes[aside] == 1
     if true.any() and not true.all():
         weight = np.where(true, shares[1] / true.sum(), shares[0] / (~true).sum())
