@@ -121,9 +121,9 @@ def raw_logits(features: list[tuple[np.ndarray, np.ndarray]], model: Model) -> n
     return np.array(rows).reshape(-1, len(model.bias)) + model.bias
 
 
-def logits(texts: pa.Array, model: Model) -> np.ndarray:
-    """Scaled logits of every text; a text without n-grams has the bias alone."""
-    out = np.zeros((len(texts), len(model.bias)))
+def logits_sizes(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled logits of every text, and its number of n-grams; a text without any has the bias alone."""
+    out, sizes = np.zeros((len(texts), len(model.bias))), np.zeros(len(texts))
     for first, data, offsets in blocks(texts):
         rows = len(offsets) - 1
         sums = np.zeros((rows, len(model.bias)))
@@ -133,7 +133,13 @@ def logits(texts: pa.Array, model: Model) -> np.ndarray:
                 sums[:, c] += np.bincount(owners, model.table[:, c][buckets], rows)
             seen += np.bincount(owners, minlength=rows)
         out[first : first + rows] = sums / np.maximum(seen + model.grams.pad, 1)[:, None]
-    return (out + model.bias) * model.scale
+        sizes[first : first + rows] = seen
+    return (out + model.bias) * model.scale, sizes
+
+
+def logits(texts: pa.Array, model: Model) -> np.ndarray:
+    """Scaled logits of every text; a text without n-grams has the bias alone."""
+    return logits_sizes(texts, model)[0]
 
 
 def softmax(values: np.ndarray) -> np.ndarray:

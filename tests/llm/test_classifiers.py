@@ -60,6 +60,21 @@ def test_unlike_texts_are_rejected(spark, spoken):
     assert rows[0].language.rejected
 
 
+def test_fitted_cuts_reject_the_unlearned_and_keep_short_texts(spark, spoken):
+    found = language.fit(spoken)
+    pick = random.Random(11)
+    noise = [
+        " ".join("".join(pick.choices("bcdfghjklmnpqrstvwxyz", k=pick.randint(3, 8))) for _ in range(n)) for n in (6, 40, 400)
+    ]
+    unlearned = ["пошли вчера вечером смотреть новое кино " * n for n in (1, 30)]
+    unlearned += ["wczoraj wieczorem poszliśmy zobaczyć nowy film " * n for n in (1, 30)]
+    clean = [sentence(pick, name, n) for name in SOUNDS for n in (4, 8, 30, 300)]
+    clean.append(sentence(pick, "xx", 5) + " katomi" * 5_000)
+    table = spark.createDataFrame([(t,) for t in noise + unlearned + clean], "text string")
+    rows = table.select("text", language.identified(F.col("text"), found).alias("got")).collect()
+    assert {r.text for r in rows if r.got.rejected} == {*noise, *unlearned}
+
+
 WORDS = ["stupid", "moron", "loser"]
 
 
