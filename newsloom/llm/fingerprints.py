@@ -29,6 +29,7 @@ KINDS = 256
 SAMPLES = 64
 SPAN = 4
 BAND = 4
+BLOCK_CLASSES = 64
 
 
 def _walk() -> list:
@@ -206,9 +207,12 @@ def near_texts(docs: DataFrame, least: float = 0.75, text: str = "text", key: st
     """``doc_id, group_id`` of every row: near texts by banding and verification.
 
     Equal texts (null as empty) are one class. Classes whose fingerprints agree on all of a band of
-    samples, at a text's own level or the next, are compared with the band's least class: edit
-    distance at most ``1 - least`` of the longer text. Groups are what such links connect; the
-    group id is the least id in it. Empty texts are near empty ones only.
+    samples, at a text's own level or the next, are linked if their edit distance is at most
+    ``1 - least`` of the longer text. Groups are what such links connect; the group id is the least id
+    in it. Empty texts are near empty ones only.
+
+    Members of a band are compared with its least class first. What that connects needs no further
+    comparison; all other pairs of a band, those of members not connected so far, are compared in blocks.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("class", F.sha2("text", 256))
@@ -230,13 +234,35 @@ def near_texts(docs: DataFrame, least: float = 0.75, text: str = "text", key: st
     keyed = staged(whole.select("class", F.explode(bands("print")).alias("band")))
     leaders = keyed.groupBy("band").agg(F.min("class").alias("leader"), F.max("class").alias("other"))
     leaders = leaders.filter("leader != other").select("band", "leader")
-    pairs = keyed.join(leaders, "band").filter("class != leader").select("class", "leader").distinct()
-    one = whole.select("class", F.col("text").alias("one"))
-    two = whole.select(F.col("class").alias("leader"), F.col("text").alias("two"))
-    longer = F.greatest(F.length("one"), F.length("two"))
-    close = F.expr(f"levenshtein(one, two, cast(greatest(length(one), length(two)) * {1 - least} as int))")
-    linked = pairs.join(one, "class").join(two, "leader").filter((close >= 0) & (longer > 0))
-    labels = components(linked.select(F.col("class").alias("a"), F.col("leader").alias("b")))
+    pairs = keyed.join(leaders, "band").filter("class != leader")
+    first = F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        one = whole.select(F.col("class").alias("a"), F.col("text").alias("one"))
+        two = whole.select(F.col("class").alias("b"), F.col("text").alias("two"))
+        longer = F.greatest(F.length("one"), F.length("two"))
+        close = F.expr(f"levenshtein(one, two, cast(greatest(length(one), length(two)) * {1 - least} as int))")
+        return pairs.join(one, "a").join(two, "b").filter((close >= 0) & (longer > 0)).select("a", "b")
+
+    compared = staged(pairs.select(*first).distinct())
+    linked = staged(verified(compared))
+    labels = components(linked)
+    grouped = keyed.join(labels.withColumnRenamed("node", "class"), "class", "left")
+    grouped = staged(grouped.select("band", "class", F.coalesce("label", "class").alias("label")))
+    # Bands with several groups: each group in blocks of classes, of which different groups' meet.
+    several = grouped.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    several = several.filter("low != high").select("band")
+    sizes = grouped.join(several, "band").groupBy("band", "label").agg(F.count("*").alias("n"))
+    block = F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / BLOCK_CLASSES))
+    blocks = grouped.join(sizes, ["band", "label"]).groupBy("band", "label", block.alias("block"))
+    blocks = staged(blocks.agg(F.collect_list("class").alias("classes")))
+    left, right = (blocks.select("band", *[F.col(c).alias(f"{c}_{k}") for c in blocks.columns[1:]]) for k in (1, 2))
+    met = left.join(right, "band").filter("label_1 < label_2")
+    met = met.repartition("band", "label_1", "block_1", "label_2", "block_2")
+    rest = met.select(F.explode("classes_1").alias("class"), "classes_2")
+    rest = rest.select("class", F.explode("classes_2").alias("leader")).select(*first).distinct()
+    linked = linked.union(verified(rest.join(compared, ["a", "b"], "left_anti")))
+    labels = components(linked)
     named = ids.join(labels.withColumnRenamed("node", "class"), "class", "left")
     named = staged(named.select("doc_id", F.coalesce("label", "class").alias("label")))
     least_id = named.groupBy("label").agg(F.min("doc_id").alias("group_id"))

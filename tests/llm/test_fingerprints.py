@@ -79,3 +79,52 @@ def test_near_texts_form_groups(spark):
     # Bands may miss a near copy, but join nothing else.
     assert all(got[i] in (i % 6, i) for i in range(48)) and sum(got[i] == i % 6 for i in range(48)) >= 45
     assert [got[i] for i in range(100, 105)] == [0, 0, 102, 102, 104]
+
+
+def distance(one, two):
+    row = list(range(len(two) + 1))
+    for i, x in enumerate(one, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(two, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def band_keys(text):
+    level, samples = fp.fingerprint(text).split(":")
+    level, samples = int(level), bytes.fromhex(samples)
+    return {
+        (up, k, part[k : k + fp.BAND])
+        for up, part in ((level, samples), (level + 1, samples[::2]))
+        for k in range(0, len(part) - fp.BAND + 1, fp.BAND)
+    }
+
+
+def groups(n, links):
+    label = list(range(n))
+    for a, b in links:
+        label = [label[a] if x == label[b] else x for x in label]
+    return [label.index(x) for x in label]
+
+
+@pytest.mark.parametrize("block", [64, 1])
+def test_near_texts_beyond_a_bands_least_text_are_linked(spark, monkeypatch, block):
+    monkeypatch.setattr(fp, "BLOCK_CLASSES", block)
+    # One passage begins all texts, so all share its bands; the two texts of a family share few others.
+    start, pick, texts = text_of(50, 10), random.Random(2), []
+    for family in range(5):
+        end = text_of(60 + family, 30)
+        for _ in range(2):
+            changed = list(end)
+            for at in range(pick.randrange(9), len(changed), 9):
+                changed[at] = "q"
+            texts.append(start + " " + "".join(changed))
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if texts[a] != texts[b]]
+    near = [(a, b) for a, b in pairs if distance(texts[a], texts[b]) <= int(max(len(texts[a]), len(texts[b])) * 0.25)]
+    keys = [band_keys(t) for t in texts]
+    banded = [(a, b) for a, b in near if keys[a] & keys[b]]
+    assert len(banded) >= 0.95 * len(near) > 0
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.group_id for r in fp.near_texts(table).collect()}
+    assert [got[i] for i in range(len(texts))] == groups(len(texts), banded)
+    assert len(set(got.values())) == 5
