@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import (
     brown,
+    centroids,
     dialogue,
     fingerprints,
     jaccard,
     language,
+    minhash,
     mixing,
+    negatives,
     neighbours,
     packing,
     sharding,
@@ -131,3 +134,21 @@ def op10_mixing(spark, folder):
     joined = rows.join(F.broadcast(aims), F.col("source").eqNullSafe(F.col("name")))
     taken = (F.col("size") * F.col("copies")).alias("taken")
     return joined.select("doc_id", "size", "source_size", "target", taken, "copies")
+
+
+@_query
+def op11_centroids(spark, folder):
+    found = centroids.cluster(table(spark, folder, "embeddings"))
+    return centroids.with_inertia(found).drop("compared")
+
+
+@_query
+def op12_negatives(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved))
+
+
+@_query
+def op13_minhash(spark, folder):
+    return minhash.near_duplicates(table(spark, folder, "documents"))

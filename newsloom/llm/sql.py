@@ -118,5 +118,85 @@ LATERAL (SELECT CAST(CASE WHEN d.size = 0 THEN 0 ELSE least({most}, a.whole
 """
 
 
+def clusters(table: str = "embeddings", k: int = 16, rounds: int = 3, dims: int = 64, scale: int = 64) -> str:
+    """One pair of queries a round: all distances to all centroids, then exact floors of means."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+d{r} AS (
+  SELECT kept.rid, c{r}.c, CAST(list_sum(list_transform(range(1, {dims + 1}),
+    lambda i: (kept.v[i] - c{r}.v[i]) * (kept.v[i] - c{r}.v[i]))) AS BIGINT) AS d FROM kept, c{r}
+),
+a{r} AS (SELECT rid, c, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (
+  SELECT c, i, (s - ((s % n) + n) % n) // n AS m FROM (
+    SELECT a{r}.c, i, CAST(sum(kept.v[i]) AS BIGINT) AS s, count(*) AS n
+    FROM a{r} JOIN kept USING (rid), range(1, {dims + 1}) AS places(i) GROUP BY a{r}.c, i)
+),
+c{r + 1} AS (
+  SELECT c{r}.c, coalesce(means.v, c{r}.v) AS v
+  FROM c{r} LEFT JOIN (SELECT c, list(m ORDER BY i) AS v FROM m{r} GROUP BY c) means ON means.c = c{r}.c
+)""")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS rid, vec_id,
+    list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM {table}
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c, v
+  FROM kept QUALIFY c < {k}
+),{",".join(steps)}
+SELECT kept.vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance,
+  CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(f.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN kept USING (rid) JOIN c{rounds} f ON f.c = a.c
+"""
+
+
+def hard_negatives(table: str = "embeddings") -> str:
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM {table}
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scores AS (
+  SELECT a.rid AS anchor, a.vec_id AS anchor_id, r.rid, r.vec_id, r.label = a.label AS alike,
+    CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM kept a JOIN kept r ON a.vec_id % 100 = 0 AND a.rid <> r.rid AND len(a.v) = len(r.v) AND len(a.v) > 0
+),
+positives AS (
+  SELECT anchor, rid, vec_id, score FROM scores WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) <= 5
+)
+SELECT s.anchor_id, p.vec_id AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor, p.rid ORDER BY s.score DESC, s.vec_id NULLS LAST) AS INTEGER) AS rank,
+  s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM positives p JOIN scores s ON s.anchor = p.anchor AND NOT s.alike
+  AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+QUALIFY rank <= 5
+"""
+
+
+def near_duplicates(table: str = "documents") -> str:
+    return f"""
+SELECT doc_id, n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept, n_copies
+FROM ({jaccard(table, 80, 4)})
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard": jaccard(), "op5_dialogue": rotation(), "op10_mixing": mixture()}
+    return {
+        "op4_jaccard": jaccard(),
+        "op5_dialogue": rotation(),
+        "op10_mixing": mixture(),
+        "op11_centroids": clusters(),
+        "op12_negatives": hard_negatives(),
+        "op13_minhash": near_duplicates(),
+    }
