@@ -190,12 +190,13 @@ def hard_negatives(
     anchor; ties by smaller id, null ids last. Positives are the first ``positives`` other rows of the
     anchor's label; negatives the first ``negatives`` rows of other labels with
     ``low * positive_score <= high * negative_score <= high * positive_score``.
-    Rows with a null label, a null vector or a null or non-finite component take no part; vectors of another
-    length have no score with the anchor. Rows are told apart by row, not by id: a repeated row is
+    Rows with a null label, a null or empty vector or a null or non-finite component take no part; vectors of
+    another length have no score with the anchor. Rows are told apart by row, not by id: a repeated row is
     another row. Other columns are ignored; an empty table gives no row. Components too large for exact
     scores are an error.
     """
-    kept = vectors.filter(F.col("label").isNotNull() & finite(F.col("embedding"))).select(
+    whole = finite(F.col("embedding")) & (F.size("embedding") > 0)
+    kept = vectors.filter(F.col("label").isNotNull() & whole).select(
         F.monotonically_increasing_id().alias("row"),
         "vec_id",
         F.col("label").cast("bigint").alias("label"),
