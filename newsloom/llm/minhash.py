@@ -2,13 +2,16 @@
 
 One pass over the texts takes ``BANDS * ROWS`` minima of universal hash functions over each set of word
 shingles. Documents with equal sets are one class. Classes that agree in all minima of a band share a
-bucket. In each bucket the first classes lead: all others are compared with them, those that link leave
-the bucket, and the rest goes on with more leaders until no two classes are left uncompared, so the work
-follows the classes that differ and no copies are paired out. A pair is compared by its signatures first
-(one byte of each minimum), then confirmed on the full sets. Links become components by alternating
-large-star and small-star steps.
+bucket, and every class is compared with the first class of its buckets: by signatures (one byte of each
+minimum), then on the full sets. Links become components by alternating large-star and small-star steps.
 
-Two sets at the least similarity of 0.8 share no band with a chance of 2e-9.
+What is left are buckets with members of several components. Buckets whose first classes belong together
+form a family; members outside a family's largest component are compared with all its members of other
+components, block by block in tasks, again by signatures and then on the full sets. So no pair of classes
+that shares a bucket is left out, and no pairs within a group are written: a task passes on the members that
+may link, and then one link per member and component.
+
+Two sets at the least similarity of 0.8 share no band with a chance of 1e-7.
 """
 
 from __future__ import annotations
@@ -21,22 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.llm.jaccard import overlaps
 from newsloom.llm.texts import blocks, mixed, shingles, word_hashes
 from newsloom.plans.staging import staged
 
 WIDTH = 4
 PERCENT = 80
-BANDS = 50
+BANDS = 40
 ROWS = 5
 SEED = 20
 
 # A pair whose estimate is this many standard deviations below the least similarity is not read in full.
 DEVIATIONS = 6
-# Leaders of a bucket in the first round; each round has more, up to the most.
-LEADER_GROWTH = 8
-MOST_LEADERS = 512
-# Sets that are compared with a leader in one task.
-BLOCK_SETS = 64
+# Signatures and sets of one side that a task compares.
+BLOCK_MARKS = 1024
+BLOCK_SETS = 128
 # Up to so many row numbers (a few MB) travel to the tables they pick rows from; more are shuffled.
 FEW_NODES = 200_000
 
@@ -76,40 +78,46 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 
 def _read_texts(docs: DataFrame, width: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """The documents with ``n``, the name of their set, its bucket keys and signature (null if empty)."""
+    """Each document's set size, the name of its set, bucket keys and signature (null without words).
+
+    Of equal sets in a batch one has keys.
+    """
     count = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            seen: set[bytes] = set()
             for row, data, offsets in blocks(batch.column("text")):
                 sets = shingles(*word_hashes(data, offsets), width)
-                sizes = np.array([len(s) for s in sets])
-                filled = np.flatnonzero(sizes)
+                names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                fresh = []
+                for i, name in enumerate(names):
+                    if name is not None and name not in seen:
+                        seen.add(name)
+                        fresh.append(i)
                 place = np.full(len(sets), -1)
-                place[filled] = np.arange(len(filled))
+                place[fresh] = np.arange(len(fresh))
                 take = pa.array(place, mask=place < 0)
-                found = [sets[i] for i in filled]
-                if found:
-                    minima = signatures(found, seed, count)
-                    names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found]
+                keys, marks = pa.array([], pa.list_(pa.int64())), []
+                if fresh:
+                    minima = signatures([sets[i] for i in fresh], seed, count)
                     keys = _lists(bucket_keys(minima, bands))
                     marks = [line.tobytes() for line in minima.astype(np.uint8)]
-                else:
-                    names, marks, keys = [], [], pa.array([], pa.list_(pa.int64()))
                 part = batch.slice(row, len(sets))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *part.columns,
-                        pa.array(sizes.astype(np.int64)),
-                        pa.array(names, pa.binary()).take(take),
+                        part.column("row"),
+                        part.column("doc_id"),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array(names, pa.binary()),
                         keys.take(take),
                         pa.array(marks, pa.binary()).take(take),
                     ],
-                    [*part.schema.names, "n", "set", "keys", "marks"],
+                    ["row", "doc_id", "n", "set", "keys", "marks"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row bigint, doc_id {kind}, text string, n bigint, set binary, keys array<bigint>, marks binary"
+    schema = f"row bigint, doc_id {kind}, n bigint, set binary, keys array<bigint>, marks binary"
     return docs.select("row", "doc_id", "text").mapInArrow(run, schema)
 
 
@@ -119,23 +127,27 @@ def _only(frame: DataFrame, key: str, nodes: DataFrame) -> DataFrame:
     return frame.join(F.broadcast(nodes) if few else nodes, frame[key] == nodes["node"]).drop(key)
 
 
-def _alike(pairs: DataFrame, sketches: DataFrame, percent: int, count: int) -> DataFrame:
-    """Pairs whose sizes allow the similarity and whose signatures do not speak against it."""
+def _least_matches(percent: int, count: int) -> float:
+    """Equal bytes of two signatures below which the sets are taken for less similar."""
     share = percent / 100
     least = share - DEVIATIONS * (share * (1 - share) / count) ** 0.5
-    least = count * (least + (1 - least) / 256)
+    return count * (least + (1 - least) / 256)
+
+
+def _mark_matrix(column: pa.ChunkedArray | pa.Array, count: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, count)
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame, percent: int, count: int) -> DataFrame:
+    """Pairs whose sizes allow the similarity and whose signatures do not speak against it."""
+    least = _least_matches(percent, count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, other = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, count)
-                for c in ("marks", "leader_marks")
-            )
-            good = np.flatnonzero((one == other).sum(axis=1) >= least)
+            equal = _mark_matrix(batch.column("marks"), count) == _mark_matrix(batch.column("leader_marks"), count)
+            good = np.flatnonzero(equal.sum(axis=1) >= least)
             yield batch.select(["leader", "node"]).take(pa.array(good))
 
-    ends = pairs.select(F.explode(F.array("leader", "node")).alias("node")).distinct()
-    sketches = staged(_only(sketches, "row", staged(ends)))
     leading = sketches.select(
         F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("marks").alias("leader_marks")
     )
@@ -146,16 +158,24 @@ def _alike(pairs: DataFrame, sketches: DataFrame, percent: int, count: int) -> D
     )
 
 
+def _with_texts(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    return placed.join(_only(texts, "row", staged(placed.select("node").distinct())), "node")
+
+
+def _sets(rows: pa.Table, width: int) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for chunk in rows.column("text").chunks:
+        for _, data, offsets in blocks(chunk):
+            out += shingles(*word_hashes(data, offsets), width)
+    return out
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs that link by their full sets: a leader with a block of its pairs in each task."""
 
     def run(rows: pa.Table) -> pa.Table:
         leader = rows.column("leader")[0].as_py()
-        nodes = rows.column("node").to_pylist()
-        sets: list[np.ndarray] = []
-        for chunk in rows.column("text").chunks:
-            for _, data, offsets in blocks(chunk):
-                sets += shingles(*word_hashes(data, offsets), width)
+        nodes, sets = rows.column("node").to_pylist(), _sets(rows, width)
         mine = sets[nodes.index(leader)]
         linked = []
         for node, other in zip(nodes, sets, strict=True):
@@ -164,7 +184,6 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
                 linked.append(node)
         return pa.table({"a": pa.array([leader] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
 
-    pairs = staged(pairs)
     sizes = pairs.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
     sizes = staged(sizes)
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -172,38 +191,108 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     leading = sizes.select("leader", every.alias("block"), F.col("leader").alias("node"))
     placed = staged(members.union(leading))
-    wanted = placed.select("node").distinct()
-    held = _only(texts, "row", staged(wanted))
-    return placed.join(held, "node").groupBy("leader", "block").applyInArrow(run, "a bigint, b bigint")
+    return _with_texts(placed, texts).groupBy("leader", "block").applyInArrow(run, "a bigint, b bigint")
+
+
+def _blocked(outside: DataFrame, members: DataFrame, most: int) -> DataFrame:
+    """Blocks of a family's outside against blocks of all its members, each row with its side."""
+    counts = members.groupBy("family").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
+    outer = outside.groupBy("family").agg(F.ceil(F.count("*") / most).cast("int").alias("outers"))
+    counts = staged(counts.join(outer, "family"))
+    hashed = F.xxhash64("node")
+    columns = ["family", "outer", "block", "is_outside", "node", "label"]
+    one = outside.join(counts, "family").withColumns(
+        {
+            "outer": F.pmod(hashed, F.col("outers")).cast("int"),
+            "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)),
+            "is_outside": F.lit(True),
+        }
+    )
+    two = members.join(counts, "family").withColumns(
+        {
+            "outer": F.explode(F.sequence(F.lit(0), F.col("outers") - 1)),
+            "block": F.pmod(hashed, F.col("blocks")).cast("int"),
+            "is_outside": F.lit(False),
+        }
+    )
+    return staged(one.select(*columns).union(two.select(*columns)))
 
 
-def _bucket_links(members: DataFrame, found: DataFrame, width: int, percent: int, count: int) -> DataFrame:
-    """Links that connect what is connected among the classes of every bucket."""
-    sketches, texts = found.select("row", "n", "marks"), found.select("row", "text")
-    links = tested = None
-    leaders = 1
-    while True:
-        first = Window.partitionBy("bucket").orderBy("node")
-        leading = members.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= leaders)
-        leading = staged(leading.select("bucket", F.col("node").alias("leader")))
-        met = staged(members.join(leading, "bucket").filter("leader < node"))
-        pairs = met.select("leader", "node").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["leader", "node"], "left_anti")
-        pairs = staged(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        new = staged(_confirmed(_alike(pairs, sketches, percent, count), texts, width, percent))
-        links = new if links is None else links.union(new)
-        # Who links with a leader is spoken for; a leader has met all the others.
-        known = links.select(F.col("a").alias("leader"), F.col("b").alias("node"))
-        done = met.join(known, ["leader", "node"]).select("bucket", "node")
-        done = done.union(leading.select("bucket", "leader")).distinct()
-        rest = staged(members.join(done, ["bucket", "node"], "left_anti"))
-        several = rest.groupBy("bucket").agg(F.count("*").alias("many")).filter("many > 1").select("bucket")
-        members = staged(rest.join(several, "bucket"))
-        if members.isEmpty():
-            return links
-        leaders = min(leaders * LEADER_GROWTH, MOST_LEADERS)
+def _may_link(placed: DataFrame, sketches: DataFrame, percent: int, count: int) -> DataFrame:
+    """``family, node, label, is_outside`` of those with a partner by size and signature."""
+    least = _least_matches(percent, count)
+
+    def run(rows: pa.Table) -> pa.Table:
+        outside = rows.column("is_outside").to_numpy()
+        marks = _mark_matrix(rows.column("marks"), count)
+        label, n = rows.column("label").to_numpy(), rows.column("n").to_numpy()
+        others = np.flatnonzero(~outside)
+        found = np.zeros(len(rows), bool)
+        for at in np.flatnonzero(outside):
+            fits = (label[others] != label[at]) & (
+                np.minimum(n[others], n[at]) * 100 >= np.maximum(n[others], n[at]) * percent
+            )
+            fitting = others[fits]
+            near = fitting[(marks[fitting] == marks[at]).sum(axis=1) >= least]
+            found[near] = True
+            found[at] = len(near) > 0
+        return rows.select(["family", "node", "label", "is_outside"]).filter(pa.array(found))
+
+    rows = placed.join(sketches, "node").groupBy("family", "outer", "block")
+    return rows.applyInArrow(run, "family bigint, node bigint, label bigint, is_outside boolean")
+
+
+def _rest_links(placed: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links of outside members: one for each other component among the members they link with."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        outside, label = rows.column("is_outside").to_numpy(), rows.column("label").to_numpy()
+        node, sets = rows.column("node").to_numpy(), _sets(rows, width)
+        a, b = [], []
+        if outside.any() and not outside.all():
+            sizes = np.array([len(s) for s in sets])
+            common = overlaps(sets)[outside][:, ~outside]
+            union = sizes[outside][:, None] + sizes[~outside][None, :] - common
+            linked = (100 * common >= percent * union) & (label[outside][:, None] != label[~outside][None, :])
+            for at in np.flatnonzero(linked.any(axis=1)):
+                to = np.flatnonzero(linked[at])
+                _, first = np.unique(label[~outside][to], return_index=True)
+                b += node[~outside][to[first]].tolist()
+                a += [int(node[outside][at])] * len(first)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return _with_texts(placed, texts).groupBy("family", "outer", "block").applyInArrow(run, "a bigint, b bigint")
+
+
+def _bucket_links(
+    members: DataFrame, sketches: DataFrame, texts: DataFrame, width: int, percent: int, count: int
+) -> DataFrame:
+    """Links that connect what is connected among the classes of every bucket (``bucket, node, leader``)."""
+    sketches = staged(_only(sketches, "row", staged(members.select("node").distinct())))
+    pairs = staged(members.filter("leader != node").select("leader", "node").distinct())
+    pairs = staged(_alike(pairs, sketches, percent, count))
+    links = staged(_confirmed(pairs, texts, width, percent))
+    roots = star_components(links).withColumnRenamed("root", "label")
+
+    # The family of a class is the leader it meets most often; buckets go with the family of their leader.
+    met = members.groupBy("node", "leader").agg(F.count("*").alias("times"))
+    family = met.groupBy("node").agg(F.max_by("leader", F.struct("times", -F.col("leader"))).alias("family"))
+    family = family.withColumnRenamed("node", "leader")
+    present = members.select("leader", "node").distinct().join(family, "leader").select("family", "node").distinct()
+    present = present.join(roots, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    present = staged(present)
+    main = present.groupBy("family", "label").agg(F.count("*").alias("many"))
+    main = main.groupBy("family").agg(
+        F.max_by("label", F.struct("many", "label")).alias("main"), F.count("*").alias("labels")
+    )
+    several = staged(present.join(main.filter("labels > 1"), "family"))
+    outside, everyone = several.filter("label != main").drop("main", "labels"), several.drop("main", "labels")
+    active = staged(_may_link(_blocked(outside, everyone, BLOCK_MARKS), sketches, percent, count))
+    if active.isEmpty():
+        return links
+    outside = staged(active.filter("is_outside").drop("is_outside").distinct())
+    everyone = staged(active.filter("NOT is_outside").drop("is_outside").distinct())
+    return links.union(staged(_rest_links(_blocked(outside, everyone, BLOCK_SETS), texts, width, percent)))
 
 
 def star_components(links: DataFrame) -> DataFrame:
@@ -248,30 +337,39 @@ def near_duplicates(
     fewer words has one shingle, all its words. ``component_id`` is the least id reachable by links.
     Null and blank texts have no shingle and link with nothing: each is kept, and its own component, also
     when its id repeats. Rows of one id are rows of their own; all that carry their component's id are kept.
-    Rows without an id link like others and are not kept beside an id; in a component without any id the
-    first row is kept, and the component id is null. ``n_copies`` counts the documents of the same set (1 for
+    Rows without an id link like others and are not kept beside an id; in a component without any id
+    one row is kept, and the component id is null. ``n_copies`` counts the documents of the same set (1 for
     an empty set). Other columns are ignored; an empty table gives no row.
     """
-    docs = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(text).alias("text")
+    docs = staged(
+        docs.select(
+            F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(text).alias("text")
+        )
     )
     found = staged(_read_texts(docs, width, bands, rows, seed))
     filled = found.filter("set IS NOT NULL")
     classes = staged(
         filled.groupBy("set").agg(
-            F.min("row").alias("node"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies")
+            F.min(F.when(F.col("keys").isNotNull(), F.col("row"))).alias("node"),
+            F.min("doc_id").alias("least_id"),
+            F.count("*").alias("copies"),
         )
     )
-    # Classes in the buckets that hold several of them.
-    keys = staged(filled.select("row", "keys").join(classes.select("node"), F.col("row") == F.col("node"), "left_semi"))
-    placed = keys.select(F.explode("keys").alias("bucket"), F.col("row").alias("node"))
-    several = placed.groupBy("bucket").agg(F.count("*").alias("many")).filter("many > 1").select("bucket")
-    members = staged(placed.join(several, "bucket"))
+    # Rows in the buckets that hold several sets; then one row of each set.
+    code = F.xxhash64("set").alias("code")
+    placed = filled.filter("keys IS NOT NULL").select(F.explode("keys").alias("bucket"), code, "row")
+    several = placed.groupBy("bucket").agg(F.min("code").alias("low"), F.max("code").alias("high"))
+    members = placed.join(several.filter("low != high"), "bucket").select("bucket", F.col("row").alias("node"))
+    members = staged(members.join(classes, "node", "left_semi"))
     if members.isEmpty():
         named = classes.withColumn("root", F.col("node"))
     else:
-        roots = star_components(_bucket_links(members, found, width, percent, bands * rows))
-        named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"))
+        members = staged(members.join(leaders, "bucket"))
+        sketches = filled.filter("keys IS NOT NULL").select("row", "n", "marks")
+        links = _bucket_links(members, sketches, docs.select("row", "text"), width, percent, bands * rows)
+        named = classes.join(star_components(links), "node", "left")
+        named = named.withColumn("root", F.coalesce("root", "node"))
     named = staged(named)
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = staged(named.join(least, "root").select("set", "root", "component_id", "copies"))

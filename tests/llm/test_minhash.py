@@ -70,15 +70,34 @@ def test_equals_brute_force(spark, seed):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_more_leaders_than_one(spark, monkeypatch):
-    # No growth: each round has one leader, and rounds go on until all pairs of a bucket are compared.
-    monkeypatch.setattr(minhash, "MOST_LEADERS", 2)
+def test_small_blocks(spark, monkeypatch):
+    # Many blocks a family, and few bands, so that links hang on single buckets.
+    monkeypatch.setattr(minhash, "BLOCK_MARKS", 7)
     monkeypatch.setattr(minhash, "BLOCK_SETS", 3)
-    docs = corpus(5, n=14, families=1, members=10)
+    docs = corpus(5, n=30, families=2, members=30)
     got = rows(spark, docs)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(docs)
 
 
+def test_links_beside_the_leader(spark):
+    # One bucket: a leads, b links with a, c links with b alone, d with nobody.
+    words = [f"w{i}" for i in range(200)]
+    texts = [words, words[:9] + ["x"] + words[10:], words[:9] + ["x"] + words[10:], ["y"] * 4 + words[60:]]
+    texts[1][190:] = [f"z{i}" for i in range(5)]
+    texts[2][170:] = [f"z{i}" for i in range(10)]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(docs, "row long, text string")
+    found = minhash._read_texts(table.withColumn("doc_id", table["row"]), 4, 40, 5, 1)
+    members = spark.createDataFrame([(9, i, 0) for i in range(4)], "bucket long, node long, leader long")
+    links = minhash._bucket_links(members, found.select("row", "n", "marks"), table, 4, 80, 200)
+    sets = [shingle_set(t) for _, t in docs]
+    near = {
+        (i, j) for i in range(4) for j in range(4) if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    }
+    assert (0, 1) in near and (1, 2) in near and (0, 2) not in near and (0, 3) not in near
+    assert {tuple(sorted(r)) for r in links.collect()} == near
+
+
 def test_nulls_repeats_and_copies(spark):
     text = " ".join(f"x{i}" for i in range(40))
     near = text + " tail"
