@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -134,7 +135,7 @@ def append_articles(
         faulty.write.mode("append").parquet(rejected)
     if not appended:
         return 0
-    last = stored.agg(F.coalesce(F.max("article_id"), F.lit(0)).alias("last")).first().last
+    last = _last_id(stored, path)
     valid = new.filter(F.col("reject_reason").isNull())
     numbered = number_rows(valid.drop("reject_reason"), ["_order", "published", "title", "link"])
     chosen = batch.join(numbered.select("_row", "position"), "_row")
@@ -145,11 +146,90 @@ def append_articles(
         *REQUIRED_FIELDS,
         _day_of(F.col("published")).alias(DAY),
     )
+    # Ids are taken before they are used: after a failure some stay unused, none is given twice.
+    taken = batch.sparkSession.createDataFrame([(last + appended,)], "article_id bigint")
+    taken.coalesce(1).write.mode("append").parquet(_ids_path(path))
     # Few files per day, and several for a day that holds much of the batch.
     rows.hint("rebalance", DAY).write.mode("append").partitionBy(DAY).parquet(path)
     return appended
 
 
+def _ids_path(path: str) -> str:
+    return f"{path.rstrip('/')}-ids"
+
+
+def _last_id(stored: DataFrame, path: str) -> int:
+    """Greatest id given so far; only a store without the small table beside it is read for it."""
+    try:
+        ids = stored.sparkSession.read.schema("article_id bigint").parquet(_ids_path(path))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        ids = stored
+    return ids.agg(F.coalesce(F.max("article_id"), F.lit(0)).alias("last")).first().last
+
+
+@dataclass(frozen=True)
+class Change:
+    """What a change did: the old rows of updated and deleted articles, and the new rows of updated ones."""
+
+    removed: DataFrame
+    added: DataFrame
+    days: tuple[str, ...]
+
+
+def change_articles(
+    spark: SparkSession,
+    path: str,
+    *,
+    updates: DataFrame | None = None,
+    deletes: DataFrame | None = None,
+    at: dt.datetime | None = None,
+) -> Change:
+    """Update and delete stored articles by id, rewriting only the days that hold them.
+
+    ``updates`` has ``article_id`` and the fields that change, any of those an article must have; other
+    fields and the creation time stay, the update time is new. ``deletes`` has ``article_id``. Ids that are not
+    stored, or null, change nothing; an id in both is deleted. An id that is updated twice, or a new state
+    that is not valid, is an error before anything is written. An article whose publication moves goes to its new
+    day. The result serves ``segments.change_index``.
+    """
+    stored = read_store(spark, path)
+    nothing = spark.createDataFrame([], "article_id bigint")
+    updates = staged(nothing if updates is None else updates.filter("article_id IS NOT NULL"))
+    deletes = staged((nothing if deletes is None else deletes).select("article_id").distinct())
+    twice = updates.groupBy("article_id").agg(F.count("*").alias("many")).filter("many > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"updated more than once: {sorted(row[0] for row in twice)}")
+    ids = staged(updates.select("article_id").union(deletes).distinct())
+    # Days come from the ids alone; whole rows are read of these days.
+    days = {row[0] for row in stored.select("article_id", DAY).join(ids, "article_id").select(DAY).distinct().collect()}
+    if not days:
+        return Change(stored.limit(0), stored.limit(0), ())
+    removed = staged(stored.filter(F.col(DAY).isin(*days)).join(ids, "article_id"))
+    changed = [field for field in REQUIRED_FIELDS if field in updates.columns]
+    new = updates.select(F.col("article_id"), *[F.col(field).alias(f"_new_{field}") for field in changed])
+    added = removed.join(new, "article_id").join(deletes, "article_id", "left_anti")
+    added = added.withColumns({field: F.col(f"_new_{field}") for field in changed})
+    added = stamp_changed(added, at).withColumn(DAY, _day_of(F.col("published"))).select(*stored.columns)
+    added = staged(added)
+    faults = validated(added).filter("reject_reason IS NOT NULL").groupBy("reject_reason").count().collect()
+    if faults:
+        raise ValueError(f"invalid articles: {({row.reject_reason: row['count'] for row in faults})}")
+    days |= {row[0] for row in added.select(DAY).distinct().collect()}
+    touched = stored.filter(F.col(DAY).isin(*days))
+    rows = staged(touched.join(ids, "article_id", "left_anti").select(*stored.columns).union(added))
+    emptied = sorted(days - {row[0] for row in rows.select(DAY).distinct().collect()})
+    odd = [day for day in emptied if not re.fullmatch(r"[\w.-]+", day)]
+    if odd:
+        raise ValueError(f"no days of publication: {odd}")
+    writer = rows.hint("rebalance", DAY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(DAY).parquet(path)
+    for day in emptied:
+        rows.limit(0).drop(DAY).coalesce(1).write.mode("overwrite").parquet(f"{path}/{DAY}={day}")
+    return Change(removed, added, tuple(sorted(days)))
+
+
 def newest_first(articles: DataFrame, limit: int | None = None) -> DataFrame:
     """All articles, newest first; equal dates by id."""
     ordered = articles.orderBy(F.desc("published"), F.asc("article_id"))

@@ -21,7 +21,7 @@ from newsloom.functions.text import (
     shorten,
     whole_percent,
 )
-from newsloom.operators import digest, metrics, recency, search, selection, similarity, store
+from newsloom.operators import digest, metrics, recency, search, segments, selection, similarity, store
 from newsloom.operators.index import (
     WHOLE,
     build_index,
@@ -629,6 +629,63 @@ def index_refresh(spark, folder):
     )
 
 
+def _indexed(spark, folder):
+    """Articles and a new index of most of them, in segments."""
+    articles = tables.articles(spark, folder)
+    index = segments.create_index(articles.filter("article_id % 5 != 4"), shared_path(spark, "index"))
+    return articles.select("article_id", "title", "summary"), index
+
+
+def _changed_index(spark, folder):
+    """The index after articles were inserted, updated and deleted, and then some deleted again."""
+    articles, index = _indexed(spark, folder)
+    first = articles.filter("article_id % 5 != 4")
+    updated = first.filter("article_id % 10 = 1").withColumn("summary", F.concat("summary", F.lit(" Avec en la mente")))
+    inserted = articles.filter("article_id % 5 = 4")
+    index = segments.change_index(index, first.filter("article_id % 10 <= 1"), updated.union(inserted))
+    gone = updated.filter("article_id % 30 = 1").union(first.filter("article_id % 10 = 3"))
+    return segments.change_index(index, gone, gone.limit(0))
+
+
+@_query
+def index_changed(spark, folder):
+    """Changes, a merge of their segments, then words, a phrase of very common ones, a prefix and an exclusion."""
+    index = segments.merge_index(_changed_index(spark, folder), first=1)
+    searched = search.query("avec", any_of=["en la", search.unit("ment", prefix=True)], exclude=["licence"])
+    return segments.all_hits(index, searched).select("article_id", F.round("bm25", 10).alias("bm25"))
+
+
+@_query
+def index_dictionary(spark, folder):
+    return segments.dictionary(_changed_index(spark, folder), "men")
+
+
+@_query
+def search_best(spark, folder):
+    """The best hits by bounds of ranges."""
+    articles = tables.articles(spark, folder)
+    index = segments.create_index(articles, shared_path(spark, "index"))
+    found = segments.search_segments(articles, index, search.query(any_of=["avec", "license"]), mark=None)
+    return found.select("article_id", "title", "score")
+
+
+@_query
+def changed_store(spark, folder):
+    """Stored articles of which some were updated, moved to another day or deleted."""
+    path = shared_path(spark, "articles")
+    store.append_articles(tables.articles(spark, folder), path, at=dt.datetime(2024, 5, 1, 8))
+    key = F.col("article_id")
+    moved = F.when(key % 20 == 1, F.lit("2030-01-02T03:04:05")).otherwise(F.col("published"))
+    updates = store.read_store(spark, path).filter(key % 10 == 1).select(
+        "article_id", F.concat(F.lit("Corrigé : "), "title").alias("title"), moved.alias("published")
+    )
+    deletes = store.read_store(spark, path).filter((key % 10 == 0) | (F.col(store.DAY) == "2024-01-02"))
+    store.change_articles(spark, path, updates=updates, deletes=deletes, at=dt.datetime(2024, 5, 2, 9))
+    return store.read_store(spark, path).select(
+        "article_id", "title", "published", store.DAY, (F.col("dt_updated") > F.col("dt_created")).alias("is_changed")
+    )
+
+
 # --- texts ------------------------------------------------------------------------------------
 
 

@@ -33,6 +33,17 @@ best AS (
   SELECT article_id, max(similarity) AS similarity FROM pairs GROUP BY article_id)"""
 
 
+# The articles after the changes of the index queries.
+_CHANGED = (
+    ARTICLES.replace("articles AS (", "before AS (", 1)
+    + """,
+articles AS (
+  SELECT article_id, title, summary || CASE WHEN article_id % 10 = 1 THEN ' Avec en la mente' ELSE '' END AS summary
+  FROM before
+  WHERE article_id % 5 = 4 OR (article_id % 10 NOT IN (0, 3) AND article_id % 30 <> 1))"""
+)
+
+
 def _kept(threshold: str) -> str:
     return f"""kept AS (
   SELECT a.*, b.similarity, printf('%.1f', b.similarity * 100) AS score
@@ -117,6 +128,7 @@ def _search(
     exclude: list[str] = [],
     column: str | None = None,
     words: str = _WORDS,
+    articles: str = ARTICLES,
 ) -> str:
     """Common table expressions up to ``hits(article_id, bm25)``."""
     scored = len(must) + len(any_of)
@@ -126,7 +138,7 @@ def _search(
         conditions.append(f"count(*) FILTER (WHERE u >= {len(must)} AND u < {scored}) > 0")
     if exclude:
         conditions.append(f"count(*) FILTER (WHERE u >= {scored}) = 0")
-    return f"""{ARTICLES},
+    return f"""{articles},
 {words},
 {_POSTINGS},
 occ AS ({" UNION ALL ".join(units)}),
@@ -451,6 +463,23 @@ def oracle_sql() -> dict[str, str]:
                    CAST(doc_len + CASE WHEN article_id % 10 = 1 THEN 2 ELSE 0 END AS INTEGER) AS doc_len,
                    CAST(doc_len + CASE WHEN article_id % 10 = 1 THEN 2 ELSE 0 END AS BIGINT) AS tokens
             FROM lens WHERE article_id % 10 <> 0""",
+        "index_changed": _all_hits(must=["avec"], any_of=["en la", "ment*"], exclude=["licence"], articles=_CHANGED),
+        "index_dictionary": f"""WITH {_CHANGED}, {_WORDS}, {_POSTINGS}
+            SELECT term, count(DISTINCT article_id) AS articles,
+                   count(DISTINCT article_id) FILTER (WHERE col = 'title') AS title_articles,
+                   count(DISTINCT article_id) FILTER (WHERE col = 'content') AS content_articles,
+                   count(*) AS occurrences
+            FROM post WHERE starts_with(term, 'men') GROUP BY term""",
+        "search_best": f"""WITH {_search(any_of=["avec", "license"])}
+            SELECT article_id, title, round(100.0 * bm25 / (SELECT max(bm25) FROM hits), 2) AS score
+            FROM hits JOIN articles USING (article_id) ORDER BY bm25 DESC, article_id LIMIT 10""",
+        "changed_store": f"""WITH {ARTICLES}, stored AS (
+              SELECT row_number() OVER (ORDER BY seq, published, title, link) AS article_id, title, published FROM articles)
+            SELECT article_id, CASE WHEN article_id % 10 = 1 THEN 'Corrigé : ' ELSE '' END || title AS title,
+                   CASE WHEN article_id % 20 = 1 THEN '2030-01-02T03:04:05' ELSE published END AS published,
+                   CASE WHEN article_id % 20 = 1 THEN '2030-01-02' ELSE substr(published, 1, 10) END AS published_day,
+                   article_id % 10 = 1 AS is_changed
+            FROM stored WHERE article_id % 10 <> 0 AND substr(published, 1, 10) <> '2024-01-02'""",
         "page_text": f"SELECT page_id, {_page_text('html')} AS text FROM pages",
         "prompt_column": f"""WITH {ARTICLES}
             SELECT article_id, {_lit(before)} || title || {_lit(between)} || summary || {_lit(after)} AS prompt
