@@ -13,6 +13,10 @@ BLOCK_ROWS = 1_000_000
 
 _PARTITION_BITS = 33
 
+# Bound up to which Spark itself cuts a row number in each task, and the parts of a group beyond it.
+_CUT_BY_SPARK = 1000
+_GROUP_PARTS = 64
+
 
 def number_rows(frame: DataFrame, order: Sequence[Column | str], out: str = "position") -> DataFrame:
     """Rows numbered from 1 in a total order, without a single-task window.
@@ -34,6 +38,23 @@ def number_rows(frame: DataFrame, order: Sequence[Column | str], out: str = "pos
     return numbered.withColumn(out, F.col("_start") + place + 1).drop("_tag", "_part", "_start")
 
 
+def first_per_group(
+    frame: DataFrame, groups: Sequence[str], order: Sequence[Column | str], limit: int, out: str = "place"
+) -> DataFrame:
+    """The first ``limit`` rows of each group with their place, without gathering a group in one task.
+
+    Up to a literal 1,000 each task drops all but its own first rows before the shuffle. Beyond, a group is
+    cut into parts by a hash, each part keeps its first rows, and only those meet.
+    """
+    if limit > _CUT_BY_SPARK:
+        part = F.pmod(F.xxhash64(*frame.columns), F.lit(_GROUP_PARTS))
+        inside = Window.partitionBy(*groups, "_part").orderBy(*order)
+        cut = frame.withColumn("_part", part).withColumn(out, F.row_number().over(inside))
+        frame = cut.filter(F.col(out) <= limit).drop("_part", out)
+    placed = frame.withColumn(out, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
+    return placed.filter(F.col(out) <= limit)
+
+
 def value_ranks(frame: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Distinct values of each group with the ranks they cover, exactly.
 

@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.operators.positions import first_per_group
 from newsloom.schemas import SOURCE_KINDS, source_ordinal
 
 
@@ -39,14 +40,9 @@ def newest_per_source(
     published: str = "published_ts",
     tie: str = "article_id",
 ) -> DataFrame:
-    """The ``limit`` newest articles of each source.
-
-    The literal limit lets each task drop all but its own newest before the shuffle, so a
-    source with most of the rows costs no more than the others.
-    """
-    newest = Window.partitionBy(source).orderBy(F.desc(published), F.asc(tie))
-    ranked = articles.withColumn("_newest", F.row_number().over(newest))
-    return ranked.filter(F.col("_newest") <= limit).drop("_newest")
+    """The ``limit`` newest articles of each source; no task gathers a source, whatever the limit."""
+    order = [F.desc(published), F.asc(tie)]
+    return first_per_group(articles, [source], order, limit, out="_newest").drop("_newest")
 
 
 def union_sources(by_kind: Mapping[str, DataFrame]) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.highlight import highlighted
 from newsloom.functions.tokens import split_words, tokens
+from newsloom.plans.staging import staged
 from newsloom.schemas import DAY
 
 # BM25 saturation and length weight, and the floor of the rarity factor.
@@ -120,12 +121,6 @@ def occurrences(words: Column, searched: Unit) -> Column:
     return F.when(present, F.size(F.filter(words, starts_here))).otherwise(0)
 
 
-def _holds(words: Column, searched: Unit) -> Column:
-    if len(searched.words) == 1 and not searched.prefix:
-        return F.array_contains(words, searched.words[0])
-    return occurrences(words, searched) > 0
-
-
 def _with_words(articles: DataFrame, index_id: bool) -> tuple[DataFrame, dict[str, str]]:
     """Articles with a token array per searched column, and the names of those arrays."""
     fields = {name: f"_words_{name}" for name in TEXT_COLUMNS}
@@ -160,18 +155,12 @@ def scan_hits(articles: DataFrame, searched: Query, *, index_id: bool = False) -
     return split.select("*", F.inline(F.array(F.struct(*columns)))).drop(*fields.values())
 
 
-def scan_statistics(articles: DataFrame, searched: Query, *, index_id: bool = False) -> DataFrame:
-    """Number of articles, their mean length, and the articles that hold each scored unit."""
-    split, fields = _with_words(articles, index_id)
-    holding = [
-        F.count_if(reduce(or_, [_holds(w, u) for w in _searched_in(u, fields)], F.lit(False)))
-        for u in searched.scored
-    ]
-    length = _sum([F.size(array) for array in fields.values()])
-    return split.agg(
+def hit_statistics(hits: DataFrame, searched: Query) -> DataFrame:
+    """Number of articles, their mean length, and the articles that hold each scored unit, of all articles' hits."""
+    return hits.agg(
         F.count("*").alias("docs"),
-        (F.sum(length) / F.count("*")).alias("mean_len"),
-        *[count.alias(f"df_{i}") for i, count in enumerate(holding)],
+        (F.sum("doc_len") / F.count("*")).alias("mean_len"),
+        *[F.count_if(F.col(f"n_{i}") > 0).alias(f"df_{i}") for i in range(len(searched.scored))],
     )
 
 
@@ -210,16 +199,15 @@ def scored_hits(hits: DataFrame, searched: Query, statistics: DataFrame) -> Data
 
 
 def scan_scores(articles: DataFrame, searched: Query, *, index_id: bool = False) -> DataFrame:
-    """Matching articles with ``bm25``, straight from the texts.
+    """Matching articles (id, publication, counts) with ``bm25``, straight from the texts.
 
-    The corpus statistics need every text split into words, so this reads the texts twice; for
-    repeated searches write an index.
+    Every text is split into words once: the short hits of all articles are staged, and statistics, scores
+    and ranks come from them. For repeated searches write an index.
     """
-    return scored_hits(
-        scan_hits(articles, searched, index_id=index_id),
-        searched,
-        scan_statistics(articles, searched, index_id=index_id),
-    )
+    short = [ID_COLUMN, *(c for c in ("published", DAY) if c in articles.columns)]
+    counts = [f"n_{i}" for i in range(len(searched.units))]
+    hits = staged(scan_hits(articles, searched, index_id=index_id).select(*short, "doc_len", *counts))
+    return scored_hits(hits, searched, hit_statistics(hits, searched))
 
 
 def _day(text: str | dt.date | None) -> dt.date | None:
@@ -328,9 +316,14 @@ def search(
     index_id: bool = False,
     mark: tuple[str, str] | None = ("<mark>", "</mark>"),
 ) -> DataFrame:
-    """Ranked search of the texts: match, score, date range, best ``limit``, then highlight."""
+    """Ranked search of the texts: match, score, date range, best ``limit``, then highlight.
+
+    Article ids must be distinct: the texts of the result are found by them.
+    """
     scored = scan_scores(articles, searched, index_id=index_id)
     found = top_ranked(scored, limit, date_min, date_max, inclusive_end=inclusive_end)
+    found = articles.join(found.select(ID_COLUMN, "rank", "bm25"), ID_COLUMN)
+    found = found.orderBy(F.desc("bm25"), F.asc(ID_COLUMN))
     if mark:
         found = mark_hits(found, searched, *mark)
     return shaped(found)

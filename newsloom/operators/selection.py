@@ -9,6 +9,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.operators.positions import first_per_group
 from newsloom.plans.staging import staged
 from newsloom.schemas import SOURCE_KINDS, source_ordinal
 
@@ -79,13 +80,9 @@ def guaranteed(
     first = [F.asc(order)]
     if best_by:
         first.insert(0, F.desc(F.col(best_by).cast("double")))
-    in_kind = Window.partitionBy("source").orderBy(*first)
-    placed = candidates.filter(F.col("source").isin(*SOURCE_KINDS)).withColumn(
-        "place", F.row_number().over(in_kind)
-    )
-    largest = max(balance.quotas.values())
-    quota = F.element_at(quotas.scalar(), F.col("source"))
-    return placed.filter((F.col("place") <= largest) & (F.col("place") <= quota))
+    known = candidates.filter(F.col("source").isin(*SOURCE_KINDS))
+    placed = first_per_group(known, ["source"], first, max(balance.quotas.values()))
+    return placed.filter(F.col("place") <= F.element_at(quotas.scalar(), F.col("source")))
 
 
 def _weighted(score: str) -> Column:

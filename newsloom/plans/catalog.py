@@ -30,6 +30,7 @@ from newsloom.operators.index import (
     term_statistics,
     write_index,
 )
+from newsloom.operators.reports import RunReport
 from newsloom.operators.summaries import prompt, summarise, token_rate
 from newsloom.plans import tables
 from newsloom.plans.review import fetch, recent_of_all, review
@@ -423,13 +424,30 @@ def review_from_landing(spark, folder):
 
 
 @_query
-def landed_posts(spark, folder):
-    """Posts written as JSON lines, some of them cut off, and read back without those."""
+def run_report(spark, folder):
+    """What was read, broken, newest and recent of each kind, counted while the articles are written."""
+    paths = {"rss": _feed_files(tables.feed_rows(spark, folder)), "reddit": shared_path(spark, "reddit")}
+    tables.forum_posts(spark, folder).drop("conv_id", BROKEN).write.json(paths["reddit"])
+    paths["bluesky"] = _posts_with_broken_lines(spark, folder)
+    report = RunReport()
+    as_of = tables.articles(spark, folder).agg(F.max("published_ts")).first()[0]
+    fetch(spark, paths, as_of, max_days=100_000, report=report)
+    return report.table(spark)
+
+
+def _posts_with_broken_lines(spark, folder):
     posts = tables.microblog_posts(spark, folder)
     line = F.to_json(F.struct(*[c for c in posts.columns if c not in ("article_id", BROKEN)]))
     path = shared_path(spark, "posts")
     cut = F.when(F.col("article_id") % 50 == 0, F.substring(line, 1, 20)).otherwise(line)
     posts.select(cut.alias("value")).write.text(path)
+    return path
+
+
+@_query
+def landed_posts(spark, folder):
+    """Posts written as JSON lines, some of them cut off, and read back without those."""
+    path = _posts_with_broken_lines(spark, folder)
     articles = reader_of("bluesky")(spark, path)
     return articles.groupBy("source_name").agg(
         F.count("*").alias("articles"), F.sum(F.length("summary")).alias("summary_chars")

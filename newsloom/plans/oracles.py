@@ -383,6 +383,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT * FROM fetched
             UNION ALL SELECT unnest(['fetched', 'accounted']), CAST(sum(articles) AS BIGINT) FROM fetched
             UNION ALL SELECT unnest(['chosen', 'stored', 'appended']), 15""",
+        "run_report": """WITH posts AS (
+              SELECT CASE WHEN doc_id % 4 <> 0 THEN source ELSE 'unknown' END AS name, count(*) AS n
+              FROM documents WHERE doc_id % 50 <> 0 GROUP BY ALL),
+            talk AS (SELECT count(*) AS n FROM conversations WHERE turn = 0)
+            SELECT unnest(['read', 'broken', 'recent']) AS stage, 'rss' AS source,
+                   unnest([count(*), 0, count(*) FILTER (WHERE page_id % 11 <> 0)]) AS articles FROM pages
+            UNION ALL SELECT unnest(['read', 'broken', 'newest', 'recent']), 'reddit',
+                   unnest([n, 0, least(10, n), least(10, n)]) FROM talk
+            UNION ALL SELECT unnest(['read', 'newest', 'recent']), 'bluesky',
+                   unnest([sum(n), sum(least(10, n)), sum(least(10, n))])::BIGINT FROM posts
+            UNION ALL SELECT 'broken', 'bluesky', count(*) FROM documents WHERE doc_id % 50 = 0""",
         "stamped_articles": """SELECT doc_id AS article_id, '2024-05-01T08:00:00' AS created,
                    CASE WHEN doc_id % 3 = 0 THEN '2024-05-02T09:30:00' ELSE '2024-05-01T08:00:00' END AS updated
             FROM documents""",

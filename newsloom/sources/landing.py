@@ -6,6 +6,8 @@ serve streams. A broken record stays in the frame with its text, see ``readable`
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,8 +153,12 @@ def microblog_articles(posts: DataFrame) -> DataFrame:
     return with_body.withColumn("title", shorten(F.col("summary"), 100))
 
 
-def readable(records: DataFrame) -> DataFrame:
-    return records.filter(F.col(BROKEN).isNull())
+def readable(records: DataFrame, watch: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """Records that could be read; ``watch`` sees how many were and how many are broken."""
+    whole = F.col(BROKEN).isNull()
+    if watch:
+        records = watch(records, read=whole, broken=~whole)
+    return records.filter(whole)
 
 
 def broken_counts(records: DataFrame) -> DataFrame:
@@ -193,8 +199,18 @@ def read_microblog_posts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MICROBLOG_POST).json(path, columnNameOfCorruptRecord=BROKEN)
 
 
-register_reader("rss", lambda spark, path: feed_articles(readable(read_feed_entries(spark, path))))
-register_reader("reddit", lambda spark, path: forum_articles(readable(read_forum_posts(spark, path))))
-register_reader(
-    "bluesky", lambda spark, path: microblog_articles(readable(read_microblog_posts(spark, path)))
-)
+def _feeds(spark: SparkSession, path: str, watch: Callable[..., DataFrame] | None = None) -> DataFrame:
+    return feed_articles(readable(read_feed_entries(spark, path), watch))
+
+
+def _forums(spark: SparkSession, path: str, watch: Callable[..., DataFrame] | None = None) -> DataFrame:
+    return forum_articles(readable(read_forum_posts(spark, path), watch))
+
+
+def _microblogs(spark: SparkSession, path: str, watch: Callable[..., DataFrame] | None = None) -> DataFrame:
+    return microblog_articles(readable(read_microblog_posts(spark, path), watch))
+
+
+register_reader("rss", _feeds)
+register_reader("reddit", _forums)
+register_reader("bluesky", _microblogs)
