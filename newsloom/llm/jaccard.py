@@ -234,7 +234,7 @@ def _linked_to(table: pa.Table, width: int, percent: int) -> pa.Table:
     sets: list[np.ndarray] = []
     held: set[int] = set()
     for name, found in zip(table["class"].to_pylist(), shingle_sets(table["text"], width), strict=True):
-        if name not in held and digest(found) == name:  # a repeated id may bring another text
+        if name not in held:
             held.add(name)
             names.append(name)
             sets.append(found)
@@ -257,6 +257,32 @@ def _linked_to(table: pa.Table, width: int, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _held_texts(docs: DataFrame, sharing: DataFrame, width: int) -> DataFrame:
+    """``class, text``, one row for each of the ``sharing`` classes.
+
+    The texts name their class themselves, so that rows without an id, or many rows of one id, are no more
+    work than others; a task passes on a class once.
+    """
+
+    def run(batches):
+        known: set[int] = set()
+        for batch in batches:
+            rows, names = [], []
+            for row, found in enumerate(shingle_sets(batch.column("text"), width)):
+                if len(found) and (name := digest(found)) not in known:
+                    known.add(name)
+                    rows.append(row)
+                    names.append(name)
+            for at in range(0, len(rows), 256):
+                part = pa.array(rows[at : at + 256])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names[at : at + 256], pa.int64()), batch.column("text").take(part)], ["class", "text"]
+                )
+
+    texts = docs.select("text").mapInArrow(run, "class bigint, text string").join(sharing, "class")
+    return texts.groupBy("class").agg(F.any_value("text").alias("text"))
+
+
 def _group_links(rows: DataFrame, held: DataFrame, group: list[str], width: int, percent: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         return _linked_to(table, width, percent)
@@ -400,11 +426,7 @@ def jaccard_components(
     shared = staged(_shared_lists(_postings(docs, levels, width, percent)))
     lists = staged(_possible(shared, percent))
 
-    # Texts of the classes that share a posted shingle with another one.
-    sharing = lists.select("class").distinct().join(classes, "class").select("class", "least_id")
-    held = staged(
-        docs.join(sharing, docs["doc_id"].eqNullSafe(sharing["least_id"])).select("class", "text")
-    )
+    held = staged(_held_texts(docs, lists.select("class").distinct(), width))
     members = _families(lists)
     sizes = members.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     parts = F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("total") / BLOCK_SHINGLES)).cast("int")

@@ -109,3 +109,17 @@ def test_components_of_chains_and_stars(spark):
     got = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r.node: r.label for r in got} == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
     assert components(spark.createDataFrame([], "a long, b long")).agg(F.count("*")).first()[0] == 0
+
+
+def test_many_rows_without_or_of_one_id(spark):
+    """One text a class is held, however many rows share an id."""
+    docs = corpus(9, 60, 8, 3)
+    for ids in ([None] * len(docs), [7] * len(docs)):
+        rows = [(i, t) for i, (_, t) in zip(ids, docs, strict=True)]
+        table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        classes = jaccard._sketch_and_sets(table, 5).filter("class IS NOT NULL").select("class").distinct()
+        assert jaccard._held_texts(table, classes, 5).count() == classes.count() == len({shingle_set(t) for _, t in docs} - {frozenset()})
+        got = jaccard.jaccard_components(table).collect()
+        assert {r.component_id for r in got if r.n_shingles} == {ids[0]}
+        expected = sorted(len(shingle_set(t)) for _, t in docs)
+        assert sorted(r.n_shingles for r in got) == expected

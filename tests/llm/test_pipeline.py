@@ -25,7 +25,7 @@ def database():
 
 def test_every_operator_and_the_pipeline_are_registered():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in queries.queries()}
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in queries.queries()}
     assert set(queries.queries()) | {"pipeline"} <= names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "toxicity", "near_duplicates", "mixing", "packing"]
 
@@ -110,3 +110,17 @@ def test_stages_take_odd_and_empty_tables(spark):
             assert result.count() >= 0
     kept = corpus_pipeline.distinct(spark, spark.createDataFrame(rows, SCHEMA), str(TABLES))
     assert sorted((str(r.doc_id) for r in kept.collect())) == ["1", "2", "3", "None"]
+
+
+def test_one_row_of_each_group_stays(spark):
+    """By row, not by id: near copies without an id, and a repeated id with another text."""
+    base = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"x{i}" for i in range(60))
+    third = " ".join(f"y{i}" for i in range(60))
+    texts = [(5, base), (None, base + " a"), (None, base + " b"), (None, "c " + base), (7, base + " d")]
+    texts += [(None, other), (None, other + " e"), (None, other), (None, third + " f"), (None, third + " g")]
+    texts += [(5, "z " + third), (-3, "one text of five words or more"), (-3, "one text of five words or more"), (10, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, None, None) for i, t in texts], SCHEMA).repartition(3)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.distinct(spark, docs, str(TABLES)).collect()]
+    assert Counter(i for i, _ in kept) == Counter([5, 5, -3, 10, None])
+    assert (5, base) in kept and (5, "z " + third) in kept
