@@ -6,6 +6,8 @@ read again as the next one's ``docs``. All but the last return the columns of ``
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,17 +30,21 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates the document with the least id.
+    """Of every group of near duplicates one row: the one with the least id, of equal ids by a hash of the text.
 
-    Texts without words are no duplicates. Of rows equal in id and text one stays.
+    Rows without an id come after all others; of a group of such rows one stays. A row of a repeated id stands
+    for its own text. Texts without words are no duplicates. Of rows equal in id and text one stays.
     """
-    groups = jaccard.jaccard_components(docs)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    least = free_name(docs.columns, "least")
-    kept = staged(kept.select(F.col("doc_id").alias(least)).distinct())
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept[least]), "left_semi")
-    place = free_name(docs.columns, "place")
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
+    key, least, place = (free_name(docs.columns, wish) for wish in ("row_key", "least", "place"))
+    # Texts of one order: the id moved above zero, filled to a fixed width, then the text's hash.
+    moved = F.col("doc_id").cast("decimal(20,0)") + F.lit(Decimal(1 << 63))
+    number = F.lpad(moved.cast("decimal(20,0)").cast("string"), 20, "0")
+    code = F.lpad(F.hex(F.xxhash64("text")), 16, "0")
+    keyed = docs.withColumn(key, F.concat(F.coalesce(number, F.lit("~")), F.lit(":"), code))
+    groups = jaccard.jaccard_components(keyed, key=key)
+    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(least)).distinct()
+    rows = keyed.join(staged(kept), F.col(key) == F.col(least), "left_semi")
+    same = Window.partitionBy(key).orderBy("text")
     return rows.withColumn(place, F.row_number().over(same)).filter(F.col(place) == 1).select(*docs.columns)
 
 
