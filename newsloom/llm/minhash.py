@@ -18,10 +18,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm.jaccard import overlaps
@@ -39,6 +40,8 @@ DEVIATIONS = 6
 # Signatures and sets of one side that a task compares.
 BLOCK_MARKS = 1024
 BLOCK_SETS = 128
+# Documents that travel to Python at once.
+BATCH_ROWS = 1000
 # Up to so many row numbers (a few MB) travel to the tables they pick rows from; more are shuffled.
 FEW_NODES = 200_000
 
@@ -72,6 +75,18 @@ def bucket_keys(minima: np.ndarray, bands: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Whole texts go to Python in smaller batches while a table is written."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def _lists(values: np.ndarray) -> pa.Array:
     offsets = np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
@@ -122,7 +137,7 @@ def _read_texts(docs: DataFrame, width: int, bands: int, rows: int, seed: int) -
 
 
 def _only(frame: DataFrame, key: str, nodes: DataFrame) -> DataFrame:
-    """Rows of ``frame`` whose key is among the distinct ``nodes``; few nodes travel to the rows."""
+    """``nodes`` with the rows of ``frame`` they name by ``key``; few nodes travel to the rows."""
     few = nodes.limit(FEW_NODES + 1).count() <= FEW_NODES
     return frame.join(F.broadcast(nodes) if few else nodes, frame[key] == nodes["node"]).drop(key)
 
@@ -158,10 +173,6 @@ def _alike(pairs: DataFrame, sketches: DataFrame, percent: int, count: int) -> D
     )
 
 
-def _with_texts(placed: DataFrame, texts: DataFrame) -> DataFrame:
-    return placed.join(_only(texts, "row", staged(placed.select("node").distinct())), "node")
-
-
 def _sets(rows: pa.Table, width: int) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for chunk in rows.column("text").chunks:
@@ -191,7 +202,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     leading = sizes.select("leader", every.alias("block"), F.col("leader").alias("node"))
     placed = staged(members.union(leading))
-    return _with_texts(placed, texts).groupBy("leader", "block").applyInArrow(run, "a bigint, b bigint")
+    return _only(texts, "row", placed).groupBy("leader", "block").applyInArrow(run, "a bigint, b bigint")
 
 
 def _blocked(outside: DataFrame, members: DataFrame, most: int) -> DataFrame:
@@ -261,7 +272,7 @@ def _rest_links(placed: DataFrame, texts: DataFrame, width: int, percent: int) -
                 a += [int(node[outside][at])] * len(first)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return _with_texts(placed, texts).groupBy("family", "outer", "block").applyInArrow(run, "a bigint, b bigint")
+    return _only(texts, "row", placed).groupBy("family", "outer", "block").applyInArrow(run, "a bigint, b bigint")
 
 
 def _bucket_links(
@@ -346,7 +357,8 @@ def near_duplicates(
             F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(text).alias("text")
         )
     )
-    found = staged(_read_texts(docs, width, bands, rows, seed))
+    with _small_batches(docs.sparkSession):
+        found = staged(_read_texts(docs, width, bands, rows, seed))
     filled = found.filter("set IS NOT NULL")
     classes = staged(
         filled.groupBy("set").agg(
@@ -360,7 +372,8 @@ def near_duplicates(
     placed = filled.filter("keys IS NOT NULL").select(F.explode("keys").alias("bucket"), code, "row")
     several = placed.groupBy("bucket").agg(F.min("code").alias("low"), F.max("code").alias("high"))
     members = placed.join(several.filter("low != high"), "bucket").select("bucket", F.col("row").alias("node"))
-    members = staged(members.join(classes, "node", "left_semi"))
+    # An inner join: a semi join would be moved below the explode and send the keys.
+    members = staged(members.join(classes.select("node"), "node"))
     if members.isEmpty():
         named = classes.withColumn("root", F.col("node"))
     else:
