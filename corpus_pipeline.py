@@ -16,15 +16,24 @@ from newsloom.llm.queries import fold, table, tokenizer_file
 from newsloom.llm.texts import free_name
 from newsloom.plans.staging import staged
 
+# Whole texts travel to Python: so many rows at once bound what a worker and its executor hold.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
 
 def recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; null texts and texts without a letter go."""
+    _small_batches(spark)
     found = language.fit(docs.filter(fold(4) != 2))
     return language.keep_identified(docs, found)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not toxic, by a model of the labelled ones among them."""
+    _small_batches(spark)
     labels = table(spark, sf_dir, "labels").filter(fold(5) != 0)
     return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
 
@@ -35,6 +44,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without an id come after all others; of a group of such rows one stays. A row of a repeated id stands
     for its own text. Texts without words are no duplicates. Of rows equal in id and text one stays.
     """
+    _small_batches(spark)
     key, least, place = (free_name(docs.columns, wish) for wish in ("row_key", "least", "place"))
     # Texts of one order: the id moved above zero, filled to a fixed width, then the text's hash.
     moved = F.col("doc_id").cast("decimal(20,0)") + F.lit(Decimal(1 << 63))
@@ -50,11 +60,13 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
+    _small_batches(spark)
     return mixing.mixture(docs, mixing.mix(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in token windows."""
+    _small_batches(spark)
     return packing.pack(docs, tokenizer_file())
 
 
