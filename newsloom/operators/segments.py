@@ -4,7 +4,7 @@ The index is a list of segments. The first one holds all articles; every change
 postings of the new state and the ids it removes from the segments before. Old segments are never
 written again; ``merge_index`` makes one of several. A segment has four tables:
 
-``postings``  a row per term and range of article ids: the articles' ids, lengths, counts and the positions of
+``postings``  rows of a term and a range of article ids: the articles' ids, lengths, counts and the positions of
               the term in title and content, with the greatest count and least length among them. Rows are
               sorted by term and falling impact, so a term's best rows are read alone.
 ``terms``     the dictionary: articles and occurrences of each term, with its first two and three letters. A
@@ -21,10 +21,13 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial, reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +47,12 @@ from newsloom.operators.search import (
     shaped,
     top_ranked,
 )
-from newsloom.plans.staging import staged
+from newsloom.plans.staging import small_batches, staged
 
 # Ids in a range: a posting row holds at most so many articles.
 RANGE = 256
+# Articles whose words a task groups at once.
+BATCH_ROWS = 1024
 # Ranges that are scored before the others are judged.
 PROBED = 64
 # Up to so many range numbers travel to the postings; more are joined by a shuffle.
@@ -56,6 +61,13 @@ FEW_RANGES = 100_000
 _FIELDS = tuple(TEXT_COLUMNS)
 _COUNTS = ["articles", *(f"{field}_articles" for field in _FIELDS), "occurrences"]
 _ENTRY = ["ids", "lens", *_FIELDS]
+_ROW_TYPES = (
+    {"term": "string", "range": "bigint"}
+    | {name: "bigint" for name in _COUNTS}
+    | {"max_count": "int", "min_len": "int", "ids": "array<bigint>", "lens": "array<int>"}
+    | {field: "array<array<int>>" for field in _FIELDS}
+    | {f"{field}_counts": "array<int>" for field in _FIELDS}
+)
 
 
 @dataclass(frozen=True)
@@ -116,28 +128,90 @@ def _blocks(entries: DataFrame) -> DataFrame:
     )
     arrays = [F.col("entry")[name].alias(name) for name in _ENTRY]
     counts = [F.transform(f"entry.{field}", lambda places: F.size(places)).alias(f"{field}_counts") for field in _FIELDS]
-    return rows.select("term", "range", *_COUNTS, "max_count", "min_len", *arrays, *counts)
+    rows = rows.select("term", "range", *_COUNTS, "max_count", "min_len", *arrays, *counts)
+    return rows.select(*[F.col(name).cast(kind).alias(name) for name, kind in _ROW_TYPES.items()])
 
 
-def _postings(articles: DataFrame) -> DataFrame:
-    """Posting rows of articles, from one shuffle of their tokens."""
-    split, fields = _with_words(articles.select(ID_COLUMN, *TEXT_COLUMNS.values()), False)
-    length = reduce(lambda a, b: a + b, [F.size(array) for array in fields.values()])
-    per_field = [F.struct(F.lit(name).alias("col"), F.col(array).alias("words")) for name, array in fields.items()]
-    by_field = split.select(ID_COLUMN, length.alias("doc_len"), F.inline(F.array(*per_field)))
-    tokens = by_field.select(F.posexplode("words").alias("pos", "term"), ID_COLUMN, "col", "doc_len")
-    dealt = tokens.withColumn("range", F.floor(F.col(ID_COLUMN) / RANGE)).repartition("term", "range")
-    entries = dealt.groupBy("term", "range", ID_COLUMN, "doc_len").agg(
-        *[F.array_sort(F.collect_list(F.when(F.col("col") == field, F.col("pos")))).alias(field) for field in _FIELDS]
-    )
-    return _blocks(entries)
+def _rows_of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Posting rows of some articles; the empty term holds all of them with their lengths.
+
+    Words are sorted by term, range, article, field and place as numbers, and cut where one of these changes.
+    """
+    ids = batch.column(ID_COLUMN).to_numpy()
+    words = [batch.column(f"_words_{field}") for field in _FIELDS]
+    sizes = [column.value_lengths().to_numpy().astype(np.int64) for column in words]
+    length = np.sum(sizes, axis=0).astype(np.int32)
+    rank = np.argsort(ids, kind="stable")
+    place_of = np.empty_like(rank)
+    place_of[rank] = np.arange(len(ids))
+    # The empty term stands once in every article, before the words of its fields.
+    coded = pa.concat_arrays([pa.array([""] * len(ids), pa.string()), *(column.flatten() for column in words)]).dictionary_encode()
+    code, every = coded.indices.to_numpy().astype(np.int64), np.arange(len(ids))
+    row = np.concatenate([every, *(np.repeat(every, size) for size in sizes)])
+    field = np.repeat(np.arange(-1, len(_FIELDS)), [len(ids), *(int(size.sum()) for size in sizes)])
+    places = [np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) for size in sizes]
+    place = np.concatenate([np.zeros(len(ids), np.int64), *places]).astype(np.int32)
+    order = np.argsort(code * len(ids) + place_of[row], kind="stable")
+    code, row, field, place = code[order], row[order], field[order], place[order]
+    entry = np.flatnonzero(np.diff(code * len(ids) + row, prepend=-1))
+    entry_code, entry_row = code[entry], row[entry]
+    entry_range = ids[entry_row] // RANGE
+    fresh = np.ones(len(entry), bool)
+    fresh[1:] = (np.diff(entry_code) != 0) | (np.diff(entry_range) != 0)
+    block = np.flatnonzero(fresh)
+    ends = pa.array(np.append(block, len(entry)).astype(np.int32))
+
+    def lists(values: pa.Array | np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(ends, pa.array(values) if isinstance(values, np.ndarray) else values)
+
+    counts, columns = [], {}
+    for number, name in enumerate(_FIELDS):
+        inside = field == number
+        counts.append(np.add.reduceat(inside, entry, dtype=np.int32))
+        cuts = pa.array(np.concatenate([[0], np.cumsum(counts[-1])]).astype(np.int32))
+        columns[name] = lists(pa.ListArray.from_arrays(cuts, pa.array(place[inside])))
+        columns[f"{name}_counts"] = lists(counts[-1])
+        columns[f"{name}_articles"] = pa.array(np.add.reduceat(counts[-1] > 0, block, dtype=np.int64))
+    total = np.sum(counts, axis=0)
+    columns |= {
+        "term": coded.dictionary.take(pa.array(entry_code[block])),
+        "range": pa.array(entry_range[block]),
+        "articles": pa.array(np.diff(np.append(block, len(entry)))),
+        "occurrences": pa.array(np.add.reduceat(total, block, dtype=np.int64)),
+        "max_count": pa.array(np.maximum.reduceat(total, block).astype(np.int32)),
+        "min_len": pa.array(np.minimum.reduceat(length[entry_row], block)),
+        "ids": lists(ids[entry_row]),
+        "lens": lists(length[entry_row]),
+    }
+    return pa.RecordBatch.from_pydict({name: columns[name] for name in _ROW_TYPES})
+
 
+def _grouped(articles: DataFrame) -> DataFrame:
+    """Staged posting rows of articles, grouped in each task as the articles come, without a shuffle of words.
+
+    A range whose articles are in several tasks has several rows of a term. Grouping the words of an article
+    has no column function that is not quadratic in its length.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _rows_of_batch(batch)
 
-def _lengths(articles: DataFrame) -> DataFrame:
     split, fields = _with_words(articles.select(ID_COLUMN, *TEXT_COLUMNS.values()), False)
-    length = reduce(lambda a, b: a + b, [F.size(array) for array in fields.values()])
-    # A generated column is computed once, also where later filters use it.
-    return split.select(ID_COLUMN, F.explode(F.array(length)).alias("doc_len"))
+    split = split.select(F.col(ID_COLUMN).cast("bigint").alias(ID_COLUMN), *fields.values())
+    rows = split.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in _ROW_TYPES.items()))
+    with small_batches(articles.sparkSession, BATCH_ROWS):
+        return staged(rows)
+
+
+def _postings(grouped: DataFrame) -> DataFrame:
+    return grouped.filter(F.col("term") != "")
+
+
+def _lengths(grouped: DataFrame) -> DataFrame:
+    every = grouped.filter(F.col("term") == "").select(F.inline(F.arrays_zip("ids", "lens")))
+    return every.toDF(ID_COLUMN, "doc_len")
 
 
 def _summed(counts: DataFrame) -> DataFrame:
@@ -191,7 +265,8 @@ def create_index(articles: DataFrame, path: str) -> SearchIndex:
     spark = articles.sparkSession
     known = articles.filter(F.col(ID_COLUMN).isNotNull())
     nothing = spark.createDataFrame([], f"{ID_COLUMN} bigint")
-    name = _write_segment(path, _postings(known), None, _lengths(known), None, nothing)
+    grouped = _grouped(known)
+    name = _write_segment(path, _postings(grouped), None, _lengths(grouped), None, nothing)
     return _commit(spark, path, 0, [name])
 
 
@@ -229,8 +304,9 @@ def change_index(index: SearchIndex, removed: DataFrame, added: DataFrame) -> Se
     known = known.select(ID_COLUMN).limit(5).collect()
     if known:
         raise ValueError(f"already in the index: {sorted(row[0] for row in known)}")
-    counts = _postings(removed).select("term", *_COUNTS)
-    name = _write_segment(index.path, _postings(added), counts, _lengths(added), _lengths(removed), removed)
+    old, new = _grouped(removed), _grouped(added)
+    counts = _postings(old).select("term", *_COUNTS)
+    name = _write_segment(index.path, _postings(new), counts, _lengths(new), _lengths(old), removed)
     return _commit(index.spark, index.path, index.version + 1, [*index.segments, name])
 
 
@@ -241,7 +317,8 @@ def merge_index(index: SearchIndex, first: int = 0, last: int | None = None) ->
     run, gone = index.read("postings", part), index.read("removed", part)
     entries = run.select("term", "range", "place", F.inline(F.arrays_zip(*_ENTRY)))
     entries = entries.withColumnsRenamed({"ids": ID_COLUMN, "lens": "doc_len"})
-    postings = _blocks(_live(entries, gone).repartition("term", "range"))
+    # Staged: the order that follows reads its rows twice.
+    postings = staged(_blocks(_live(entries, gone).repartition("term", "range")))
     lengths = _live(index.read("articles", part), gone).drop("place")
     # What the run took off from segments before it is still taken off.
     kept = gone.select(ID_COLUMN).distinct() if first else gone.select(ID_COLUMN).limit(0)
