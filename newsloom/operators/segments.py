@@ -51,6 +51,8 @@ from newsloom.plans.staging import small_batches, staged
 
 # Ids in a range: a posting row holds at most so many articles.
 RANGE = 256
+# Length by which rows of a term are put in order; bounds are computed with the true mean.
+USUAL_WORDS = 400.0
 # Articles whose words a task groups at once.
 BATCH_ROWS = 1024
 # Ranges that are scored before the others are judged.
@@ -128,6 +130,7 @@ def _blocks(entries: DataFrame) -> DataFrame:
     )
     arrays = [F.col("entry")[name].alias(name) for name in _ENTRY]
     counts = [F.transform(f"entry.{field}", lambda places: F.size(places)).alias(f"{field}_counts") for field in _FIELDS]
+    # The empty term of every article goes with them.
     rows = rows.select("term", "range", *_COUNTS, "max_count", "min_len", *arrays, *counts)
     return rows.select(*[F.col(name).cast(kind).alias(name) for name, kind in _ROW_TYPES.items()])
 
@@ -187,7 +190,7 @@ def _rows_of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _grouped(articles: DataFrame) -> DataFrame:
-    """Staged posting rows of articles, grouped in each task as the articles come, without a shuffle of words.
+    """Posting rows of articles, grouped in each task as the articles come, without a shuffle of words.
 
     A range whose articles are in several tasks has several rows of a term. Grouping the words of an article
     has no column function that is not quadratic in its length.
@@ -200,13 +203,11 @@ def _grouped(articles: DataFrame) -> DataFrame:
 
     split, fields = _with_words(articles.select(ID_COLUMN, *TEXT_COLUMNS.values()), False)
     split = split.select(F.col(ID_COLUMN).cast("bigint").alias(ID_COLUMN), *fields.values())
-    rows = split.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in _ROW_TYPES.items()))
-    with small_batches(articles.sparkSession, BATCH_ROWS):
-        return staged(rows)
+    return split.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in _ROW_TYPES.items()))
 
 
-def _postings(grouped: DataFrame) -> DataFrame:
-    return grouped.filter(F.col("term") != "")
+def _words_of(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("term") != "").select("term", *_COUNTS)
 
 
 def _lengths(grouped: DataFrame) -> DataFrame:
@@ -225,37 +226,38 @@ def _negative(counts: DataFrame) -> DataFrame:
     return counts.select("term", *[(-F.col(name)).alias(name) for name in _COUNTS])
 
 
-def _write_segment(
-    path: str, postings: DataFrame, counts: DataFrame | None, lengths: DataFrame, taken: DataFrame | None, removed: DataFrame
-) -> str:
-    """Write a segment; ``counts`` and ``taken`` are terms and lengths that it takes off."""
-    name = uuid.uuid4().hex
+def _write_segment(path: str, rows: DataFrame, off: DataFrame | None, removed: DataFrame) -> str:
+    """Write a segment of posting rows; the words and lengths of the rows ``off`` are taken off.
+
+    Rows are sorted in each task, not across them: a file holds all terms of its articles in order, and a search
+    reads the row groups of its terms in every file.
+    """
+    spark, name = rows.sparkSession, uuid.uuid4().hex
     folder = f"{path}/segments/{name}"
-    order = [F.col(ID_COLUMN)]
-    lengths.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{folder}/articles")
-    lengths = lengths.sparkSession.read.parquet(f"{folder}/articles")
-    corpus = lengths.select(F.lit(1).alias("sign"), "doc_len")
-    if taken is not None:
-        corpus = corpus.union(taken.select(F.lit(-1), "doc_len"))
+    rows = rows.withColumn("impact", _impact(F.col("max_count"), F.col("min_len"), USUAL_WORDS))
+    with small_batches(spark, BATCH_ROWS):
+        rows.sortWithinPartitions("term", F.desc("impact"), "range").write.parquet(f"{folder}/postings")
+    rows = spark.read.parquet(f"{folder}/postings")
+    _lengths(rows).repartitionByRange(ID_COLUMN).sortWithinPartitions(ID_COLUMN).write.parquet(f"{folder}/articles")
+    corpus, terms = _lengths(rows).select(F.lit(1).alias("sign"), "doc_len"), _words_of(rows)
+    if off is not None:
+        corpus = corpus.union(_lengths(off).select(F.lit(-1), "doc_len"))
+        terms = terms.union(_negative(_words_of(off)))
     corpus = corpus.agg(
         F.coalesce(F.sum("sign"), F.lit(0)).cast("bigint").alias("articles"),
         F.coalesce(F.sum(F.col("sign") * F.col("doc_len")), F.lit(0)).cast("bigint").alias("tokens"),
     )
     corpus.write.parquet(f"{folder}/corpus")
-    mean = lengths.agg(F.avg("doc_len")).first()[0] or 1.0
-    order = [F.col("term"), F.desc("impact"), F.col("range")]
-    rows = postings.withColumn("impact", _impact(F.col("max_count"), F.col("min_len"), mean))
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{folder}/postings")
-    terms = lengths.sparkSession.read.parquet(f"{folder}/postings").select("term", *_COUNTS)
-    if counts is not None:
-        terms = terms.union(_negative(counts))
-    order = ["two", "three", "term"]
-    terms = _summed(terms).repartitionByRange(*order).sortWithinPartitions(*order)
-    terms.write.parquet(f"{folder}/terms")
+    _write_terms(_summed(terms), folder, "error")
     removed.select(ID_COLUMN).write.parquet(f"{folder}/removed")
     return name
 
 
+def _write_terms(terms: DataFrame, folder: str, mode: str) -> None:
+    order = ["two", "three", "term"]
+    terms.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).parquet(f"{folder}/terms")
+
+
 def create_index(articles: DataFrame, path: str) -> SearchIndex:
     """A new index at ``path`` of the articles (``article_id, title, summary``).
 
@@ -265,8 +267,7 @@ def create_index(articles: DataFrame, path: str) -> SearchIndex:
     spark = articles.sparkSession
     known = articles.filter(F.col(ID_COLUMN).isNotNull())
     nothing = spark.createDataFrame([], f"{ID_COLUMN} bigint")
-    grouped = _grouped(known)
-    name = _write_segment(path, _postings(grouped), None, _lengths(grouped), None, nothing)
+    name = _write_segment(path, _grouped(known), None, nothing)
     return _commit(spark, path, 0, [name])
 
 
@@ -304,9 +305,9 @@ def change_index(index: SearchIndex, removed: DataFrame, added: DataFrame) -> Se
     known = known.select(ID_COLUMN).limit(5).collect()
     if known:
         raise ValueError(f"already in the index: {sorted(row[0] for row in known)}")
-    old, new = _grouped(removed), _grouped(added)
-    counts = _postings(old).select("term", *_COUNTS)
-    name = _write_segment(index.path, _postings(new), counts, _lengths(new), _lengths(old), removed)
+    with small_batches(index.spark, BATCH_ROWS):
+        off = staged(_grouped(removed))
+    name = _write_segment(index.path, _grouped(added), off, removed)
     return _commit(index.spark, index.path, index.version + 1, [*index.segments, name])
 
 
@@ -317,12 +318,10 @@ def merge_index(index: SearchIndex, first: int = 0, last: int | None = None) ->
     run, gone = index.read("postings", part), index.read("removed", part)
     entries = run.select("term", "range", "place", F.inline(F.arrays_zip(*_ENTRY)))
     entries = entries.withColumnsRenamed({"ids": ID_COLUMN, "lens": "doc_len"})
-    # Staged: the order that follows reads its rows twice.
-    postings = staged(_blocks(_live(entries, gone).repartition("term", "range")))
-    lengths = _live(index.read("articles", part), gone).drop("place")
+    postings = _blocks(_live(entries, gone).repartition("term", "range"))
     # What the run took off from segments before it is still taken off.
     kept = gone.select(ID_COLUMN).distinct() if first else gone.select(ID_COLUMN).limit(0)
-    name = _write_segment(index.path, postings, None, lengths, None, kept)
+    name = _write_segment(index.path, postings, None, kept)
     if first:
         _restate(index, part, name)
     return _commit(index.spark, index.path, index.version + 1, [*index.segments[:first], name, *index.segments[last + 1 :]])
@@ -331,9 +330,7 @@ def merge_index(index: SearchIndex, first: int = 0, last: int | None = None) ->
 def _restate(index: SearchIndex, part: slice, name: str) -> None:
     """Terms and corpus of a merged run behind other segments: the sums of its parts, with what they take off."""
     folder = f"{index.path}/segments/{name}"
-    terms = _summed(index.read("terms", part).select("term", *_COUNTS))
-    order = ["two", "three", "term"]
-    terms.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{folder}/terms")
+    _write_terms(_summed(index.read("terms", part).select("term", *_COUNTS)), folder, "overwrite")
     corpus = index.read("corpus", part).agg(F.sum("articles").alias("articles"), F.sum("tokens").alias("tokens"))
     corpus.write.mode("overwrite").parquet(f"{folder}/corpus")
 
