@@ -21,7 +21,17 @@ from newsloom.functions.text import (
     shorten,
     whole_percent,
 )
-from newsloom.operators import digest, metrics, recency, search, segments, selection, similarity, store
+from newsloom.operators import (
+    digest,
+    keyword_blocks,
+    metrics,
+    recency,
+    search,
+    segments,
+    selection,
+    similarity,
+    store,
+)
 from newsloom.operators.index import (
     WHOLE,
     build_index,
@@ -30,6 +40,7 @@ from newsloom.operators.index import (
     term_statistics,
     write_index,
 )
+from newsloom.operators.patterns import matched_patterns
 from newsloom.operators.reports import RunReport
 from newsloom.operators.summaries import prompt, summarise, token_rate
 from newsloom.plans import tables
@@ -141,6 +152,26 @@ def matched_keywords(spark, folder):
     )
 
 
+def _half_as_keywords(spark, folder):
+    """Vectors of odd id as a keyword table that grows with the data, those of even id as articles."""
+    vectors = tables.table(spark, folder, "embeddings").select(F.col("vec_id").alias("article_id"), "embedding")
+    odd = vectors.filter("article_id % 2 = 1")
+    keywords = odd.select(F.concat(F.lit("kw"), F.col("article_id")).alias("keyword"), "embedding")
+    return vectors.filter("article_id % 2 = 0"), keywords
+
+
+@_query
+def many_keyword_scores(spark, folder):
+    scored = keyword_blocks.score_many(*_half_as_keywords(spark, folder))
+    return scored.select("article_id", F.round("similarity", 4).alias("similarity"))
+
+
+@_query
+def many_keyword_matches(spark, folder):
+    matched = keyword_blocks.match_many(*_half_as_keywords(spark, folder), 0.3)
+    return matched.select("article_id", "keyword", F.round("similarity", 4).alias("similarity"))
+
+
 @_query
 def unit_vectors(spark, folder):
     scaled = F.transform("embedding", lambda x: x.cast("double") * (F.col("article_id") % 3))
@@ -461,6 +492,15 @@ def feed_keyword_filter(spark, folder):
     return matching_keywords(feeds, ["TION", "Example.org", "que"])
 
 
+@_query
+def keyword_table_matches(spark, folder):
+    """Words of page titles looked up in the titles of articles, each match with its keyword."""
+    title = F.substring_index(F.substring_index("html", "</title>", 1), "<title>", -1)
+    words = tables.pages(spark, folder).select(F.explode(F.split(title, " ")).alias("keyword"))
+    articles = tables.articles(spark, folder)
+    return matched_patterns(articles, words, key="article_id", columns=["title"])
+
+
 @_query
 def classify_source_url(spark, folder):
     page = F.col("page_id")
