@@ -55,7 +55,7 @@ def first_per_group(
     return placed.filter(F.col(out) <= limit)
 
 
-def value_ranks(frame: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+def value_ranks(frame: DataFrame, groups: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """Distinct values of each group with the ranks they cover, exactly.
 
     Returns the groups, the value, ``copies``, and ``before``, ``upto``, ``total``: the value holds
@@ -64,7 +64,8 @@ def value_ranks(frame: DataFrame, groups: Sequence[str], value: str) -> DataFram
     before each part is one number per part, and where a group begins one number per group.
     """
     known = frame.filter(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
-    counts = known.groupBy(*groups, value).agg(F.count("*").alias("copies"))
+    copies = F.count("*") if weight is None else F.sum(weight)
+    counts = known.groupBy(*groups, value).agg(copies.alias("copies"))
     tagged = staged(counts.orderBy(*groups, value).withColumn("_tag", F.monotonically_increasing_id()))
     part = F.shiftright("_tag", _PARTITION_BITS)
     sums = tagged.groupBy(part.alias("_part")).agg(F.sum("copies").alias("_rows"))

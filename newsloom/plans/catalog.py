@@ -57,6 +57,7 @@ from newsloom.sources.subscriptions import (
     read_source_list,
     reader_of,
 )
+from newsloom.streaming import metric_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -885,6 +886,33 @@ def metric_buckets(spark, folder):
     return _rounded(buckets, "mean", "p50", "p95", "p99")
 
 
+def _growing_log(spark, folder):
+    """Counts of points that land in three parts, two of them merged before the third."""
+    points = tables.metric_points(spark, folder)
+    # One path holds what lands, the store and the stream's notes.
+    base = shared_path(spark, "counts")
+    landed, store = f"{base}/landed", f"{base}/store"
+    for part in range(3):
+        points.filter(F.col("seq") % 3 == part).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(points.schema).parquet(landed)
+        metric_counts.count_stream(stream, store, f"{base}/notes", 3600).awaitTermination()
+        if part == 1:
+            metric_counts.merge_counts(spark, store)
+    return metric_counts.stored_counts(spark, store)
+
+
+@_query
+def growing_log_report(spark, folder):
+    report = metric_counts.counted_report(_growing_log(spark, folder))
+    return _rounded(report, "avg")
+
+
+@_query
+def growing_log_buckets(spark, folder):
+    buckets = metric_counts.counted_buckets(_growing_log(spark, folder), 6)
+    return _rounded(buckets, "mean", "p50", "p95", "p99")
+
+
 @_query
 def metric_rate(spark, folder):
     rates = metrics.request_rate(tables.metric_points(spark, folder), clock=tables.ROLES["users"])

@@ -583,6 +583,16 @@ def oracle_sql() -> dict[str, str]:
                    round(avg(value), 9) AS mean, round(quantile_cont(value, 0.5), 9) AS p50,
                    round(quantile_cont(value, 0.95), 9) AS p95, round(quantile_cont(value, 0.99), 9) AS p99
             FROM points JOIN starts USING (run) GROUP BY ALL""",
+        "growing_log_report": f"""WITH {_POINTS}
+            SELECT run, metric, count(*) AS count, round(avg(value), 9) AS avg, min(value) AS min, max(value) AS max,
+                   {_at("0.5")} AS p50, {_at("0.75")} AS p75, {_at("0.9")} AS p90,
+                   {_at("0.95")} AS p95, {_at("0.99")} AS p99
+            FROM points GROUP BY run, metric""",
+        "growing_log_buckets": f"""WITH {_POINTS}
+            SELECT run, metric, CAST(floor(epoch_us(ts) / 21600e6) AS BIGINT) AS bucket, count(*) AS count,
+                   round(avg(value), 9) AS mean, round(quantile_cont(value, 0.5), 9) AS p50,
+                   round(quantile_cont(value, 0.95), 9) AS p95, round(quantile_cont(value, 0.99), 9) AS p99
+            FROM points GROUP BY ALL""",
         "metric_rate": f"""WITH {_POINTS}, placed AS (
               SELECT *, row_number() OVER (PARTITION BY run, metric ORDER BY ts, seq) AS position,
                      count(*) OVER (PARTITION BY run, metric) AS n
