@@ -29,19 +29,24 @@ def letter_grams(text: Column) -> Column:
     return F.get(F.transform(F.array(F.split(text, "")), cut), F.lit(0))
 
 
+def _grams_of(texts: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(texts, letter_grams)))
+
+
 def _anchors(patterns: DataFrame, texts: DataFrame) -> DataFrame:
-    """``lowered, gram``: the gram of each pattern that the fewest texts have.
+    """``keyword, gram``: the gram of each pattern that the fewest texts have.
 
     A pattern with a gram that no text has is left out. Grams are counted in each task first.
     """
-    counts = texts.select(F.explode(letter_grams(F.col("text"))).alias("gram")).groupBy("gram").count()
-    longest = F.least(F.length("lowered"), F.lit(LONGEST_GRAM))
-    grams = patterns.select("lowered", F.explode(letter_grams(F.col("lowered"))).alias("gram"))
-    grams = grams.filter(F.length("gram") == longest).join(counts, "gram", "left")
+    counts = texts.select(F.explode(_grams_of(F.col("texts"))).alias("gram")).groupBy("gram").count()
+    lowered = F.lower("keyword")
+    longest = F.least(F.length(lowered), F.lit(LONGEST_GRAM)).alias("longest")
+    grams = patterns.select("keyword", longest, F.explode(letter_grams(lowered)).alias("gram"))
+    grams = grams.filter(F.length("gram") == F.col("longest")).join(counts, "gram", "left")
     rarest = F.min(F.struct("count", "gram")).alias("rarest")
     everywhere = F.count("count") == F.count("*")
-    found = grams.groupBy("lowered").agg(rarest, everywhere.alias("possible"))
-    return found.filter("possible").select("lowered", F.col("rarest.gram").alias("gram"))
+    found = grams.groupBy("keyword").agg(rarest, everywhere.alias("possible"))
+    return found.filter("possible").select("keyword", F.col("rarest.gram").alias("gram"))
 
 
 def matched_patterns(
@@ -52,22 +57,21 @@ def matched_patterns(
     columns: Sequence[str],
     pattern: str = "keyword",
 ) -> DataFrame:
-    """``key, keyword``: each keyword that a text column of a row contains, whatever the case, once a key.
+    """``key, keyword``: for each row the keywords that a text column contains, whatever the case, each once.
 
     Null and empty keywords match nothing, and neither do null texts. Keywords that differ in case only are
-    all reported, as they are written. Rows with equal keys share their matches; a null key is a key. Equal
-    texts are looked up once. Texts and candidates meet by a digest of the text, so neither a repeated nor a
-    null key multiplies rows.
+    all reported, as they are written. Rows with equal keys, null ones too, are rows of their own. Equal texts
+    are looked up once. Rows and candidates meet by a hash of the texts, so a key that many rows have does not
+    multiply them; texts with equal hashes share candidates, and each is searched itself.
     """
     wanted = patterns.select(F.col(pattern).cast("string").alias("keyword")).filter(F.length("keyword") > 0)
-    wanted = wanted.distinct().withColumn("lowered", F.lower("keyword"))
-    lowered = wanted.select("lowered").distinct()
-    fields = F.explode(F.array(*[F.col(c).cast("string") for c in columns]))
-    rows = texts.select(F.col(key).alias("key"), fields.alias("text")).filter("text IS NOT NULL")
-    rows = rows.withColumn("text", F.lower("text")).withColumn("digest", F.md5("text"))
-    anchors = _anchors(lowered, rows)
-    grams = rows.select("digest", F.explode(letter_grams(F.col("text"))).alias("gram"))
-    candidates = grams.join(anchors, "gram").select("digest", "lowered").distinct()
-    found = rows.join(candidates, "digest").filter(F.contains("text", "lowered"))
-    matches = found.select("key", "lowered").distinct().join(wanted, "lowered")
-    return matches.select(F.col("key").alias(key), "keyword")
+    wanted = wanted.distinct()
+    fields = F.array_compact(F.array(*[F.lower(F.col(c).cast("string")) for c in columns]))
+    rows = texts.select(F.col(key).alias("key"), fields.alias("texts")).withColumn("hash", F.xxhash64("texts"))
+    distinct = rows.select("hash", "texts").distinct()
+    grams = distinct.select("hash", F.explode(_grams_of(F.col("texts"))).alias("gram"))
+    found = grams.join(_anchors(wanted, distinct), "gram").select("hash", "keyword")
+    # One exchange by hash serves both the distinct candidates and their join.
+    candidates = found.repartition("hash").distinct()
+    held = F.exists("texts", lambda text: F.contains(text, F.lower("keyword")))
+    return rows.join(candidates, "hash").filter(held).select(F.col("key").alias(key), "keyword")
