@@ -105,6 +105,15 @@ def _cuts(values: np.ndarray, kinds: np.ndarray, share: float) -> np.ndarray:
     return cuts[known[np.maximum(at, 0)]]
 
 
+def _bound(sample: int, rows: int) -> int:
+    """A hash below which lie at least ``sample`` of about ``rows`` hashes, and not many more.
+
+    The margin is six deviations of the draw and a tenth, five deviations of the counted rows.
+    """
+    share = (1.1 * sample + 6 * sample**0.5 + 50) / max(rows, 1)
+    return min(int(-(2**63) + share * 2**64), 2**63 - 1)
+
+
 def fit(
     training: DataFrame,
     text: str = "text",
@@ -125,16 +134,23 @@ def fit(
     known = training.select(
         F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")
     ).filter("text IS NOT NULL AND lang IS NOT NULL")
-    counts = known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    # Rows equal in id and text count once, so that no repeated id can fill the sample or exceed it.
+    keyed = known.withColumn("at", F.xxhash64("doc_id", "text", F.lit(8)))
+    about = F.approx_count_distinct("at", 0.02).alias("n")
+    counts = keyed.groupBy("lang").agg(about).limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages; is {lang} a language column?")
     languages = sorted(row.lang for row in counts)
     if not languages:
         return Identifier([], None, 0.0, 0.0)
-    # Rows equal in id and text count once, so that no repeated id can fill the sample or exceed it.
-    keyed = known.withColumn("at", F.xxhash64("doc_id", "text", F.lit(8)))
+    # The hashes are even, so a little more than a sample of each language lies below its bound, and only
+    # those rows meet to be ranked.
+    bounds = training.sparkSession.createDataFrame(
+        [(row.lang, _bound(sample, row.n)) for row in counts], "lang string, bound long"
+    )
+    near = keyed.select("lang", "at").join(F.broadcast(bounds), "lang").filter(F.col("at") <= F.col("bound"))
     first = Window.partitionBy("lang").orderBy("at")
-    ranked = keyed.select("lang", "at").distinct().withColumn("rank", F.row_number().over(first))
+    ranked = near.select("lang", "at").distinct().withColumn("rank", F.row_number().over(first))
     cuts = ranked.filter(F.col("rank") <= sample).groupBy("lang").agg(F.max("at").alias("cut"))
     # At most MOST_LANGUAGES rows.
     chosen = keyed.join(F.broadcast(cuts), "lang").filter(F.col("at") <= F.col("cut"))
