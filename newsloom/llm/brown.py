@@ -1,14 +1,21 @@
 """Class-based bigram model: exchange clustering of words, class transitions, word emissions.
 
-Words are counted over the whole training corpus, by 64-bit hash. The most frequent ``WORDS`` words are
-items of their own; every other word belongs to the item of its ending (one of ``ENDINGS``), so unseen
-words have a class too. Bigrams of items fill a matrix of fixed size, on which exchange clustering
-moves one item after the other to the class that gains most mutual information.
+Words are counted over the whole training corpus, by 64-bit hash, and clustered in two steps.
+
+1. The classes are laid out: the most frequent ``WORDS`` words are items, all others belong to the item of
+   their ending (one of ``ENDINGS``). Bigrams of items fill a matrix of fixed size, on which exchange
+   clustering moves one item after the other to the class that gains most mutual information.
+2. Every other word that occurs ``LEAST_COUNT`` times or more is exchanged on its own, however many there
+   are: its counts of classes before and after it, over the whole corpus, are summed by word, and the word
+   moves to the class where they are likeliest, its own counts taken out of its old class. All words move at
+   once against the same class table, in ``ROUNDS`` rounds. Rarer and unseen words keep the class of their
+   ending.
 
 A token's probability is that of its class after the previous token's class, times its emission: its
-count plus a half in the counts of its class. The counts of the most frequent words (``FREQUENT``
-rows, a bounded table) travel to the tasks; tokens beyond them are joined with the count table by a
-shuffle, which no frequent word can skew.
+count plus a half in the counts of its class. Counts and classes of the most frequent words (``FREQUENT``
+rows, a bounded table) travel to the tasks; tokens beyond them are joined with the word table by a
+shuffle, which no frequent word can skew, and come back to their text with their class. While classes are
+learned, a neighbour beyond the frequent words counts under the class of its ending.
 """
 
 from __future__ import annotations
@@ -27,24 +34,34 @@ from newsloom.plans.staging import staged
 WORDS = 768
 ENDINGS = 256
 CLASSES = 48
+KINDS = CLASSES + 1  # and the edge of a text
+LEAST_COUNT = 3
+ROUNDS = 2
 FREQUENT = 1 << 18
 HALF = 0.5
 _SLICE_ROWS = 8
 
 
 class Lexicon(NamedTuple):
-    """Hash, count and ending of the most frequent words, by hash; and those that are items."""
+    """The most frequent words by hash: count, class, and whether the word is an item of its own."""
 
     hashes: np.ndarray
     counts: np.ndarray
-    item_hashes: np.ndarray
+    kinds: np.ndarray
     items: np.ndarray
 
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each hash in the lexicon, and whether it is there."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return at, self.hashes[at] == hashes
+
 
 class BrownModel(NamedTuple):
-    """Class of each item, log10 transitions between classes, log10 of each class's emission total."""
+    """Class of each ending, log10 transitions between classes, log10 of each class's emission total."""
 
-    classes: np.ndarray
+    endings: np.ndarray
     transitions: np.ndarray
     emission_totals: np.ndarray
     lexicon: Lexicon
@@ -88,15 +105,15 @@ def _word_counts(training: DataFrame) -> DataFrame:
     return found.groupBy("h").agg(F.min("ending").alias("ending"), F.sum("c").alias("c"))
 
 
-def _items(hashes: np.ndarray, endings: np.ndarray, lexicon: Lexicon) -> np.ndarray:
-    known = lexicon.item_hashes
+def _items(hashes: np.ndarray, endings: np.ndarray, known: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Item of every word; ``known`` are the sorted hashes of the words of their own, ``ranks`` their items."""
     if not len(known):
         return endings + WORDS
     at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    return np.where(known[at] == hashes, lexicon.items[at], endings + WORDS)
+    return np.where(known[at] == hashes, ranks[at], endings + WORDS)
 
 
-def _bigrams(training: DataFrame, lexicon: Lexicon) -> np.ndarray:
+def _bigrams(training: DataFrame, known: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """Counts of item after item over the whole training corpus; the last item is the text's edge."""
     size = WORDS + ENDINGS + 1
 
@@ -105,7 +122,7 @@ def _bigrams(training: DataFrame, lexicon: Lexicon) -> np.ndarray:
         for batch in batches:
             for _, data, offsets in blocks(batch.column(0)):
                 hashes, endings, bounds = _hashed_words(data, offsets)
-                line = np.insert(_items(hashes, endings, lexicon), bounds[:-1], size - 1)
+                line = np.insert(_items(hashes, endings, known, ranks), bounds[:-1], size - 1)
                 after = np.append(line[1:], size - 1)
                 counts += np.bincount(line * size + after, minlength=size * size)
         table = counts.reshape(size, size)
@@ -194,63 +211,191 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = 12) -> n
     return label
 
 
-def fit(training: DataFrame, text: str = "text") -> tuple[BrownModel, DataFrame]:
-    """The model and the table of all word counts (``h, c``), learned from every training text.
+def _kinds(hashes: np.ndarray, endings: np.ndarray, lexicon: Lexicon, ending_kinds: np.ndarray) -> np.ndarray:
+    at, often = lexicon.places(hashes)
+    if not len(lexicon.hashes):
+        return ending_kinds[endings]
+    return np.where(often, lexicon.kinds[at], ending_kinds[endings])
+
+
+def _class_table(training: DataFrame, lexicon: Lexicon, ending_kinds: np.ndarray) -> np.ndarray:
+    """Counts of class after class over the whole training corpus."""
+
+    def run(batches):
+        counts = np.zeros(KINDS * KINDS, np.int64)
+        for batch in batches:
+            for _, data, offsets in blocks(batch.column(0)):
+                hashes, endings, bounds = _hashed_words(data, offsets)
+                line = np.insert(_kinds(hashes, endings, lexicon, ending_kinds), bounds[:-1], CLASSES)
+                counts += np.bincount(line * KINDS + np.append(line[1:], CLASSES), minlength=KINDS * KINDS)
+        cells = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], ["cell", "c"])
+
+    table = np.zeros(KINDS * KINDS)
+    summed = training.select("text").mapInArrow(run, "cell bigint, c bigint").groupBy("cell").agg(F.sum("c").alias("c"))
+    for row in summed.collect():  # KINDS**2 rows at most
+        table[row.cell] = row.c
+    return table.reshape(KINDS, KINDS)
+
+
+def _contexts(training: DataFrame, lexicon: Lexicon, ending_kinds: np.ndarray) -> DataFrame:
+    """``h, code, c``: how often a word that is no item stands between two classes.
+
+    The code is own class, class before, class after. Counts collapse in each block and task; the sum is
+    split by word and code, so a word of any frequency comes to at most ``KINDS**2`` rows.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for _, data, offsets in blocks(batch.column(0)):
+                hashes, endings, bounds = _hashed_words(data, offsets)
+                line = np.insert(_kinds(hashes, endings, lexicon, ending_kinds), bounds[:-1], CLASSES)
+                code = (line * KINDS + np.roll(line, 1)) * KINDS + np.append(line[1:], CLASSES)
+                at, often = lexicon.places(hashes)
+                other = ~(often & lexicon.items[at]) if len(lexicon.hashes) else ~often
+                own = np.ones(len(line), bool)
+                own[bounds[:-1] + np.arange(len(bounds) - 1)] = False
+                hashes, code = hashes[other], code[own][other]
+                _, where, counts = np.unique(
+                    hashes ^ mixed(code.astype(np.uint64)), return_index=True, return_counts=True
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes[where].view(np.int64)), pa.array(code[where].astype(np.int32)), pa.array(counts)],
+                    ["h", "code", "c"],
+                )
+
+    found = training.select("text").mapInArrow(run, "h bigint, code int, c bigint")
+    return found.groupBy("h", "code").agg(F.sum("c").alias("c"))
+
+
+def likeliest(before: np.ndarray, after: np.ndarray, home: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class of each word in which its neighbours' classes are likeliest.
+
+    ``before`` and ``after`` count the classes next to each word, ``home`` is its class so far and ``table``
+    has the counts of class after class. Half a count is added to every cell; a word's own counts are
+    taken out of its old class. A word moves only where it gains; ties go to the lowest class.
+    """
+    n_after, n_before = after.sum(axis=1), before.sum(axis=1)
+    logs = np.log(table + HALF)
+    starts, ends = table.sum(axis=1), table.sum(axis=0)
+    room = HALF * KINDS
+    gain = after @ logs[:CLASSES].T + before @ logs[:, :CLASSES]
+    gain -= np.outer(n_after, np.log(starts[:CLASSES] + room)) + np.outer(n_before, np.log(ends[:CLASSES] + room))
+    at = np.arange(len(home))
+    stay = (after * np.log(np.maximum(table[home] - after, 0) + HALF)).sum(axis=1)
+    stay += (before * np.log(np.maximum(table[:, home].T - before, 0) + HALF)).sum(axis=1)
+    stay -= n_after * np.log(np.maximum(starts[home] - n_after, 0) + room)
+    stay -= n_before * np.log(np.maximum(ends[home] - n_before, 0) + room)
+    gain[at, home] = stay
+    best = gain.argmax(axis=1)
+    return np.where(gain[at, best] > stay + 1e-9, best, home)
+
+
+def _exchanged(contexts: DataFrame, table: np.ndarray, least: int) -> DataFrame:
+    """``h, kind`` of every word that occurs ``least`` times or more, from its contexts."""
+
+    def decided(hashes, codes, counts):
+        first = np.append(True, hashes[1:] != hashes[:-1])
+        owner, n = np.cumsum(first) - 1, int(first.sum())
+        after = np.bincount(owner * KINDS + codes % KINDS, counts, n * KINDS).reshape(n, KINDS)
+        before = np.bincount(owner * KINDS + codes // KINDS % KINDS, counts, n * KINDS).reshape(n, KINDS)
+        kept = after.sum(axis=1) >= least
+        kinds = likeliest(before[kept], after[kept], (codes[first] // KINDS**2)[kept], table)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(hashes[first][kept]), pa.array(kinds.astype(np.int32))], ["h", "kind"]
+        )
+
+    def run(batches):
+        # The rows of the last word, KINDS**2 at most, wait for the next batch.
+        held = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            held = [
+                np.concatenate([h, batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)])
+                for k, h in enumerate(held)
+            ]
+            if len(held[0]):
+                cut = int(np.searchsorted(held[0], held[0][-1]))
+                if cut:
+                    yield decided(*(h[:cut] for h in held))
+                held = [h[cut:] for h in held]
+        if len(held[0]):
+            yield decided(*held)
+
+    dealt = contexts.repartition("h").sortWithinPartitions("h")
+    return dealt.mapInArrow(run, "h bigint, kind int")
+
+
+def fit(
+    training: DataFrame, text: str = "text", least: int = LEAST_COUNT, rounds: int = ROUNDS
+) -> tuple[BrownModel, DataFrame]:
+    """The model and the table of all words (``h, c, kind``), learned from every training text.
 
     A null text is empty: its end alone is counted. Without training texts every word is unknown.
     """
     training = training.select(F.col(text).alias("text"))
+    spark = training.sparkSession
     counts = staged(_word_counts(training))
-    totals = counts.groupBy("ending").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
     ends = training.count()
-    frequent = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
-    hashes = frequent["h"].to_numpy().view(np.uint64)
-    number, ending = frequent["c"].to_numpy(), frequent["ending"].to_numpy()
+
+    def values(table, name: str) -> np.ndarray:
+        return table[name].to_numpy()
+
     # Items are numbered by falling count, then by hash as Spark orders it.
-    rank = np.lexsort((hashes.view(np.int64), -number))
-    top = rank[:WORDS]
-    by_hash, top_by_hash = np.argsort(hashes), top[np.argsort(hashes[top])]
-    number_of = np.empty(len(hashes), np.int64)
-    number_of[rank] = np.arange(len(rank))
-    lexicon = Lexicon(hashes[by_hash], number[by_hash], hashes[top_by_hash], number_of[top_by_hash])
-
-    bigrams = _bigrams(training, lexicon)
-    label = exchange(bigrams)
-    kinds = CLASSES + 1
-    member = np.zeros((len(label), kinds))
-    member[np.arange(len(label)), label] = 1
-    table = member.T @ bigrams @ member
-    share = (table.sum(axis=0) + HALF) / (table.sum() + HALF * kinds)
+    top = counts.orderBy(F.desc("c"), "h").limit(WORDS).toArrow()
+    known = values(top, "h").view(np.uint64)
+    by_hash = np.argsort(known)
+    label = exchange(_bigrams(training, known[by_hash], by_hash))
+    ending_kinds = label[WORDS:-1]
+    item_rows = [(int(h), int(k)) for h, k in zip(values(top, "h"), label, strict=False)]
+    items = spark.createDataFrame(item_rows, "h bigint, kind int")  # WORDS rows at most
+    of_ending = F.element_at(F.split(F.lit(",".join(map(str, ending_kinds))), ",").cast("array<int>"), F.col("ending") + 1)
+
+    def classed(kinds: DataFrame) -> DataFrame:
+        return staged(counts.join(kinds, "h", "left").select("h", "c", F.coalesce("kind", of_ending).alias("kind")))
+
+    def lexicon_of(rows: DataFrame) -> Lexicon:
+        found = rows.orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
+        hashes = values(found, "h").view(np.uint64)
+        order = np.argsort(hashes)
+        kinds, numbers = values(found, "kind").astype(np.int64), values(found, "c")
+        return Lexicon(hashes[order], numbers[order], kinds[order], np.isin(hashes[order], known))
+
+    rows = classed(F.broadcast(items))
+    lexicon = lexicon_of(rows)
+    table = _class_table(training, lexicon, ending_kinds)
+    for _ in range(rounds):
+        moved = _exchanged(_contexts(training, lexicon, ending_kinds), table, least)
+        rows = classed(moved.union(items))
+        lexicon = lexicon_of(rows)
+        table = _class_table(training, lexicon, ending_kinds)
+
+    share = (table.sum(axis=0) + HALF) / (table.sum() + HALF * KINDS)
     transitions = np.log10((table + share) / (table.sum(axis=1, keepdims=True) + 1))
+    mass, types = np.zeros(KINDS), np.zeros(KINDS, np.int64)
+    for row in rows.groupBy("kind").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+        mass[row.kind], types[row.kind] = row.c, row.v
+    emission_totals = np.log10(mass + HALF * (types + 1))
+    tokens = int(mass.sum()) + ends
+    model = BrownModel(ending_kinds, transitions, emission_totals, lexicon, tokens, int(types.sum()) + (ends > 0), ends)
+    return model, rows
+
 
-    mass, kinds_of = np.zeros(kinds), np.zeros(kinds)
-    for row in totals:
-        mass[label[WORDS + row.ending]] += row.c
-        kinds_of[label[WORDS + row.ending]] += row.v
-    for place, item in enumerate(top):
-        for total, value in ((mass, number[item]), (kinds_of, 1)):
-            total[label[WORDS + ending[item]]] -= value
-            total[label[place]] += value
-    emission_totals = np.log10(mass + HALF * (kinds_of + 1))
-    tokens = int(sum(row.c for row in totals)) + ends
-    types = int(sum(row.v for row in totals)) + (ends > 0)
-    model = BrownModel(label, transitions, emission_totals, lexicon, tokens, types, ends)
-    return model, counts.select("h", "c")
-
-
-def scores(docs: DataFrame, model: BrownModel, counts: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def scores(docs: DataFrame, model: BrownModel, words: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score, perplexity`` of every row.
 
     Tokens are the lower-cased words and one end. ``base_score`` is the unigram log10 probability with
     half a count added, ``score`` the class model's. A null text is empty. Rows with equal or null ids
-    are scored one by one.
+    are scored one by one; ids of any type are carried along.
+
+    A word beyond the frequent ones leaves its text as a row with its place and its neighbours' classes,
+    meets the word table, and comes back: a text's rows are sorted by place, and steps between two such
+    words are taken then.
     """
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    kind = dict(docs.dtypes)["doc_id"]
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    label, transitions, totals, lexicon = model[:4]
-    edge = WORDS + ENDINGS
-    names = ["row", "h", "doc_id", "n_tokens", "known", "logs", "rest"]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    ending_kinds, transitions, totals, lexicon = model[:4]
+    unknown = KINDS  # in a code: the neighbour is such a word itself
+    names = ["row", "h", "place", "code", "doc_id", "n_tokens", "known", "logs", "rest"]
 
     def run(batches):
         base = TaskContext.get().partitionId() << 40
@@ -260,19 +405,19 @@ def scores(docs: DataFrame, model: BrownModel, counts: DataFrame, text: str = "t
                 hashes, endings, bounds = _hashed_words(data, offsets)
                 rows = len(offsets) - 1
                 own = np.repeat(np.arange(rows), np.diff(bounds))
-                line = label[np.insert(_items(hashes, endings, lexicon), bounds[:-1], edge)]
-                step = transitions[line, np.append(line[1:], label[edge])]
-                owner = np.insert(own, bounds[:-1], np.arange(rows))
-                rest = np.bincount(owner, step, rows)
-                inner = label[_items(hashes, endings, lexicon)]
-                rest -= np.bincount(own, totals[inner], rows)
-                if len(lexicon.hashes):
-                    at = np.minimum(np.searchsorted(lexicon.hashes, hashes), len(lexicon.hashes) - 1)
-                    often = lexicon.hashes[at] == hashes
+                at, often = lexicon.places(hashes)
+                kinds = ending_kinds[endings]
+                inner = np.where(often, lexicon.kinds[at], unknown) if len(lexicon.hashes) else np.full(len(hashes), unknown)
+                line = np.insert(inner, bounds[:-1], CLASSES)
+                after = np.append(line[1:], CLASSES)
+                step = np.zeros(len(line))
+                both = (line != unknown) & (after != unknown)
+                step[both] = transitions[line[both], after[both]]
+                rest = np.bincount(np.insert(own, bounds[:-1], np.arange(rows)), step, rows)
+                rest -= np.bincount(own[often], totals[inner[often]], rows)
+                logs = np.zeros(rows)
+                if often.any():
                     logs = np.bincount(own[often], np.log10(lexicon.counts[at[often]] + HALF), rows)
-                else:
-                    often = np.zeros(len(hashes), bool)
-                    logs = np.zeros(rows)
                 known = np.bincount(own[often], minlength=rows)
                 number = base + np.arange(rows)
                 base += rows
@@ -281,6 +426,8 @@ def scores(docs: DataFrame, model: BrownModel, counts: DataFrame, text: str = "t
                         pa.array(number),
                         # A value of its own: no word's hash, so that no rows pile up under a null.
                         pa.array(mixed(~number.astype(np.uint64)).view(np.int64)),
+                        pa.array(np.full(rows, -1)),
+                        pa.nulls(rows, pa.int32()),
                         ids.slice(first, rows),
                         pa.array(np.diff(bounds) + 1),
                         pa.array(known),
@@ -289,14 +436,19 @@ def scores(docs: DataFrame, model: BrownModel, counts: DataFrame, text: str = "t
                     ],
                     names,
                 )
-                seldom = ~often
-                if seldom.any():
-                    few = int(seldom.sum())
+                seldom = np.flatnonzero(~often)
+                if len(seldom):
+                    # A word's place in the line is behind the edges of the texts up to its own.
+                    spot = seldom + own[seldom] + 1
+                    code = (kinds[seldom] * (KINDS + 1) + line[spot - 1]) * (KINDS + 1) + after[spot]
+                    few = len(seldom)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(number[own[seldom]]),
                             pa.array(hashes[seldom].view(np.int64)),
-                            pa.nulls(few, key_type),
+                            pa.array(seldom - bounds[own[seldom]]),
+                            pa.array(code.astype(np.int32)),
+                            pa.nulls(few, ids.type),
                             pa.nulls(few, pa.int64()),
                             pa.nulls(few, pa.int64()),
                             pa.nulls(few, pa.float64()),
@@ -305,25 +457,64 @@ def scores(docs: DataFrame, model: BrownModel, counts: DataFrame, text: str = "t
                         names,
                     )
 
-    fields = f"row bigint, h bigint, doc_id {kind}, n_tokens bigint, known bigint, logs double, rest double"
-    emitted = docs.mapInArrow(run, fields)
-    joined = emitted.join(counts, "h", "left")
-    word = F.col("n_tokens").isNull()
-    log_count = F.log10(F.coalesce(F.col("c"), F.lit(0)) + HALF)
-    summed = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.when(word, (F.col("c") > 0).cast("bigint")).otherwise(F.col("known"))).alias("known"),
-        F.sum(F.when(word, log_count).otherwise(F.col("logs"))).alias("logs"),
-        F.max("rest").alias("rest"),
+    sums = ["known", "logs", "rest"]
+
+    def back(batches):
+        """Sums of each text's rows; a text begins with its own row and may go on in the next batch."""
+        held, last = None, CLASSES
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place, code, c, own, *parts = (
+                batch.column(n).fill_null(0).to_numpy(zero_copy_only=False) for n in ("place", "code", "c", "kind", *sums)
+            )
+            known, logs, rest = (part.copy() for part in parts)
+            word = place >= 0
+            left, right = code // (KINDS + 1) % (KINDS + 1), code % (KINDS + 1)
+            own = np.where(batch.column("kind").is_valid(), own, code // (KINDS + 1) ** 2)
+            # The class before: of the neighbour in the text, or of the row before, which is that neighbour.
+            from_left = np.where(left == unknown, np.append(last, own[:-1]), left)[word]
+            last, own, right = own[-1], own[word], right[word]
+            known[word] = c[word] > 0
+            logs[word] = np.log10(c[word] + HALF)
+            rest[word] = transitions[from_left, own] - totals[own]
+            ahead = np.flatnonzero(word)[right != unknown]
+            rest[ahead] += transitions[own[right != unknown], right[right != unknown]]
+            heads = np.flatnonzero(~word)
+            upto = heads[0] if len(heads) else len(word)
+            if held:
+                held = held[0], *(h + x[:upto].sum(keepdims=True) for h, x in zip(held[1:], (known, logs, rest), strict=True))
+            if len(heads):
+                if held:
+                    yield finished(*held)
+                texts = batch.take(pa.array(heads))
+                added = [np.add.reduceat(x, heads) for x in (known, logs, rest)]
+                yield finished(texts.slice(0, len(heads) - 1), *(x[:-1] for x in added))
+                held = texts.slice(len(heads) - 1), *(x[-1:] for x in added)
+        if held:
+            yield finished(*held)
+
+    def finished(texts, known, logs, rest):
+        numbers = [pa.array(known, pa.int64()), pa.array(logs), pa.array(rest)]
+        return pa.RecordBatch.from_arrays(
+            [texts.column("doc_id"), texts.column("n_tokens"), *numbers], ["doc_id", "n_tokens", *sums]
+        )
+
+    fields = (
+        f"row bigint, h bigint, place bigint, code int, doc_id {kind}, n_tokens bigint, "
+        "known bigint, logs double, rest double"
     )
+    emitted = docs.mapInArrow(run, fields)
+    joined = emitted.join(words, "h", "left").select(*[n for n in names if n != "h"], "c", "kind")
+    dealt = joined.repartition("row").sortWithinPartitions("row", "place")
+    summed = dealt.mapInArrow(back, f"doc_id {kind}, n_tokens bigint, known bigint, logs double, rest double")
     whole = float(np.log10(model.tokens + HALF * (model.types + 1)))
     end = float(np.log10(model.ends + HALF))
     score = F.col("logs") + F.col("rest")
     return summed.select(
         "doc_id",
         "n_tokens",
-        (F.coalesce("known", F.lit(0)) + int(model.ends > 0)).alias("n_known"),
+        (F.col("known") + int(model.ends > 0)).alias("n_known"),
         (F.col("logs") + end - F.col("n_tokens") * whole).alias("base_score"),
         score.alias("score"),
         F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),

@@ -55,33 +55,99 @@ def test_counts_and_base_scores_equal_brute_force(spark, fitted):
     assert all(abs(r.perplexity - 10 ** (-r.score / r.n_tokens)) < 1e-6 * r.perplexity for r in rows)
 
 
-def test_words_beyond_the_frequent_ones_are_joined(spark, fitted, monkeypatch):
-    train = fitted[0]
-    table = spark.createDataFrame(train, "doc_id long, text string")
-    monkeypatch.setattr(brown, "WORDS", 100)
-    model, counts = brown.fit(table)
-    monkeypatch.setattr(brown, "FREQUENT", 200)
-    few, few_counts = brown.fit(table)
-    assert len(few.lexicon.hashes) < len(model.lexicon.hashes)
+def hashed(words):
+    """Hash and ending of each word."""
+    data = np.frombuffer("\n".join(words).encode(), np.uint8)
+    hashes, endings, _ = brown._hashed_words(data, np.array([0, len(data)]))
+    return dict(zip(words, zip(hashes.view(np.int64).tolist(), endings.tolist(), strict=True), strict=True))
+
+
+def test_scores_equal_brute_force(spark, fitted):
+    _, model, counts = fitted
+    docs = corpus(40) + ODD
+    of = hashed(sorted({w for _, t in docs for w in tokens(t)[:-1]}))
+    words = {r.h: (r.c, r.kind) for r in counts.collect()}
+
+    def score(text):
+        now, total = brown.CLASSES, 0.0
+        for word in tokens(text)[:-1]:
+            h, ending = of[word]
+            c, kind = words.get(h, (0, int(model.endings[ending])))
+            total += model.transitions[now, kind] + math.log10(c + 0.5) - model.emission_totals[kind]
+            now = kind
+        return total + model.transitions[now, brown.CLASSES]
+
+    want = sorted((str(i), round(score(t), 4)) for i, t in docs)
+    assert sorted((str(r.doc_id), round(r.score, 4)) for r in scored(spark, model, counts, docs)) == want
+
+
+@pytest.mark.parametrize("kept", [0, 1, 60])
+def test_scores_do_not_depend_on_what_travels_to_the_tasks(spark, fitted, kept):
+    _, model, counts = fitted
+    some = np.sort(np.argsort(-model.lexicon.counts, kind="stable")[:kept])
+    few = model._replace(lexicon=brown.Lexicon(*(part[some] for part in model.lexicon)))
     docs = corpus(30) + ODD
-    one, two = (
-        sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in rows)
-        for rows in (scored(spark, model, counts, docs), scored(spark, few, few_counts, docs))
-    )
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7 if kept else 1000)
+    try:
+        one, two = (
+            sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 4), round(r.score, 4)) for r in rows)
+            for rows in (scored(spark, model, counts, docs), scored(spark, few, counts, docs))
+        )
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert one == two
 
 
 def test_probabilities_sum_to_one(fitted):
-    _, model, _ = fitted
+    _, model, counts = fitted
     assert np.allclose((10**model.transitions).sum(axis=1), 1)
     # Emissions of a class: its words' counts plus a half each, and a half for an unknown one.
-    words, mass = Counter(), Counter()
-    for h, c, item in zip(model.lexicon.hashes, model.lexicon.counts, brown._items(
-        model.lexicon.hashes, np.zeros(len(model.lexicon.hashes), np.int64), model.lexicon), strict=True):
-        if item < brown.WORDS:
-            words[model.classes[item]] += 1
-            mass[model.classes[item]] += c + 0.5
-    assert all(mass[k] + 0.5 <= 10 ** model.emission_totals[k] + 1e-6 for k in words)
+    mass = Counter()
+    for row in counts.collect():
+        mass[row.kind] += row.c + 0.5
+    assert all(abs(mass[k] + 0.5 - 10 ** model.emission_totals[k]) < 1e-6 * (mass[k] + 1) for k in range(brown.CLASSES))
+
+
+def test_every_repeated_word_is_exchanged(spark, monkeypatch):
+    """One round over words that are no items equals a word-by-word version in plain Python."""
+    monkeypatch.setattr(brown, "WORDS", 6)
+    train = corpus(120)
+    table = spark.createDataFrame(train, "doc_id long, text string").repartition(3)
+    before, start = brown.fit(table, rounds=0)
+    after, moved = brown.fit(table, rounds=1)
+    start, moved = ({r.h: (r.c, r.kind) for r in rows.collect()} for rows in (start, moved))
+    of = hashed(sorted({w for _, t in train for w in tokens(t)[:-1]}))
+    edge, kinds = brown.CLASSES, brown.KINDS
+    cells, left, right = np.zeros((kinds, kinds)), {}, {}
+    for _, text in train:
+        line = [of[w][0] for w in tokens(text)[:-1]]
+        classes = [edge, *(start[h][1] for h in line), edge]
+        for at, h in enumerate([*line, None]):
+            cells[classes[at], classes[at + 1]] += 1
+            if h is not None:
+                left.setdefault(h, Counter())[classes[at]] += 1
+                right.setdefault(h, Counter())[classes[at + 2]] += 1
+
+    def likelihood(h, k, home):
+        own_r, own_l = (right[h], left[h]) if k == home else (Counter(), Counter())
+        n = start[h][0]
+        out = sum(c * math.log(max(cells[k, x] - own_r[x], 0) + 0.5) for x, c in right[h].items())
+        out += sum(c * math.log(max(cells[x, k] - own_l[x], 0) + 0.5) for x, c in left[h].items())
+        gone = n if k == home else 0
+        room = 0.5 * kinds
+        return out - n * (math.log(cells[k].sum() - gone + room) + math.log(cells[:, k].sum() - gone + room))
+
+    items = set(before.lexicon.hashes[before.lexicon.items].view(np.int64).tolist())
+    changed = 0
+    for h, (c, home) in start.items():
+        kind = moved[h][1]
+        if h in items or c < brown.LEAST_COUNT:
+            assert kind == home
+            continue
+        every = [likelihood(h, k, home) for k in range(edge)]
+        assert every[kind] >= max(every) - 1e-6
+        changed += kind != home
+    assert changed > 10 and len(items) == 6
 
 
 def test_class_model_beats_words_alone_on_held_out_texts(spark, fitted):
