@@ -344,7 +344,8 @@ def fit(
     top = counts.orderBy(F.desc("c"), "h").limit(WORDS).toArrow()
     known = values(top, "h").view(np.uint64)
     by_hash = np.argsort(known)
-    label = exchange(_bigrams(training, known[by_hash], by_hash))
+    bigrams = _bigrams(training, known[by_hash], by_hash)
+    label = exchange(bigrams)
     ending_kinds = label[WORDS:-1]
     item_rows = [(int(h), int(k)) for h, k in zip(values(top, "h"), label, strict=False)]
     items = spark.createDataFrame(item_rows, "h bigint, kind int")  # WORDS rows at most
@@ -362,7 +363,9 @@ def fit(
 
     rows = classed(F.broadcast(items))
     lexicon = lexicon_of(rows)
-    table = _class_table(training, lexicon, ending_kinds)
+    # Every word still has its item's class: the table comes from the items' bigrams.
+    member = np.eye(KINDS)[label]
+    table = member.T @ bigrams @ member
     for _ in range(rounds):
         moved = _exchanged(_contexts(training, lexicon, ending_kinds), table, least)
         rows = classed(moved.union(items))
