@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.texts import blocks, lower_ascii, mixed, span_hashes, words
+from newsloom.llm.texts import blocks, byte_sums, lower_ascii, mixed, span_hashes, words
 from newsloom.plans.staging import staged
 
 WORDS = 768
@@ -79,13 +79,25 @@ def _hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     starts, ends, bounds = words(data, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), bounds
-    letter = ((data >= 97) & (data <= 122)) | (data >= 0x80)
-    last = np.maximum.accumulate(np.where(letter, np.arange(len(data)), -1))[ends - 1]
-    has_letter = last >= starts
-    upto = np.where(has_letter, last + 1, ends)
-    marked = (has_letter & (upto < ends)).astype(np.uint64)
-    tails = span_hashes(data, np.maximum(starts, upto - 3), upto) ^ marked
-    return span_hashes(data, starts, ends), (tails % np.uint64(ENDINGS)).astype(np.int64), bounds
+    # Few words end in marks: only these look back for their last letter, a few steps one by one.
+    letter = np.zeros(256, bool)
+    letter[97:123] = letter[128:] = True
+    upto = ends.copy()
+    going = np.flatnonzero(~letter[data[ends - 1]])
+    marked = np.zeros(len(ends), np.uint64)
+    for _ in range(8):
+        upto[going] -= 1
+        going = going[upto[going] > starts[going]]
+        going = going[~letter[data[upto[going] - 1]]]
+    if len(going):
+        last = np.maximum.accumulate(np.where(letter[data], np.arange(len(data)), -1))[ends[going] - 1]
+        upto[going] = np.maximum(last + 1, starts[going])
+    none = upto == starts
+    marked[(upto < ends) & ~none] = 1
+    upto[none] = ends[none]
+    total = byte_sums(data)
+    tails = span_hashes(data, np.maximum(starts, upto - 3), upto, total) ^ marked
+    return span_hashes(data, starts, ends, total), (tails % np.uint64(ENDINGS)).astype(np.int64), bounds
 
 
 def _word_counts(training: DataFrame) -> DataFrame:

@@ -109,11 +109,18 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes."""
-    up, down = _powers(len(data) + 1)
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    """The running sum of which every span's hash is taken."""
+    up, _ = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    return total
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hash of each span of bytes; ``total`` are the sums of ``data``, if they are there already."""
+    _, down = _powers(len(data) + 1)
+    total = byte_sums(data) if total is None else total
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
