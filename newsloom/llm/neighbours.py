@@ -35,12 +35,16 @@ SEARCH_ROUNDS = 30
 
 
 class Index(NamedTuple):
-    """Nodes (``node, vector, ids``), their codes (``node, code``), and links (``node, near``)."""
+    """Nodes (``node, vector, ids``), their codes (``node, code``), and links (``node, near``).
+
+    A node has the ``copies`` least ids of its vector.
+    """
 
     nodes: DataFrame
     codes: DataFrame
     links: DataFrame
     longest: float
+    copies: int
 
 
 def usable(vector: Column, length: int) -> Column:
@@ -275,7 +279,7 @@ def build(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", co
     graph = descend(codes, degree)
     links = graph.select("node", F.explode("ids").alias("near"))
     links = staged(links.union(links.select("near", "node")).distinct())
-    return Index(nodes, codes, links, longest)
+    return Index(nodes, codes, links, longest, copies)
 
 
 _STATE = "q bigint, code binary, ids array<bigint>, sims array<float>, done array<boolean>, next array<bigint>"
@@ -334,8 +338,11 @@ def search(
     """``query_id, rank, vec_id, score``: the nearest found to each usable query, a row with the query's id left out.
 
     Scores are inner products in double precision on the original vectors; ties go to the lower id.
-    Queries with equal vectors are searched once. Queries that are not usable have no answer.
+    Queries with equal vectors are searched once. Queries that are not usable have no answer. ``top`` must be
+    below the index's ``copies``: of more equal vectors than that, answers would lack some.
     """
+    if top >= index.copies:
+        raise ValueError(f"the index keeps {index.copies} copies of a vector: top must be below, or copies higher")
     first = index.nodes.select(F.size("vector").alias("n")).first()
     length = first.n if first else 1
     asked = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("raw")).filter("query_id IS NOT NULL")

@@ -78,3 +78,12 @@ def test_nothing_to_find(spark, rows):
 def test_repeated_ids_are_rows_of_their_own(spark):
     found = run(spark, [(0, [1.0, 0.0], 0), (3, [1.0, 0.2], 0), (3, [0.5, 0.2], 0)])
     assert [i for i, _ in found[0]] == [3, 3]
+
+
+def test_no_more_answers_than_copies_are_kept(spark):
+    table = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(30)], "vec_id long, embedding array<float>")
+    with pytest.raises(ValueError, match="copies"):
+        neighbours.search(neighbours.build(table), table.filter("vec_id = 0"), top=25)
+    index = neighbours.build(table, copies=27)
+    found = neighbours.search(index, table.filter("vec_id = 0"), top=25).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == list(range(1, 26))
