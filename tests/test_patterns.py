@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from newsloom.operators import patterns as patterns_module
 from newsloom.operators.patterns import letter_grams, matched_patterns
 
 TEXTS = "page string, title string, url string"
@@ -69,3 +70,22 @@ def test_grams_of_a_text(spark):
     assert sorted(row[0].g) == sorted(["a", "b", "😀", "ab", "b😀", "😀a", "ab😀", "b😀a"])
     assert [g for g in row[1].g if g] == []
     assert not row[2].g
+
+
+def test_candidates_are_not_shuffled(spark):
+    texts = spark.range(100).select(F.col("id").alias("page"), F.concat(F.lit("item"), F.col("id")).alias("title"))
+    words = spark.range(100).select(F.concat(F.lit("m"), F.col("id")).alias("keyword"))
+    found = matched_patterns(texts, words, key="page", columns=["title"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    assert plan.count("Exchange ") == 1
+
+
+def test_every_text_meets_every_block_once(spark, monkeypatch):
+    monkeypatch.setattr(patterns_module, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(patterns_module, "SPLIT_ROWS", 20)
+    monkeypatch.setattr(patterns_module, "_MATCHES", 7)
+    rng = random.Random(6)
+    rows = [(f"p{i}", "".join(rng.choice("abcdé") for _ in range(30)), None) for i in range(60)]
+    words = ["".join(rng.choice("abcdÉ") for _ in range(rng.randint(1, 4))) for _ in range(200)]
+    assert matches(spark, rows, words) == expected(rows, words)
