@@ -129,5 +129,9 @@ def html_page(
 
 
 def write_digest(lines: DataFrame, path: str) -> None:
-    """Land digest rows as a table, a folder per day."""
-    lines.write.mode("append").partitionBy("digest_day").parquet(path)
+    """Land digest rows as a table, a folder per day.
+
+    The rows of a day meet first, so a day has one file however its rows came; Spark splits a day that is too large
+    for a task.
+    """
+    lines.hint("rebalance", "digest_day").write.mode("append").partitionBy("digest_day").parquet(path)

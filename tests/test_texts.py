@@ -154,3 +154,12 @@ def test_html_page_has_a_heading_per_day(spark):
     for part in ("02/01/2025", f"Les {len(ARTICLES)} derniers articles", "IA, a &amp; b", "50%"):
         assert part in rows[0].block
     assert all(" - 45 %</h3>" in r.block for r in rows[1:]) and len(rows) == 1 + len(ARTICLES)
+
+
+def test_a_day_of_a_written_digest_has_one_file_however_its_rows_came(spark, tmp_path):
+    lines = spark.range(60).repartition(6).selectExpr("'d' || id % 5 AS digest_day", "id AS ord", "'line ' || id AS line")
+    write_digest(lines, str(tmp_path / "digest"))
+    files = [len(list(day.glob("*.parquet"))) for day in (tmp_path / "digest").glob("digest_day=*")]
+    assert files == [1] * 5
+    read = spark.read.parquet(str(tmp_path / "digest")).select(*lines.columns)
+    assert sorted(read.collect()) == sorted(lines.collect())
