@@ -55,10 +55,11 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts and the offsets of each; a null text is empty."""
+    """Bytes of all texts (or binary values) and the offsets of each; a null text is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
+    binary = pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type)
+    texts = texts.cast(pa.large_binary()).fill_null(b"") if binary else texts.cast(pa.large_string()).fill_null("")
     _, offsets, data = texts.buffers()
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

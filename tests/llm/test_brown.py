@@ -150,6 +150,53 @@ def test_every_repeated_word_is_exchanged(spark, monkeypatch):
     assert changed > 10 and len(items) == 6
 
 
+def test_texts_are_read_twice_to_learn(spark):
+    """Once to count words, once to write the lines of numbers; every other pass reads these."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    table = spark.createDataFrame(corpus(60), "doc_id long, text string").repartition(2)
+    texts = table.select("text").mapInArrow(counted, "text string")
+    texts.foreach(lambda row: None)
+    one, seen.value = seen.value, 0
+    brown.fit(texts)
+    assert one == 60 and seen.value <= 3 * one  # and the number of texts is counted
+
+
+def test_what_travels_does_not_change_classes(spark, monkeypatch):
+    """Words with and without a number move alike in a round, in slices, flushes and groups of any size."""
+    monkeypatch.setattr(brown, "WORDS", 6)
+    table = spark.createDataFrame(corpus(120), "doc_id long, text string").repartition(3)
+    whole = {r.h: (r.c, r.kind) for r in brown.fit(table, rounds=1)[1].collect()}
+    sizes = {"FREQUENT": 40, "_SLICE_WORDS": 16, "_SLICE_TOKENS": 300, "_HELD": 100, "_DECIDED": 7, "_BLOCK_BYTES": 500}
+    for name, size in sizes.items():
+        monkeypatch.setattr(brown, name, size)
+    model, rows = brown.fit(table, rounds=1)
+    assert {r.h: (r.c, r.kind) for r in rows.collect()} == whole
+    assert len(model.lexicon.hashes) == 40 and sum(c >= brown.LEAST_COUNT for c, _ in whole.values()) > 100
+    known = {h: kind for h, (_, kind) in whole.items()}
+    assert [known[h] for h in model.lexicon.hashes.view(np.int64).tolist()] == model.lexicon.kinds.tolist()
+
+
+def test_places_in_a_crowded_lexicon():
+    pick = np.random.default_rng(1)
+    held = np.unique(np.append(pick.integers(0, 1 << 40, 500), pick.integers(0, 1 << 63, 500)).astype(np.uint64))
+    held = np.append(held, np.uint64(2**64 - 1))
+    find = np.concatenate([held, held + np.uint64(1), np.array([0, 2**64 - 2], np.uint64)])
+    at, there = brown.Lexicon(held, held, held, held).finder()(find)
+    assert there.tolist() == np.isin(find, held).tolist() and (held[at[there]] == find[there]).all()
+
+
+def test_endings_look_back_over_any_number_of_marks():
+    of = hashed(["ab", "ab-", "ab" + "-" * 200, "x" + "!" * 64, "x!", "-" * 300, "xab" + "9" * 7])
+    assert of["ab-"][1] == of["ab" + "-" * 200][1] != of["ab"][1]
+    assert of["x!"][1] == of["x" + "!" * 64][1] and of["xab" + "9" * 7][1] != of["ab-"][1]
+
+
 def test_class_model_beats_words_alone_on_held_out_texts(spark, fitted):
     _, model, counts = fitted
     pick = random.Random(99)
